@@ -32,6 +32,7 @@ def write_observations(observations: DataFrame, path: str, mode: str = "append",
     (
         clustered(observations)
         .write.mode(mode)
+        .option("partitionOverwriteMode", "static")
         .option("compression", codec)
         .partitionBy(*OBSERVATION_PARTITIONS)
         .parquet(path)

@@ -61,7 +61,7 @@ def main(sf_dir: str, names: list[str]) -> int:
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     oracle, bad = entry.oracle_sql(), 0
-    for name, run in entry.queries().items():
+    for name, run in entry.queries().items():  # noqa: B007
         if names and name not in names:
             continue
         begin = time.time()
