@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fadeline.functions.times import as_datetime
@@ -64,34 +64,31 @@ def cursors(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("source").agg(F.max("window_end").alias("cursor"))
 
 
+def _page_lists(text: Column, results_key: str | None) -> tuple[Column, Column]:
+    """Records of a page, and the number it announces, from one parse."""
+    keys = [results_key] if results_key else ["results", "data"]
+    fields = ", ".join(f"`{k}` array<map<string,string>>" for k in keys)
+    is_list = text.startswith("[")
+    listed = F.from_json(F.when(is_list, text), "array<map<string,string>>")
+    wrapped = F.from_json(F.when(~is_list, text), f"`count` bigint, {fields}")
+    return F.coalesce(listed, *[wrapped[k] for k in keys]), wrapped["count"]
+
+
 def page_records(pages: DataFrame, body: str = "body", results_key: str | None = None) -> DataFrame:
     """Records of landed result pages.
 
     A page is a list, or an object with the list under ``results_key``, or
     under ``results``, or under ``data``.
     """
-    text = F.trim(F.col(body))
-    if results_key:
-        found = F.get_json_object(text, f"$.{results_key}")
-    else:
-        found = F.coalesce(F.get_json_object(text, "$.results"), F.get_json_object(text, "$.data"))
-    chosen = F.when(text.startswith("["), text).otherwise(found)
+    records, _ = _page_lists(F.trim(F.col(body)), results_key)
     keep = [c for c in pages.columns if c != body]
-    records = F.from_json(chosen, "array<map<string,string>>")
     return pages.select(*keep, F.explode(records).alias("record"))
 
 
 def page_completeness(pages: DataFrame, by: list[str], body: str = "body", results_key: str | None = None) -> DataFrame:
     """Records got and announced per request; complete when nothing is missing."""
-    text = F.trim(F.col(body))
-    key = F.lit(f"$.{results_key}") if results_key else None
-    if key is not None:
-        size = F.json_array_length(F.get_json_object(text, f"$.{results_key}"))
-    else:
-        size = F.json_array_length(F.coalesce(F.get_json_object(text, "$.results"), F.get_json_object(text, "$.data")))
-    size = F.when(text.startswith("["), F.json_array_length(text)).otherwise(size)
-    announced = F.when(~text.startswith("["), F.get_json_object(text, "$.count").try_cast("bigint"))
-    sums = pages.select(*by, F.coalesce(size, F.lit(0)).alias("got"), announced.alias("announced"))
+    records, announced = _page_lists(F.trim(F.col(body)), results_key)
+    sums = pages.select(*by, F.coalesce(F.array_size(records), F.lit(0)).alias("got"), announced.alias("announced"))
     return (
         sums.groupBy(*by)
         .agg(F.count(F.lit(1)).alias("pages"), F.sum("got").alias("records"), F.max("announced").alias("announced"))

@@ -39,38 +39,37 @@ def write_observations(observations: DataFrame, path: str, mode: str = "append",
     )
 
 
-def replace_partitions(df: DataFrame, path: str, partitions: list[str], codec: str = "snappy") -> None:
-    """Overwrite only the partitions that ``df`` has rows for.
+def _overwrite(rows: DataFrame, path: str, partitions: list[str], codec: str) -> None:
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", codec).partitionBy(
+        *partitions
+    ).parquet(path)
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written to the work folder and read back.  A later job may then
+    overwrite the files that ``df`` was made from, and finds the rows again if
+    executors are lost."""
+    path = new_path(df.sparkSession, "staged")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    ``df`` may read from ``path``: it is written to the work folder first and
-    read back, so no job reads and overwrites the same files.
-    """
-    spark = df.sparkSession
-    staged = new_path(spark, "staged")
-    df.write.partitionBy(*partitions).parquet(staged)
-    ready = spark.read.schema(df.schema).parquet(staged)
-    ready.hint("rebalance", *partitions).sortWithinPartitions(*partitions).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).option("compression", codec).partitionBy(*partitions).parquet(path)
+
+def replace_partitions(df: DataFrame, path: str, partitions: list[str], codec: str = "snappy") -> None:
+    """Overwrite only the partitions that ``df`` has rows for.  If ``df`` reads
+    from ``path``, pass it through ``staged``."""
+    _overwrite(df.hint("rebalance", *partitions), path, partitions, codec)
 
 
 def replace_observations(df: DataFrame, path: str, codec: str = "snappy") -> None:
     """``replace_partitions`` that keeps the order inside the files."""
-    spark = df.sparkSession
-    staged = new_path(spark, "staged")
-    rows = df if "date" in df.columns else with_date(df)
-    rows.write.partitionBy(*OBSERVATION_PARTITIONS).parquet(staged)
-    ready = spark.read.schema(rows.schema).parquet(staged)
-    clustered(ready).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option(
-        "compression", codec
-    ).partitionBy(*OBSERVATION_PARTITIONS).parquet(path)
+    _overwrite(clustered(df), path, OBSERVATION_PARTITIONS, codec)
 
 
 def compact(spark: SparkSession, path: str, as_of, older_than_days: int = 7) -> None:
     """Rewrite days older than a week into few, better compressed files."""
     rows = spark.read.parquet(path)
     limit = F.date_sub(F.lit(as_datetime(as_of).date().isoformat()).cast("date"), older_than_days)
-    replace_observations(rows.where(F.col("date") < limit), path, codec="zstd")
+    replace_observations(staged(rows.where(F.col("date") < limit)), path, codec="zstd")
 
 
 def read_range(spark: SparkSession, path: str, start=None, end=None, column: str = "time") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fadeline.functions.times import as_datetime, moment, time_bucket
+from fadeline.operators.raw import newest_since
 
 STEPS_PER_DAY = 8640
 
@@ -28,7 +29,8 @@ def last_days(series: DataFrame, days: int) -> DataFrame:
 
 def last_steps(series: DataFrame, steps: int) -> DataFrame:
     """The newest distinct time steps (8640 of them are one day at 10 s)."""
-    newest = series.select("time").distinct().orderBy(F.desc("time")).limit(steps)
+    times = series.select("time").distinct()
+    newest = times.where(F.col("time") >= newest_since(times, steps)).orderBy(F.desc("time")).limit(steps)
     return series.where(F.col("time") >= newest.agg(F.min("time")).scalar())
 
 

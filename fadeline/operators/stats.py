@@ -155,15 +155,16 @@ def windowed_stats(observations: DataFrame, links: DataFrame, as_of, last: DataF
     )
 
 
-def only_links(observations: DataFrame, ids: DataFrame) -> DataFrame:
-    """Observations of the links in ``ids`` (user_id, cml_id)."""
-    return observations.join(ids.select(*LINK_KEYS).distinct(), LINK_KEYS, "left_semi")
+def only_links(parts: DataFrame, ids: DataFrame) -> DataFrame:
+    """Partials of the links in ``ids`` (user_id, cml_id).  Taking partials here
+    and not raw rows keeps a hot link out of the join."""
+    return parts.join(ids.select(*LINK_KEYS).distinct(), LINK_KEYS, "left_semi")
 
 
 def refresh_links(observations: DataFrame, ids: DataFrame) -> DataFrame:
     """Lifetime statistics recomputed for a set of links: those of a batch, or
     all links of a tenant's metadata."""
-    return lifetime_stats(only_links(observations, ids))
+    return merge_partials(only_links(partials(observations), ids)).drop("last_time")
 
 
 def upsert_stats(stored: DataFrame, incoming: DataFrame, as_of) -> DataFrame:

@@ -8,6 +8,7 @@ that failed half-way is simply run again.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,7 @@ from fadeline.functions.times import as_datetime
 from fadeline.operators import validate
 from fadeline.operators.raw import load_summary
 from fadeline.plans.store import Store
+from fadeline.session import measured
 from fadeline.sources import archive, delimited, json_records
 from fadeline.sources.formats import Format
 from fadeline.sources.inventory import inventory
@@ -123,11 +125,16 @@ def _arrival() -> Column:
     return F.struct("filename", "file_path", "block_start", "line_no")
 
 
-def _write_raw(job: Job, rows: DataFrame, verdicts: DataFrame, merge_levels: bool) -> DataFrame:
-    good = verdicts.where("reason IS NULL").select("file_path")
+def _write_raw(job: Job, rows: DataFrame, verdicts: DataFrame, as_of, merge_levels: bool) -> None:
+    """Rows of the good files, then the statistics of the days and links they touch."""
+    good = measured(verdicts.where("reason IS NULL").select("file_path"))
+    if good.isEmpty():
+        return
     usable = rows.where(F.col("line_no").isNotNull() & validate.row_reason().isNull())
     kept = usable.join(good, "file_path", "left_semi").withColumns({"seq": _arrival(), "user_id": F.lit(job.user_id)})
-    return job.store.fill_nulls(kept) if merge_levels else job.store.append_first_wins(kept)
+    pairs = job.store.fill_nulls(kept) if merge_levels else job.store.append_first_wins(kept)
+    job.store.refresh_daily_stats(pairs)
+    job.store.refresh_lifetime_stats(as_of, kept.select("user_id", "cml_id"))
 
 
 def process_lines(job: Job, lines: DataFrame, files: DataFrame, as_of) -> DataFrame:
@@ -140,34 +147,34 @@ def process_lines(job: Job, lines: DataFrame, files: DataFrame, as_of) -> DataFr
     files = files.select(*FILE_KEY).withColumn("kind", kind)
     lines = lines.withColumn("kind", kind)
 
-    link_files = files.where("kind = 'metadata'")
-    link_lines = lines.where("kind = 'metadata'")
-    links = delimited.metadata_rows(link_lines, job.fmt).persist(StorageLevel.MEMORY_AND_DISK)
-    link_verdicts = _judge_links(links, link_files).persist(StorageLevel.MEMORY_AND_DISK)
-    if not link_verdicts.where("reason IS NULL").isEmpty():
-        good = link_verdicts.where("reason IS NULL").select("file_path")
-        tagged = links.join(good, "file_path", "left_semi").withColumns({"seq": _arrival(), "user_id": F.lit(job.user_id)})
-        job.store.upsert_links(tagged)
-
-    raw_files = files.where("kind = 'rawdata'")
-    raw_lines = lines.where("kind = 'rawdata'")
-    parsed = delimited.raw_rows(raw_lines, job.fmt).withColumn("sublink_id", stored_sublink(F.col("sublink_id")))
-    raw = parsed.persist(StorageLevel.MEMORY_AND_DISK)
-    raw_verdicts = _judge(raw, raw_files, ["time", "cml_id", "sublink_id"], job.row_policy).persist(StorageLevel.MEMORY_AND_DISK)
-    if not raw_verdicts.where("reason IS NULL").isEmpty():
-        pairs = _write_raw(job, raw, raw_verdicts, merge_levels=False)
-        job.store.refresh_daily_stats(pairs)
-        job.store.refresh_lifetime_stats(as_of, raw.select(F.lit(job.user_id).alias("user_id"), "cml_id"))
-
-    unsupported = files.where("kind = 'unsupported'").select(
+    kinds = {row["kind"] for row in files.select("kind").distinct().collect()}
+    verdicts, raw, raw_verdicts = [], None, None
+
+    if "metadata" in kinds:
+        links = delimited.metadata_rows(lines.where("kind = 'metadata'"), job.fmt).persist(StorageLevel.MEMORY_AND_DISK)
+        judged = measured(_judge_links(links, files.where("kind = 'metadata'")))
+        verdicts.append(judged)
+        good = measured(judged.where("reason IS NULL").select("file_path"))
+        if not good.isEmpty():
+            tagged = links.join(good, "file_path", "left_semi").withColumns({"seq": _arrival(), "user_id": F.lit(job.user_id)})
+            job.store.upsert_links(tagged)
+
+    if "rawdata" in kinds:
+        parsed = delimited.raw_rows(lines.where("kind = 'rawdata'"), job.fmt)
+        raw = parsed.withColumn("sublink_id", stored_sublink(F.col("sublink_id"))).persist(StorageLevel.MEMORY_AND_DISK)
+        raw_verdicts = measured(_judge(raw, files.where("kind = 'rawdata'"), ["time", "cml_id", "sublink_id"], job.row_policy))
+        verdicts.append(raw_verdicts)
+        _write_raw(job, raw, raw_verdicts, as_of, merge_levels=False)
+
+    verdicts.append(files.where("kind = 'unsupported'").select(
         *FILE_KEY, F.lit(0).cast("bigint").alias("rows_read"), F.lit(0).cast("bigint").alias("rows_good"),
         F.concat(F.lit("Unsupported file type: "), "filename").alias("reason"),
-    )
-    verdicts = link_verdicts.unionByName(raw_verdicts).unionByName(unsupported)
-    finish(job, verdicts, lines, as_of)
-    if job.row_policy == "drop":
+    ))
+    every = reduce(DataFrame.unionByName, verdicts)
+    if job.row_policy == "drop" and raw is not None:
         _quarantine_rows(job, raw, raw_verdicts, as_of)
-    return _log_rows(job, verdicts, as_of)
+    finish(job, every, lines, as_of)
+    return _log_rows(job, every, as_of)
 
 
 def _quarantine_rows(job: Job, raw: DataFrame, verdicts: DataFrame, as_of) -> None:
@@ -196,11 +203,8 @@ def process_json(job: Job, files: DataFrame, as_of) -> DataFrame:
     absent = json_records.absent_fields(raw, job.field_map).withColumnRenamed("header_error", "absent_error")
     verdicts = _judge(raw, files.select(*FILE_KEY), ["time", "cml_id", "sublink_id"], job.row_policy)
     verdicts = verdicts.join(absent, "file_path", "left").withColumn("reason", F.coalesce("absent_error", "reason")).drop("absent_error")
-    verdicts = verdicts.persist(StorageLevel.MEMORY_AND_DISK)
-    if not verdicts.where("reason IS NULL").isEmpty():
-        pairs = _write_raw(job, raw, verdicts, merge_levels=True)
-        job.store.refresh_daily_stats(pairs)
-        job.store.refresh_lifetime_stats(as_of, raw.select(F.lit(job.user_id).alias("user_id"), "cml_id"))
+    verdicts = measured(verdicts)
+    _write_raw(job, raw, verdicts, as_of, merge_levels=True)
     finish(job, verdicts, files, as_of)
     return _log_rows(job, verdicts, as_of)
 

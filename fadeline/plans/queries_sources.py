@@ -324,7 +324,7 @@ def dedup_rewrite(spark, sf_dir):
     arrivals_dated = layout.with_date(arrivals(spark, sf_dir))
     layout.write_observations(arrivals_dated, path)
     stored = spark.read.parquet(path)
-    layout.replace_observations(first_wins(stored).drop("seq"), path)
+    layout.replace_observations(layout.staged(first_wins(stored).drop("seq")), path)
     return _as_stored(spark.read.parquet(path))
 
 

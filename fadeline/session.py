@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -43,6 +44,19 @@ def work_root(spark: SparkSession) -> str:
     return root
 
 
+def measured(df: DataFrame) -> DataFrame:
+    """A join side whose true size Spark knows.
+
+    Once materialised, a persisted frame reports its real size to the planner,
+    which then broadcasts it below ``spark.sql.autoBroadcastJoinThreshold`` and
+    sort-merges it above.  Before that the estimate would be that of the scan
+    it comes from, and the large side would be shuffled for a handful of keys.
+    """
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    kept.count()
+    return kept
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A path below the work folder that no other run uses."""
     return f"{work_root(spark)}/{label}-{uuid.uuid4().hex}"

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fadeline.functions.geo import haversine_m
 from fadeline.functions.numbers import finite
-from fadeline.operators.raw import sublinks_with_data
+from fadeline.operators.raw import keep_active_sublinks
 from fadeline.schemas import COORDINATES
 
 # The two orders of dimensions.
@@ -49,7 +49,7 @@ def valid_rows(blocks: DataFrame, dims: tuple[str, str, str], until=None, **name
     """Unrolled rows without the sublinks that are padding: those with no value
     at any time, or at no time up to ``until``."""
     rows = to_rows(blocks, dims, **names)
-    return rows.join(sublinks_with_data(rows, until), "sublink_id", "left_semi").select(rows.columns)
+    return keep_active_sublinks(rows, rows, until).select(rows.columns)
 
 
 def _cell(matrix: str, dims: tuple[str, str]) -> Column:
