@@ -217,7 +217,7 @@ def unlogged(store: Store, files: DataFrame) -> DataFrame:
 def ingest_folder(spark: SparkSession, job: Job, path: str, as_of) -> None:
     """All new files of a folder in one batch: metadata, data, then JSON."""
     for glob, json_files in (("*.csv", False), ("*.json", True)):
-        new = unlogged(job.store, _plain_paths(inventory(spark, path, glob))).select(*FILE_KEY).persist()
+        new = unlogged(job.store, inventory(spark, path, glob)).select(*FILE_KEY).persist()
         if new.isEmpty():
             continue
         key = new.select("file_path", "file_modified")
@@ -234,11 +234,6 @@ def _with_empty(files: DataFrame, listed: DataFrame) -> DataFrame:
     return listed.join(files.select("file_path", "value"), "file_path", "left").select("value", *FILE_KEY)
 
 
-def _plain_paths(files: DataFrame) -> DataFrame:
-    """Paths as ``_metadata.file_path`` writes them."""
-    return files.withColumn("file_path", F.regexp_replace("file_path", "^file:/+", "file:///"))
-
-
 def load_archive(spark: SparkSession, store: Store, data_path: str, metadata_path: str, user_id: str, as_of, replace_all: bool = False) -> DataFrame:
     """Bulk load of an archive: metadata that is not stored yet, all data rows
     (a repeated key is an error), partials, lifetime statistics and the whole

@@ -18,6 +18,7 @@ from fadeline.functions.numbers import to_number
 from fadeline.functions.times import to_utc
 from fadeline.schemas import COORDINATES, LINK_COLUMNS, RAW_COLUMNS
 from fadeline.sources.formats import MISSING_TEXTS, Format
+from fadeline.sources.names import plain_name
 
 FILE_COLUMNS = ["file_path", "filename", "file_modified"]
 BROADCAST_BYTES = 16 * 1024 * 1024
@@ -27,30 +28,31 @@ def text_lines(spark: SparkSession, path, fmt: Format, glob: str = "*") -> DataF
     """Lines with their file and place: the start of the block a task read, and a
     number that rises inside the block.  The header is in the block at zero."""
     reader = spark.read.option("pathGlobFilter", glob)
-    return number_lines(with_file(reader.text(path, wholetext=bool(fmt.skiprows)), fmt), fmt)
+    return number_lines(with_file(reader.text(path, wholetext=fmt.whole_files), fmt), fmt)
 
 
 def with_file(source: DataFrame, fmt: Format) -> DataFrame:
-    """File columns for a text source, batch or streaming; with lines to skip the
-    source must give whole files.
-
-    Counting lines from the top needs the file in one piece, so only files with
-    lines to skip are read as one row each.
-    """
-    if fmt.skiprows:
-        cut = source.select("_metadata", F.posexplode(F.split("value", "\r\n|\n|\r")).alias("n", "value"))
+    """File columns for a text source, batch or streaming.  The source gives whole
+    files where the format asks for it, else lines."""
+    if fmt.whole_files:
+        cut = source.select("_metadata", F.posexplode(F.split(_decoded(fmt), "\r\n|\n|\r")).alias("n", "value"))
         source, place = cut.where(F.col("n") >= fmt.skiprows), [F.lit(0).cast("bigint").alias("block_start"), F.col("n").cast("bigint").alias("line_no")]
     else:
         place = [F.col("_metadata.file_block_start").alias("block_start")]
     return source.select(
         "value",
         F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_name").alias("filename"),
+        plain_name(F.col("_metadata.file_name")).alias("filename"),
         F.col("_metadata.file_modification_time").alias("file_modified"),
         *place,
     )
 
 
+def _decoded(fmt: Format) -> Column:
+    text = F.col("value")
+    return text if fmt.utf8 else F.decode(text.cast("binary"), fmt.encoding)
+
+
 def number_lines(lines: DataFrame, fmt: Format) -> DataFrame:
     if "line_no" not in lines.columns:
         lines = lines.withColumn("line_no", F.monotonically_increasing_id())
@@ -59,9 +61,7 @@ def number_lines(lines: DataFrame, fmt: Format) -> DataFrame:
 
 def clean_lines(lines: DataFrame, fmt: Format) -> DataFrame:
     """Decode, cut comments, drop blank lines."""
-    text = F.col("value")
-    if fmt.encoding.upper().replace("_", "-") not in ("UTF-8", "UTF8"):
-        text = F.decode(text.cast("binary"), fmt.encoding)
+    text = F.col("value") if fmt.whole_files else _decoded(fmt)
     text = F.regexp_replace(text, "^﻿|\r$", "")
     if fmt.comment:
         text = F.regexp_replace(text, re.escape(fmt.comment) + ".*$", "")
@@ -105,7 +105,7 @@ def named_rows(lines: DataFrame, fmt: Format, columns: list[str], renames: dict[
         "file_path",
         "header",
         *[F.array_position("names", c).cast("int").alias(f"at_{c}") for c in columns],
-        F.coalesce(*[F.when(~F.array_contains("names", c), F.lit(f"column '{c}' not found")) for c in required]).alias("header_error")
+        F.coalesce(*[F.when(F.array_position("names", c) == 0, F.lit(f"column '{c}' not found")) for c in required]).alias("header_error")
         if required
         else F.lit(None).cast("string").alias("header_error"),
     )

@@ -65,6 +65,16 @@ class Format:
     parse_raw: Callable[[DataFrame], DataFrame] | None = None
     parse_metadata: Callable[[DataFrame], DataFrame] | None = None
 
+    @property
+    def utf8(self) -> bool:
+        return self.encoding.upper().replace("_", "-") in ("UTF-8", "UTF8")
+
+    @property
+    def whole_files(self) -> bool:
+        """Whether a file must be read in one piece: to count lines from its top,
+        or because its line ends are not single bytes."""
+        return bool(self.skiprows) or self.encoding.upper().startswith(("UTF-16", "UTF-32"))
+
 
 def _canonical(_config: dict) -> Format:
     return Format("demo_csv_data", levels_required=True)

@@ -13,7 +13,7 @@ from fadeline.functions.identity import id_text
 from fadeline.functions.numbers import to_number
 from fadeline.functions.times import parse_time
 from fadeline.schemas import RAW_COLUMNS
-from fadeline.sources.names import longest_prefix, stem
+from fadeline.sources.names import longest_prefix, plain_name, stem
 
 FieldMap = dict[str, dict[str, str]]
 RECORDS = "array<map<string,string>>"
@@ -58,7 +58,7 @@ def with_file(files: DataFrame) -> DataFrame:
     return files.select(
         "value",
         F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_name").alias("filename"),
+        plain_name(F.col("_metadata.file_name")).alias("filename"),
         F.col("_metadata.file_modification_time").alias("file_modified"),
     )
 

@@ -27,6 +27,11 @@ def file_kind(name: Column, fmt: Format) -> Column:
     return kind.when(hits, "rawdata").otherwise("unsupported")
 
 
+def plain_name(encoded: Column) -> Column:
+    """File name as it is on disk; file metadata gives it URL-encoded."""
+    return F.coalesce(F.try_url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B"))), encoded)
+
+
 def stem(name: Column) -> Column:
     """File name without its last extension."""
     return F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")

@@ -42,7 +42,7 @@ def watch_delimited(
 ) -> StreamingQuery:
     """Process CSV files as they arrive; without an interval, the backlog and
     stop.  ``clean`` says what becomes of a read file: off, delete or archive."""
-    source = _source(spark, path, "*.csv", bool(job.fmt.skiprows), files_per_batch, clean, archive_dir)
+    source = _source(spark, path, "*.csv", job.fmt.whole_files, files_per_batch, clean, archive_dir)
     lines = delimited.with_file(source, job.fmt)
 
     def each_batch(batch: DataFrame, _batch_id: int) -> None:
@@ -76,7 +76,7 @@ def watch_json(
 def log_empty_files(spark: SparkSession, job: ingest.Job, path: str, as_of=None) -> None:
     """A file without a byte never reaches a text stream: quarantine it from the
     listing.  Run it now and then next to the streams."""
-    listed = ingest._plain_paths(inventory(spark, path)).where("size_bytes = 0")
+    listed = inventory(spark, path).where("size_bytes = 0")
     new = ingest.unlogged(job.store, listed).select(
         *ingest.FILE_KEY, F.lit(0).cast("bigint").alias("rows_read"), F.lit(0).cast("bigint").alias("rows_good"), F.lit("Empty file").alias("reason")
     )
