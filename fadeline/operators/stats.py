@@ -103,6 +103,11 @@ def last_values(observations: DataFrame) -> DataFrame:
     )
 
 
+def last_of_partials(parts: DataFrame) -> DataFrame:
+    """The same from stored partials."""
+    return parts.groupBy(*LINK_KEYS).agg(_last().alias("last_rsl"), F.max("last_time").alias("last_time"))
+
+
 def windowed_stats(observations: DataFrame, links: DataFrame, as_of, last: DataFrame | None = None) -> DataFrame:
     """Statistics of the last 6 h and 1 h for every link of ``links``.
 

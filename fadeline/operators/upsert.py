@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fadeline.schemas import LINK_KEY, OBSERVATION_KEY
+from fadeline.session import measured
 
 
 def _rest(df: DataFrame, *known: str) -> list[str]:
@@ -64,3 +65,17 @@ def repeated_keys(rows: DataFrame, key: list[str] | None = None) -> DataFrame:
     """Keys that occur more than once: empty when the key holds."""
     key = key or OBSERVATION_KEY
     return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+
+
+def has_repeated_keys(rows: DataFrame, key: list[str] | None = None) -> bool:
+    """Whether any key occurs twice.
+
+    Only 64-bit hashes are shuffled at first; keys are compared just for the
+    hashes that occur twice, if there are any.
+    """
+    key = key or OBSERVATION_KEY
+    hashed = rows.withColumn("h", F.xxhash64(*key))
+    again = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    if again.isEmpty():
+        return False
+    return not repeated_keys(hashed.join(measured(again), "h", "left_semi"), key).isEmpty()

@@ -35,11 +35,19 @@ _ROLLUP = (
     "bucket timestamp, user_id string, cml_id string, sublink_id string, rsl_min float, rsl_max float, rsl_avg double, "
     "tsl_min float, tsl_max float, tsl_avg double, date date"
 )
-_STATS = ", ".join(
-    ["cml_id string"]
-    + [f"{c} {'bigint' if 'records' in c else 'double'}" for c in [*LIFETIME_COLUMNS, *WINDOW_COLUMNS]]
-    + ["last_rsl double", "last_update timestamp", "user_id string"]
-)
+
+
+def _stats_schema(columns: list[str]) -> str:
+    kinds = [f"{c} {'bigint' if 'records' in c else 'double'}" for c in columns]
+    return ", ".join(["cml_id string", *kinds, "last_rsl double", "last_update timestamp", "user_id string"])
+
+
+_LIFETIME = _stats_schema(LIFETIME_COLUMNS)
+_WINDOWED = _stats_schema(WINDOW_COLUMNS)
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split(" ")[0] for c in schema.split(", ")]
 
 
 class Store:
@@ -49,7 +57,8 @@ class Store:
     ``observations``          by user_id, date; sorted by link and time
     ``links``                 by user_id
     ``daily_stats``           mergeable partials, by user_id, date
-    ``link_stats``            by user_id
+    ``lifetime_stats``        by user_id
+    ``windowed_stats``        by user_id
     ``rollup_1h``             by date
     ``file_log``              by date of the file's modification
     ``quarantine``            by date
@@ -81,7 +90,21 @@ class Store:
         return self._read("daily_stats", _PARTIALS)
 
     def link_stats(self) -> DataFrame:
-        return self._read("link_stats", _STATS)
+        """One row per link.  Lifetime and windowed columns are written apart, so
+        neither refresh touches the other's; the last value and the time of the
+        update are those of the later one."""
+        life, window = self._read("lifetime_stats", _LIFETIME), self._read("windowed_stats", _WINDOWED)
+        joined = life.alias("l").join(window.alias("w"), STATS_KEY, "full_outer")
+        window_newer = F.col("w.last_update").isNotNull() & (
+            F.col("l.last_update").isNull() | (F.col("w.last_update") >= F.col("l.last_update"))
+        )
+        return joined.select(
+            *STATS_KEY,
+            *LIFETIME_COLUMNS,
+            *WINDOW_COLUMNS,
+            F.when(window_newer, F.col("w.last_rsl")).otherwise(F.col("l.last_rsl")).alias("last_rsl"),
+            F.greatest("l.last_update", "w.last_update").alias("last_update"),
+        )
 
     def rollup(self) -> DataFrame:
         return self._read("rollup_1h", _ROLLUP)
@@ -134,9 +157,9 @@ class Store:
         checked = typed.select(*OBSERVATION_KEY, "date")
         if mode == "append":
             checked = checked.unionByName(self._touched(self.observations(), typed).select(*OBSERVATION_KEY, "date"))
-        if not upsert.repeated_keys(checked).isEmpty():
+        if upsert.has_repeated_keys(checked):
             raise ValueError("duplicate key in bulk load")
-        layout.write_observations(typed, self.path("observations"), mode)
+        layout.write_observations(typed, self.path("observations"), mode, bulk=True)
 
     def _typed_links(self, rows: DataFrame) -> DataFrame:
         order = [c for c in rows.columns if c == "seq"]
@@ -165,7 +188,7 @@ class Store:
 
     def refresh_all_stats(self, as_of) -> None:
         """Partials of every day and the lifetime columns of every link."""
-        parts = stats.partials(self.observations(), ["date"]).select(*[c.split(" ")[0] for c in _PARTIALS.split(", ")])
+        parts = stats.partials(self.observations(), ["date"]).select(_names(_PARTIALS))
         parts.hint("rebalance", "user_id", "date").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
             "user_id", "date"
         ).parquet(self.path("daily_stats"))
@@ -175,28 +198,36 @@ class Store:
         """Recompute the partials of the days given, read from their folders only."""
         rows = self._touched(self.observations(), pairs).join(pairs, ["user_id", "date"], "left_semi")
         parts = stats.partials(rows, ["date"])
-        layout.replace_partitions(parts.select(*[c.split(" ")[0] for c in _PARTIALS.split(", ")]), self.path("daily_stats"), ["user_id", "date"])
+        layout.replace_partitions(parts.select(_names(_PARTIALS)), self.path("daily_stats"), ["user_id", "date"])
 
     def refresh_lifetime_stats(self, as_of, ids: DataFrame | None = None) -> None:
         """Lifetime columns from the partials, for all links or those of ``ids``."""
         parts = self.daily_stats()
-        if ids is not None:
-            parts = stats.only_links(parts, ids)
-        self._write_stats(stats.upsert_stats(self.link_stats(), stats.merge_partials(parts), as_of))
+        if ids is None:
+            self._write_stats(stats.merge_partials(parts), "lifetime_stats", _LIFETIME, as_of)
+            return
+        fresh = self._stamped_stats(stats.merge_partials(stats.only_links(parts, ids)), _LIFETIME, as_of)
+        stored = self._read("lifetime_stats", _LIFETIME)
+        users = fresh.select("user_id").distinct()
+        others = stored.join(users, "user_id", "left_semi").join(fresh.select(*STATS_KEY), STATS_KEY, "left_anti")
+        merged = others.select(_names(_LIFETIME)).unionByName(fresh)
+        layout.replace_partitions(layout.staged(merged), self.path("lifetime_stats"), ["user_id"])
 
     def refresh_windowed_stats(self, as_of) -> None:
         """Windowed columns of every known link.  The newest rows come from the
-        last two days' folders, older last values from the partials."""
+        folders of the last six hours, older last values from the partials."""
         recent = layout.read_range(self.spark, self.path("observations"), as_datetime(as_of) - timedelta(hours=6))
-        last = stats.merge_partials(self.daily_stats())
+        last = stats.last_of_partials(self.daily_stats())
         windowed = stats.windowed_stats(recent, self.links(), as_of, last)
-        self._write_stats(stats.upsert_stats(self.link_stats(), windowed, as_of))
+        self._write_stats(windowed, "windowed_stats", _WINDOWED, as_of)
+
+    def _stamped_stats(self, rows: DataFrame, schema: str, as_of) -> DataFrame:
+        stamp = F.lit(as_datetime(as_of).isoformat(sep=" ")).cast("timestamp")
+        stamped = rows.withColumn("last_update", stamp)
+        return stamped.select(*[F.col(c.split(" ")[0]).cast(c.split(" ")[1]).alias(c.split(" ")[0]) for c in schema.split(", ")])
 
-    def _write_stats(self, merged: DataFrame) -> None:
-        names = [c.split(" ")[0] for c in _STATS.split(", ")]
-        kinds = [c.split(" ")[1] for c in _STATS.split(", ")]
-        typed = merged.select(*[F.col(n).cast(k).alias(n) for n, k in zip(names, kinds)])
-        layout.replace_partitions(layout.staged(typed), self.path("link_stats"), ["user_id"])
+    def _write_stats(self, rows: DataFrame, name: str, schema: str, as_of) -> None:
+        layout.replace_partitions(self._stamped_stats(rows, schema, as_of), self.path(name), ["user_id"])
 
     def refresh_rollup(self, as_of) -> None:
         """Recompute the buckets of the refresh window and leave all others."""
