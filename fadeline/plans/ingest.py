@@ -22,7 +22,7 @@ from fadeline.plans.store import Store
 from fadeline.session import measured
 from fadeline.sources import archive, delimited, json_records
 from fadeline.sources.formats import Format
-from fadeline.sources.inventory import inventory
+from fadeline.sources.inventory import UNKNOWN_TIME, inventory
 from fadeline.sources.names import file_kind
 
 FILE_KEY = ["file_path", "filename", "file_modified"]
@@ -217,15 +217,16 @@ def unlogged(store: Store, files: DataFrame) -> DataFrame:
 def ingest_folder(spark: SparkSession, job: Job, path: str, as_of) -> None:
     """All new files of a folder in one batch: metadata, data, then JSON."""
     for glob, json_files in (("*.csv", False), ("*.json", True)):
-        new = unlogged(job.store, inventory(spark, path, glob)).select(*FILE_KEY).persist()
+        new = measured(unlogged(job.store, inventory(spark, path, glob)).select(*FILE_KEY))
+        since = new.agg(F.min(F.when(F.col("file_modified") > F.lit(UNKNOWN_TIME), F.col("file_modified")))).first()[0]
         if new.isEmpty():
             continue
         key = new.select("file_path", "file_modified")
         if json_files:
-            files = json_records.read_files(spark, path, glob).join(key, ["file_path", "file_modified"], "left_semi")
+            files = json_records.read_files(spark, path, glob, since).join(key, ["file_path", "file_modified"], "left_semi")
             process_json(job, _with_empty(files, new), as_of)
         else:
-            lines = delimited.text_lines(spark, path, job.fmt, glob).join(key, ["file_path", "file_modified"], "left_semi")
+            lines = delimited.text_lines(spark, path, job.fmt, glob, since).join(key, ["file_path", "file_modified"], "left_semi")
             process_lines(job, lines, new, as_of)
 
 

@@ -266,6 +266,16 @@ class Store:
         names = ["id", *[f.name for f in FILE_LOG.fields], "date"]
         fresh.select(*names).write.mode("append").partitionBy("date").parquet(self.path("file_log"))
 
+    def series(self, start, end, as_of) -> DataFrame:
+        """Hourly values of a long range from the rollup, with the hours that are
+        not published yet computed from raw rows; raw rows for a short range."""
+        if rollup.resolve_source(start, end) == "raw":
+            return layout.read_range(self.spark, self.path("observations"), start, end)
+        published = self.rollup().drop("date")
+        _, horizon = rollup.refresh_window(as_of)
+        tail = layout.read_range(self.spark, self.path("observations"), horizon, end)
+        return rollup.rollup_with_tail(published, tail, horizon, start, end)
+
     def key_problems(self) -> dict[str, DataFrame]:
         """Repeated keys per table; all frames are empty when the keys hold."""
         return {

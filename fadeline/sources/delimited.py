@@ -24,11 +24,14 @@ FILE_COLUMNS = ["file_path", "filename", "file_modified"]
 BROADCAST_BYTES = 16 * 1024 * 1024
 
 
-def text_lines(spark: SparkSession, path, fmt: Format, glob: str = "*") -> DataFrame:
-    """Lines with their file and place: the start of the block a task read, and a
-    number that rises inside the block.  The header is in the block at zero."""
-    reader = spark.read.option("pathGlobFilter", glob)
-    return number_lines(with_file(reader.text(path, wholetext=fmt.whole_files), fmt), fmt)
+def text_lines(spark: SparkSession, path, fmt: Format, glob: str = "*", since=None) -> DataFrame:
+    """Lines as they are, with their file and place: the start of the block a
+    task read, and a number that rises inside the block.  The header is in the
+    block at zero.  ``since`` leaves files unopened that were changed before."""
+    source = spark.read.option("pathGlobFilter", glob).text(path, wholetext=fmt.whole_files)
+    if since is not None:
+        source = source.where(F.col("_metadata.file_modification_time") >= F.lit(since))
+    return number_lines(with_file(source, fmt))
 
 
 def with_file(source: DataFrame, fmt: Format) -> DataFrame:
@@ -36,7 +39,7 @@ def with_file(source: DataFrame, fmt: Format) -> DataFrame:
     files where the format asks for it, else lines."""
     if fmt.whole_files:
         cut = source.select("_metadata", F.posexplode(F.split(_decoded(fmt), "\r\n|\n|\r")).alias("n", "value"))
-        source, place = cut.where(F.col("n") >= fmt.skiprows), [F.lit(0).cast("bigint").alias("block_start"), F.col("n").cast("bigint").alias("line_no")]
+        source, place = cut, [F.lit(0).cast("bigint").alias("block_start"), F.col("n").cast("bigint").alias("line_no")]
     else:
         place = [F.col("_metadata.file_block_start").alias("block_start")]
     return source.select(
@@ -53,14 +56,16 @@ def _decoded(fmt: Format) -> Column:
     return text if fmt.utf8 else F.decode(text.cast("binary"), fmt.encoding)
 
 
-def number_lines(lines: DataFrame, fmt: Format) -> DataFrame:
-    if "line_no" not in lines.columns:
-        lines = lines.withColumn("line_no", F.monotonically_increasing_id())
-    return clean_lines(lines, fmt)
+def number_lines(lines: DataFrame) -> DataFrame:
+    if "line_no" in lines.columns:
+        return lines
+    return lines.withColumn("line_no", F.monotonically_increasing_id())
 
 
 def clean_lines(lines: DataFrame, fmt: Format) -> DataFrame:
-    """Decode, cut comments, drop blank lines."""
+    """Skip lines, decode, cut comments, drop blank lines."""
+    if fmt.skiprows:
+        lines = lines.where(F.col("line_no") >= fmt.skiprows)
     text = F.col("value") if fmt.whole_files else _decoded(fmt)
     text = F.regexp_replace(text, "^﻿|\r$", "")
     if fmt.comment:
@@ -89,6 +94,7 @@ def _fields(parsed: str, width: int) -> Column:
 def named_rows(lines: DataFrame, fmt: Format, columns: list[str], renames: dict[str, str], required: list[str]) -> DataFrame:
     """Rows with ``columns`` as text, ``header_error`` where a required column is
     missing, and the file columns.  Absent optional columns are null."""
+    lines = clean_lines(lines, fmt)
     heads = headers(lines)
     facts = heads.agg(
         F.max(F.size(F.split("header", re.escape(fmt.sep)))).alias("width"),

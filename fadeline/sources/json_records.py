@@ -47,10 +47,12 @@ def map_records(records: DataFrame, field_map: FieldMap, name: str = "filename")
     )
 
 
-def read_files(spark: SparkSession, path, glob: str = "*.json") -> DataFrame:
+def read_files(spark: SparkSession, path, glob: str = "*.json", since=None) -> DataFrame:
     """One row per file.  A landed file holds one request window as one JSON
     value, which no reader can split."""
     files = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
+    if since is not None:
+        files = files.where(F.col("_metadata.file_modification_time") >= F.lit(since))
     return with_file(files)
 
 

@@ -46,9 +46,9 @@ def watch_delimited(
     lines = delimited.with_file(source, job.fmt)
 
     def each_batch(batch: DataFrame, _batch_id: int) -> None:
-        kept = delimited.number_lines(batch, job.fmt).persist()
+        kept = delimited.number_lines(batch).persist()
         try:
-            files = batch.select(*ingest.FILE_KEY).distinct()
+            files = kept.select(*ingest.FILE_KEY).distinct()
             ingest.process_lines(job, kept, files, _now(as_of))
         finally:
             kept.unpersist()
