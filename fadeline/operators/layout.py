@@ -8,6 +8,7 @@ or day that holds a third of the rows and merge the small ones.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,27 @@ from fadeline.functions.times import as_datetime
 from fadeline.session import new_path
 
 OBSERVATION_PARTITIONS = ["user_id", "date"]
+MAX_LISTED_DAYS = 1000
+
+
+def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A table, or an empty frame before its first write."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def of_days(stored: DataFrame, rows: DataFrame) -> DataFrame:
+    """Stored rows of the days that ``rows`` touch, as a folder filter while the
+    days are few enough to list and as a semi join beyond."""
+    days = rows.select("date").distinct()
+    listed = [r[0] for r in days.limit(MAX_LISTED_DAYS + 1).collect()]
+    if len(listed) <= MAX_LISTED_DAYS:
+        return stored.where(F.col("date").isin(listed)) if listed else stored.limit(0)
+    return stored.join(days, "date", "left_semi")
 
 
 def with_date(df: DataFrame, column: str = "time") -> DataFrame:

@@ -13,10 +13,10 @@ ORACLE: dict[str, str] = {}
 VIEWS = {
     "ev": "SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events",
     "observations": """SELECT event_id AS seq, ts AS time, CAST(user_id AS VARCHAR) AS cml_id, event_type AS sublink_id,
-        CASE WHEN k % 10 <> 0 THEN -value END AS rsl, CAST(k AS DOUBLE) AS tsl,
+        CASE WHEN k % 10 <> 0 THEN 0 - value END AS rsl, CAST(k AS DOUBLE) AS tsl,
         CASE WHEN user_id % 3 = 0 THEN 'tenant_b' ELSE 'tenant_a' END AS user_id FROM ev""",
     "arrivals": """SELECT * FROM observations UNION ALL
-        SELECT event_id + 1000000000000, ts, CAST(user_id AS VARCHAR), event_type, -value - 1,
+        SELECT event_id + 1000000000000, ts, CAST(user_id AS VARCHAR), event_type, 0 - value - 1,
         CASE WHEN k < 97 THEN CAST(k AS DOUBLE) END,
         CASE WHEN user_id % 3 = 0 THEN 'tenant_b' ELSE 'tenant_a' END FROM ev WHERE k >= 90""",
     "links": """SELECT CAST(c_custkey AS VARCHAR) AS cml_id, s.sublink_id,

@@ -399,7 +399,7 @@ def _event_stream(spark, sf_dir) -> DataFrame:
         F.col("ts").cast("timestamp").alias("time"),
         F.col("user_id").cast("string").alias("cml_id"),
         F.col("event_type").alias("sublink_id"),
-        F.when(F.col("k") % 10 != 0, -F.col("value")).alias("rsl"),
+        F.when(F.col("k") % 10 != 0, 0 - F.col("value")).alias("rsl"),
         F.col("k").cast("double").alias("tsl"),
         F.when(F.col("user_id") % 3 == 0, "tenant_b").otherwise("tenant_a").alias("user_id"),
         F.explode(F.when(F.col("k") >= 90, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),

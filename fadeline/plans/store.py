@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,8 +23,6 @@ from fadeline.schemas import (
     WINDOW_COLUMNS,
 )
 
-MAX_LISTED_DAYS = 1000
-
 _DATE = T.StructField("date", T.DateType())
 _PARTIALS = (
     "cml_id string, sublink_id string, n bigint, n_valid bigint, sum_rsl double, m2 double, min_rsl float, "
@@ -72,13 +69,7 @@ class Store:
         return f"{self.root}/{name}"
 
     def _read(self, name: str, schema) -> DataFrame:
-        """The table, or an empty frame before its first write."""
-        try:
-            return self.spark.read.schema(schema).parquet(self.path(name))
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], schema)
+        return layout.read_or_empty(self.spark, self.path(name), schema)
 
     def observations(self) -> DataFrame:
         return self._read("observations", T.StructType([*OBSERVATION.fields, _DATE]))
@@ -112,15 +103,6 @@ class Store:
     def file_log(self) -> DataFrame:
         return self._read("file_log", T.StructType([T.StructField("id", T.LongType()), *FILE_LOG.fields, _DATE]))
 
-    def _touched(self, stored: DataFrame, rows: DataFrame) -> DataFrame:
-        """Stored rows of the days that ``rows`` touch, as a folder filter while
-        the days are few enough to list and as a semi join beyond."""
-        days = rows.select("date").distinct()
-        listed = [r[0] for r in days.limit(MAX_LISTED_DAYS + 1).collect()]
-        if len(listed) <= MAX_LISTED_DAYS:
-            return stored.where(F.col("date").isin(listed)) if listed else stored.limit(0)
-        return stored.join(days, "date", "left_semi")
-
     def _typed(self, rows: DataFrame) -> DataFrame:
         typed = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in OBSERVATION.fields], "seq")
         return layout.with_date(typed)
@@ -130,7 +112,7 @@ class Store:
         changes nothing.  ``rows`` carries its arrival order in ``seq``.
         Returns the (user_id, date) pairs written to."""
         typed = self._typed(rows)
-        stored = self._touched(self.observations(), typed)
+        stored = layout.of_days(self.observations(), typed)
         fresh = upsert.new_rows(stored, typed, OBSERVATION_KEY, "seq").drop("seq")
         layout.write_observations(fresh, self.path("observations"))
         return measured(typed.select("user_id", "date").distinct())
@@ -141,7 +123,7 @@ class Store:
         typed = self._typed(rows)
         pairs = measured(typed.select("user_id", "date").distinct())
         place = typed.schema["seq"].dataType
-        stored = self._touched(self.observations(), typed).join(pairs, ["user_id", "date"], "left_semi")
+        stored = layout.of_days(self.observations(), typed).join(pairs, ["user_id", "date"], "left_semi")
         rank = T.StructType([T.StructField("batch", T.IntegerType()), T.StructField("place", place)])
         old = stored.withColumn("seq", F.struct(F.lit(0).alias("batch"), F.lit(None).cast(place).alias("place")).cast(rank))
         new = typed.withColumn("seq", F.struct(F.lit(1).alias("batch"), F.col("seq").alias("place")).cast(rank))
@@ -156,7 +138,7 @@ class Store:
         typed = layout.staged(typed)
         checked = typed.select(*OBSERVATION_KEY, "date")
         if mode == "append":
-            checked = checked.unionByName(self._touched(self.observations(), typed).select(*OBSERVATION_KEY, "date"))
+            checked = checked.unionByName(layout.of_days(self.observations(), typed).select(*OBSERVATION_KEY, "date"))
         if upsert.has_repeated_keys(checked):
             raise ValueError("duplicate key in bulk load")
         layout.write_observations(typed, self.path("observations"), mode, bulk=True)
@@ -196,7 +178,7 @@ class Store:
 
     def refresh_daily_stats(self, pairs: DataFrame) -> None:
         """Recompute the partials of the days given, read from their folders only."""
-        rows = self._touched(self.observations(), pairs).join(pairs, ["user_id", "date"], "left_semi")
+        rows = layout.of_days(self.observations(), pairs).join(pairs, ["user_id", "date"], "left_semi")
         parts = stats.partials(rows, ["date"])
         layout.replace_partitions(parts.select(_names(_PARTIALS)), self.path("daily_stats"), ["user_id", "date"])
 
@@ -253,7 +235,7 @@ class Store:
     def rewrite_buckets(self, buckets: DataFrame) -> None:
         """Recompute the buckets given (hours with new data) from the raw rows."""
         days = buckets.select(F.to_date("bucket").alias("date")).distinct()
-        rows = self._touched(self.observations(), days)
+        rows = layout.of_days(self.observations(), days)
         fresh = layout.with_date(rollup.hourly_rollup(rows), "bucket")
         layout.replace_partitions(fresh, self.path("rollup_1h"), ["date"])
 
@@ -261,7 +243,7 @@ class Store:
         """One row per file and modification time, however often a batch is run."""
         dated = rows.withColumn("date", F.to_date("file_modified"))
         dated = dated.withColumn("id", F.abs(F.xxhash64("file_path", "file_modified")))
-        known = self._touched(self.file_log(), dated).select("file_path", "file_modified")
+        known = layout.of_days(self.file_log(), dated).select("file_path", "file_modified")
         fresh = dated.join(known, ["file_path", "file_modified"], "left_anti")
         names = ["id", *[f.name for f in FILE_LOG.fields], "date"]
         fresh.select(*names).write.mode("append").partitionBy("date").parquet(self.path("file_log"))

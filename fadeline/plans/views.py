@@ -43,7 +43,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         F.col("event_id").alias("seq"),
         *_observed(rows),
-        F.when(F.col("k") % 10 != 0, -F.col("value")).alias("rsl"),
+        F.when(F.col("k") % 10 != 0, 0 - F.col("value")).alias("rsl"),
         F.col("k").cast("double").alias("tsl"),
         _tenant("user_id").alias("user_id"),
     )
@@ -57,7 +57,7 @@ def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         F.when(first, F.col("event_id")).otherwise(F.col("event_id") + 1_000_000_000_000).alias("seq"),
         *_observed(rows),
-        F.when(~first, -F.col("value") - 1).when(F.col("k") % 10 != 0, -F.col("value")).alias("rsl"),
+        F.when(~first, (0 - F.col("value")) - 1).when(F.col("k") % 10 != 0, 0 - F.col("value")).alias("rsl"),
         F.when(first | (F.col("k") < 97), F.col("k").cast("double")).alias("tsl"),
         _tenant("user_id").alias("user_id"),
     )

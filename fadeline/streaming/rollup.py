@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fadeline.functions.times import time_bucket
-from fadeline.operators import layout, stats
-from fadeline.operators.rollup import hourly_rollup
+from fadeline.operators import layout
+from fadeline.operators.rollup import ROLLUP_KEYS, hourly_rollup
 from fadeline.schemas import OBSERVATION_KEY
 
-PARTIAL_KEYS = ["bucket", "user_id", "cml_id", "sublink_id"]
+LEVELS = ("rsl", "tsl")
+STATE = (
+    "bucket timestamp, user_id string, cml_id string, sublink_id string, "
+    + ", ".join(f"{x}_min double, {x}_max double, {x}_sum double, {x}_n bigint" for x in LEVELS)
+    + ", batch bigint, date date"
+)
 
 
 def _mergeable(rows: DataFrame) -> DataFrame:
@@ -19,22 +24,47 @@ def _mergeable(rows: DataFrame) -> DataFrame:
     return rows.groupBy(time_bucket("time").alias("bucket"), "user_id", "cml_id", "sublink_id").agg(
         *[
             f.alias(f"{x}_{name}")
-            for x in ("rsl", "tsl")
-            for name, f in (("min", F.min(x)), ("max", F.max(x)), ("sum", F.sum(F.col(x).cast("double"))), ("n", F.count(x)))
+            for x in LEVELS
+            for name, f in (
+                ("min", F.min(x).cast("double")),
+                ("max", F.max(x).cast("double")),
+                ("sum", F.sum(F.col(x).cast("double"))),
+                ("n", F.count(x)),
+            )
         ]
     )
 
 
+def _merged(parts: DataFrame) -> DataFrame:
+    folds = {"min": F.min, "max": F.max, "sum": F.sum, "n": F.sum}
+    columns = [f(f"{x}_{name}").alias(f"{x}_{name}") for x in LEVELS for name, f in folds.items()]
+    merged = parts.groupBy(*ROLLUP_KEYS, "date").agg(*columns, F.max("batch").alias("batch"))
+    return merged.select(*[c.split(" ")[0] for c in STATE.split(", ")])
+
+
 def start_rollup(stream: DataFrame, path: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
-    """Mergeable hourly aggregates of each micro-batch, one folder per batch.
+    """Keep the hourly rollup of a stream in a table of mergeable aggregates.
 
-    A batch always writes the same folder, so a batch that is run again replaces
-    its own result: no late row is lost and none counts twice, whatever the
-    order of the files.  ``read_rollup`` adds the folders up.
+    A micro-batch is folded into the days it touches, whatever the order of the
+    files, so late rows are never lost and the raw rows are not read again.
+    Each day remembers the last batch it took in: a batch that is run again
+    after a failure skips the days that have it already.  Path and checkpoint
+    belong together, since the batch numbers are those of the checkpoint.
     """
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        _mergeable(batch).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        typed = _mergeable(batch).withColumns({"bucket": F.col("bucket").cast("timestamp"), "batch": F.lit(batch_id).cast("bigint")})
+        fresh = layout.with_date(typed, "bucket").persist()
+        try:
+            stored = layout.of_days(layout.read_or_empty(spark, path, STATE), fresh)
+            taken_in = stored.groupBy("date").agg(F.max("batch").alias("last")).where(F.col("last") >= batch_id)
+            todo = fresh.join(taken_in, "date", "left_anti")
+            kept = stored.join(taken_in, "date", "left_anti")
+            merged = _merged(kept.unionByName(todo))
+            layout.replace_partitions(layout.staged(merged), path, ["date"])
+        finally:
+            fresh.unpersist()
 
     writer = stream.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
@@ -42,18 +72,15 @@ def start_rollup(stream: DataFrame, path: str, checkpoint: str, interval: str |
 
 
 def read_rollup(spark, path: str) -> DataFrame:
-    """The rollup: all batches merged."""
-    parts = spark.read.parquet(path)
-    return parts.groupBy(*PARTIAL_KEYS).agg(
+    """The rollup from its mergeable form."""
+    parts = spark.read.schema(STATE).parquet(path)
+    return parts.select(
+        *ROLLUP_KEYS,
         *[
             c
-            for x in ("rsl", "tsl")
-            for c in (
-                F.min(f"{x}_min").alias(f"{x}_min"),
-                F.max(f"{x}_max").alias(f"{x}_max"),
-                (F.sum(f"{x}_sum") / F.when(F.sum(f"{x}_n") > 0, F.sum(f"{x}_n"))).alias(f"{x}_avg"),
-            )
-        ]
+            for x in LEVELS
+            for c in (f"{x}_min", f"{x}_max", (F.col(f"{x}_sum") / F.when(F.col(f"{x}_n") > 0, F.col(f"{x}_n"))).alias(f"{x}_avg"))
+        ],
     )
 
 
@@ -80,8 +107,3 @@ def start_append(stream: DataFrame, path: str, checkpoint: str, interval: str |
     )
     writer = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
     return writer.start()
-
-
-def daily_partials_of(stream_table: DataFrame) -> DataFrame:
-    """Partials of a streamed table, for the statistics of its links."""
-    return stats.partials(stream_table, ["date"])

@@ -309,6 +309,46 @@ def test_stream_rollup_replays_batches_once(spark, sf_dir):
     assert rows(got, *columns) == rows(want, *columns)
 
 
+def test_stream_rollup_batch_run_again(spark, sf_dir, monkeypatch):
+    """A batch that fails after some days were written adds nothing twice."""
+    root = new_path(spark, "stream")
+    obs = stamped(observations(spark, sf_dir)).drop("seq")
+    obs.write.parquet(f"{root}/in")
+    real = layout.replace_partitions
+
+    def half(df, path, partitions, codec="snappy"):
+        real(df.where("day(date) % 2 = 0"), path, partitions, codec)
+        raise RuntimeError("lost")
+
+    def start():
+        stream = spark.readStream.schema(obs.schema).parquet(f"{root}/in")
+        stream_rollups.start_rollup(stream, f"{root}/rollup", f"{root}/checkpoint").awaitTermination()
+
+    monkeypatch.setattr(layout, "replace_partitions", half)
+    with pytest.raises(Exception, match="lost"):
+        start()
+    monkeypatch.setattr(layout, "replace_partitions", real)
+    start()
+    got = stream_rollups.read_rollup(spark, f"{root}/rollup").withColumn("rsl_avg", F.round("rsl_avg", 6))
+    want = rollup.hourly_rollup(obs).withColumn("rsl_avg", F.round("rsl_avg", 6))
+    columns = ["bucket", "user_id", "cml_id", "sublink_id", "rsl_min", "rsl_avg", "tsl_max"]
+    assert rows(got, *columns) == rows(want, *columns)
+
+
+def test_series_from_rollup_or_raw(spark, store, sf_dir):
+    """The published hours end at as_of - 1 h; the rest is computed on the way."""
+    store.load_unique(stamped(observations(spark, sf_dir)), mode="overwrite")
+    now = "2024-01-20 12:30:00"
+    for day in range(3, 21):
+        store.refresh_rollup(f"2024-01-{day:02d} 12:30:00")
+    assert store.rollup().agg(F.max("bucket")).first()[0] < datetime(2024, 1, 20, 11)
+    long = store.series("2024-01-10", "2024-01-20 12:30:00", now)
+    direct = rollup.hourly_rollup(store.observations().where("time <= timestamp'2024-01-20 12:30:00'")).where("bucket >= timestamp'2024-01-10'")
+    assert rows(long, *direct.columns) == rows(direct)
+    short = store.series("2024-01-19", "2024-01-20", now)
+    assert "rsl" in short.columns and short.count() == store.observations().where("time BETWEEN timestamp'2024-01-19' AND timestamp'2024-01-20'").count()
+
+
 def test_windowed_stream_rollup(spark, sf_dir):
     root = new_path(spark, "stream")
     obs = stamped(observations(spark, sf_dir)).drop("seq")
