@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def finite(x: Column) -> Column:
-    """NaN and infinities become null (JSON has neither, and they poison averages)."""
-    d = x.cast("double")
-    return F.when(~F.isnan(d) & (F.abs(d) != float("inf")), x)
+    """NaN and infinities become null (JSON has neither, and they poison averages).
+    Written with ``nanvl`` and ``nullif``, which evaluate their argument once."""
+    number = F.nanvl(x.cast("double"), F.lit(None).cast("double"))
+    return F.nullif(F.nullif(number, F.lit(float("inf"))), F.lit(float("-inf")))
 
 
 def to_number(text: Column, decimal: str = ".") -> Column:

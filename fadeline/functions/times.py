@@ -47,19 +47,9 @@ def parse_time(text: Column) -> Column:
     return F.trim(text).try_cast("timestamp")
 
 
-def to_utc(text: Column, zone: str | None, ambiguous: str = "earlier") -> Column:
-    """Text to a UTC timestamp.
-
-    Text with an offset is only converted.  Naive text is local time in ``zone``:
-    a time inside a spring gap moves to the first valid instant; a time that
-    occurs twice in autumn takes the earlier instant, or null with
-    ``ambiguous="null"``.
-    """
-    parsed = parse_time(text)
-    if not zone:
-        return parsed
-    direct = F.to_utc_timestamp(parsed, zone)
-    back = F.from_utc_timestamp(direct, zone)
+def _utc(text: Column, parsed: Column, direct: Column, back: Column, zone: str, ambiguous: str) -> Column:
+    """``parsed`` is the text as a timestamp, ``direct`` its plain conversion from
+    ``zone`` and ``back`` that one converted back; they differ inside a gap."""
     skipped = back.cast("double") - parsed.cast("double")
     gap_start = F.when(skipped > 3600, F.date_trunc("day", parsed)).otherwise(F.date_trunc("hour", parsed))
     naive = F.when(skipped > 0, F.to_utc_timestamp(gap_start, zone)).otherwise(direct)
@@ -74,6 +64,33 @@ def to_utc(text: Column, zone: str | None, ambiguous: str = "earlier") -> Column
     return F.when(F.trim(text).rlike(_OFFSET), parsed).otherwise(naive)
 
 
+def to_utc(text: Column, zone: str | None, ambiguous: str = "earlier") -> Column:
+    """Text to a UTC timestamp.
+
+    Text with an offset is only converted.  Naive text is local time in ``zone``:
+    a time inside a spring gap moves to the first valid instant; a time that
+    occurs twice in autumn takes the earlier instant, or null with
+    ``ambiguous="null"``.
+    """
+    parsed = parse_time(text)
+    if not zone:
+        return parsed
+    direct = F.to_utc_timestamp(parsed, zone)
+    return _utc(text, parsed, direct, F.from_utc_timestamp(direct, zone), zone, ambiguous)
+
+
+def column_to_utc(df: DataFrame, column: str, zone: str | None, ambiguous: str = "earlier") -> DataFrame:
+    """``to_utc`` on a column of many rows: the text is parsed and converted in
+    projections of their own, so that each is done once per row."""
+    if not zone:
+        return df.withColumn(column, parse_time(F.col(column)))
+    steps = df.withColumn("parsed_time", parse_time(F.col(column)))
+    steps = steps.withColumn("direct_time", F.to_utc_timestamp("parsed_time", zone))
+    steps = steps.withColumn("back_time", F.from_utc_timestamp("direct_time", zone))
+    parts = [F.col(c) for c in ("parsed_time", "direct_time", "back_time")]
+    return steps.withColumn(column, _utc(F.col(column), *parts, zone, ambiguous)).drop("parsed_time", "direct_time", "back_time")
+
+
 def whole_days(first: Column, last: Column) -> Column:
     """Complete 24 h periods between two times (not midnights crossed)."""
     return F.timestamp_diff("DAY", first, last)

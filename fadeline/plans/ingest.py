@@ -10,7 +10,6 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +18,7 @@ from fadeline.functions.times import as_datetime
 from fadeline.operators import validate
 from fadeline.operators.raw import load_summary
 from fadeline.plans.store import Store
-from fadeline.session import measured
+from fadeline.session import cache_scope, keep, measured
 from fadeline.sources import archive, delimited, json_records
 from fadeline.sources.formats import Format
 from fadeline.sources.inventory import UNKNOWN_TIME, inventory
@@ -151,7 +150,7 @@ def process_lines(job: Job, lines: DataFrame, files: DataFrame, as_of) -> DataFr
     verdicts, raw, raw_verdicts = [], None, None
 
     if "metadata" in kinds:
-        links = delimited.metadata_rows(lines.where("kind = 'metadata'"), job.fmt).persist(StorageLevel.MEMORY_AND_DISK)
+        links = keep(delimited.metadata_rows(lines.where("kind = 'metadata'"), job.fmt))
         judged = measured(_judge_links(links, files.where("kind = 'metadata'")))
         verdicts.append(judged)
         good = measured(judged.where("reason IS NULL").select("file_path"))
@@ -161,7 +160,7 @@ def process_lines(job: Job, lines: DataFrame, files: DataFrame, as_of) -> DataFr
 
     if "rawdata" in kinds:
         parsed = delimited.raw_rows(lines.where("kind = 'rawdata'"), job.fmt)
-        raw = parsed.withColumn("sublink_id", stored_sublink(F.col("sublink_id"))).persist(StorageLevel.MEMORY_AND_DISK)
+        raw = keep(parsed.withColumn("sublink_id", stored_sublink(F.col("sublink_id"))))
         raw_verdicts = measured(_judge(raw, files.where("kind = 'rawdata'"), ["time", "cml_id", "sublink_id"], job.row_policy))
         verdicts.append(raw_verdicts)
         _write_raw(job, raw, raw_verdicts, as_of, merge_levels=False)
@@ -199,8 +198,8 @@ def process_json(job: Job, files: DataFrame, as_of) -> DataFrame:
     """One batch of JSON files.  Their levels come in separate files, so rows of
     one key complete one another instead of the first one winning."""
     parsed = json_records.raw_rows(files, job.field_map).withColumn("sublink_id", stored_sublink(F.col("sublink_id")))
-    raw = parsed.persist(StorageLevel.MEMORY_AND_DISK)
-    absent = json_records.absent_fields(raw, job.field_map).withColumnRenamed("header_error", "absent_error")
+    raw = keep(parsed)
+    absent = json_records.absent_fields(raw).withColumnRenamed("header_error", "absent_error")
     verdicts = _judge(raw, files.select(*FILE_KEY), ["time", "cml_id", "sublink_id"], job.row_policy)
     verdicts = verdicts.join(absent, "file_path", "left").withColumn("reason", F.coalesce("absent_error", "reason")).drop("absent_error")
     verdicts = measured(verdicts)
@@ -216,18 +215,24 @@ def unlogged(store: Store, files: DataFrame) -> DataFrame:
 
 def ingest_folder(spark: SparkSession, job: Job, path: str, as_of) -> None:
     """All new files of a folder in one batch: metadata, data, then JSON."""
-    for glob, json_files in (("*.csv", False), ("*.json", True)):
-        new = measured(unlogged(job.store, inventory(spark, path, glob)).select(*FILE_KEY))
-        since = new.agg(F.min(F.when(F.col("file_modified") > F.lit(UNKNOWN_TIME), F.col("file_modified")))).first()[0]
-        if new.isEmpty():
-            continue
-        key = new.select("file_path", "file_modified")
-        if json_files:
-            files = json_records.read_files(spark, path, glob, since).join(key, ["file_path", "file_modified"], "left_semi")
-            process_json(job, _with_empty(files, new), as_of)
-        else:
-            lines = delimited.text_lines(spark, path, job.fmt, glob, since).join(key, ["file_path", "file_modified"], "left_semi")
-            process_lines(job, lines, new, as_of)
+    for glob in ("*.csv", "*.json"):
+        with cache_scope():
+            _ingest_new(spark, job, path, glob, as_of)
+
+
+def _ingest_new(spark: SparkSession, job: Job, path: str, glob: str, as_of) -> None:
+    new = measured(unlogged(job.store, inventory(spark, path, glob)).select(*FILE_KEY))
+    if new.isEmpty():
+        return
+    changed = F.when(F.col("file_modified") > F.lit(UNKNOWN_TIME), F.col("file_modified"))
+    since = new.agg(F.min(changed)).first()[0]
+    key = new.select("file_path", "file_modified")
+    if glob == "*.json":
+        files = json_records.read_files(spark, path, glob, since).join(key, ["file_path", "file_modified"], "left_semi")
+        process_json(job, _with_empty(files, new), as_of)
+    else:
+        lines = delimited.text_lines(spark, path, job.fmt, glob, since).join(key, ["file_path", "file_modified"], "left_semi")
+        process_lines(job, lines, new, as_of)
 
 
 def _with_empty(files: DataFrame, listed: DataFrame) -> DataFrame:

@@ -205,8 +205,8 @@ def _pages(spark, sf_dir) -> DataFrame:
 )
 def json_rows(spark, sf_dir):
     """Paged JSON records through the field map."""
-    records = increments.page_records(_pages(spark, sf_dir))
-    rows = json_records.map_records(records, FIELD_MAP).where("absent IS NULL")
+    records = increments.page_records(json_records.route(_pages(spark, sf_dir), FIELD_MAP))
+    rows = json_records.map_records(records).where("absent IS NULL")
     return rows.select("filename", F.col("time").cast("timestamp_ntz").alias("time"), "cml_id", "sublink_id", "tsl", "rsl")
 
 

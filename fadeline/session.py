@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -44,15 +46,40 @@ def work_root(spark: SparkSession) -> str:
     return root
 
 
+_kept: ContextVar[list[DataFrame] | None] = ContextVar("kept", default=None)
+
+
+@contextmanager
+def cache_scope():
+    """Frees on leaving what ``keep`` and ``measured`` have persisted inside, so
+    that a stream does not hold the frames of past batches."""
+    frames: list[DataFrame] = []
+    token = _kept.set(frames)
+    try:
+        yield
+    finally:
+        _kept.reset(token)
+        for frame in frames:
+            frame.unpersist()
+
+
+def keep(df: DataFrame) -> DataFrame:
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    frames = _kept.get()
+    if frames is not None:
+        frames.append(kept)
+    return kept
+
+
 def measured(df: DataFrame) -> DataFrame:
-    """A join side whose true size Spark knows.
+    """A small join side whose true size Spark knows.
 
     Once materialised, a persisted frame reports its real size to the planner,
     which then broadcasts it below ``spark.sql.autoBroadcastJoinThreshold`` and
     sort-merges it above.  Before that the estimate would be that of the scan
     it comes from, and the large side would be shuffled for a handful of keys.
     """
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = keep(df)
     kept.count()
     return kept
 

@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 
 from fadeline.functions.identity import id_text
 from fadeline.functions.numbers import to_number
-from fadeline.functions.times import to_utc
+from fadeline.functions.times import column_to_utc
 from fadeline.schemas import COORDINATES, LINK_COLUMNS, RAW_COLUMNS
+from fadeline.session import measured
 from fadeline.sources.formats import MISSING_TEXTS, Format
 from fadeline.sources.names import plain_name
 
 FILE_COLUMNS = ["file_path", "filename", "file_modified"]
-BROADCAST_BYTES = 16 * 1024 * 1024
 
 
 def text_lines(spark: SparkSession, path, fmt: Format, glob: str = "*", since=None) -> DataFrame:
@@ -95,12 +95,8 @@ def named_rows(lines: DataFrame, fmt: Format, columns: list[str], renames: dict[
     """Rows with ``columns`` as text, ``header_error`` where a required column is
     missing, and the file columns.  Absent optional columns are null."""
     lines = clean_lines(lines, fmt)
-    heads = headers(lines)
-    facts = heads.agg(
-        F.max(F.size(F.split("header", re.escape(fmt.sep)))).alias("width"),
-        F.sum(F.length("header") + F.length("file_path") + 64).alias("bytes"),
-    ).first()
-    width = facts["width"] or 1
+    heads = measured(headers(lines))
+    width = heads.agg(F.max(F.size(F.split("header", re.escape(fmt.sep))))).first()[0] or 1
     names = F.transform(_fields("parsed", width), lambda n: F.trim(n))
     if renames:
         pairs = [F.lit(v) for pair in renames.items() for v in pair]
@@ -115,8 +111,6 @@ def named_rows(lines: DataFrame, fmt: Format, columns: list[str], renames: dict[
         if required
         else F.lit(None).cast("string").alias("header_error"),
     )
-    if (facts["bytes"] or 0) <= BROADCAST_BYTES:
-        positions = F.broadcast(positions)
     joined = lines.join(positions, "file_path")
     rows = joined.where(~((F.col("block_start") == 0) & (F.col("value") == F.col("header"))))
     cut = rows.withColumn("parsed", _split(F.col("value"), width, fmt))
@@ -135,9 +129,8 @@ def raw_rows(lines: DataFrame, fmt: Format) -> DataFrame:
     rows = named_rows(lines, fmt, RAW_COLUMNS, fmt.rawdata_columns, required)
     if fmt.parse_raw:
         return fmt.parse_raw(rows)
-    return rows.withColumns(
+    return column_to_utc(rows, "time", fmt.timezone, fmt.ambiguous).withColumns(
         {
-            "time": to_utc(F.col("time"), fmt.timezone, fmt.ambiguous),
             "cml_id": id_text(F.col("cml_id")),
             "tsl": to_number(F.col("tsl"), fmt.decimal),
             "rsl": to_number(F.col("rsl"), fmt.decimal),

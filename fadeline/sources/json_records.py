@@ -6,7 +6,7 @@ column.  The longest matching prefix counts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fadeline.functions.identity import id_text
@@ -19,25 +19,28 @@ FieldMap = dict[str, dict[str, str]]
 RECORDS = "array<map<string,string>>"
 
 
-def _source_field(prefix: Column, field_map: FieldMap, column: str) -> Column:
-    field = F.lit(None).cast("string")
+def route(files: DataFrame, field_map: FieldMap, name: str = "filename") -> DataFrame:
+    """Add to each file its field-map key ``prefix`` and the key's ``fields``
+    (canonical column to source field).  Done once per file, before its records
+    are opened."""
+    routed = files.withColumn("prefix", longest_prefix(stem(F.col(name)), field_map))
+    if not field_map:
+        return routed.withColumn("fields", F.lit(None).cast("map<string,string>"))
+    fields = F.lit(None).cast("map<string,string>")
     for key, mapping in field_map.items():
-        if column in mapping:
-            field = F.when(prefix == key, F.lit(mapping[column])).otherwise(field)
-    return field
-
-
-def map_records(records: DataFrame, field_map: FieldMap, name: str = "filename") -> DataFrame:
-    """Rows (a ``record`` map and its file name) to canonical columns.  The
-    column ``absent`` names a mapped field that the record lacks."""
-    routed = records.withColumn("prefix", longest_prefix(stem(F.col(name)), field_map))
-    fields = {c: _source_field(F.col("prefix"), field_map, c) for c in RAW_COLUMNS}
-    got = {c: F.element_at("record", f) for c, f in fields.items()}
-    absent = F.coalesce(*[F.when(f.isNotNull() & ~F.map_contains_key("record", f), f) for f in fields.values()])
-    keep = [c for c in records.columns if c != "record"]
-    return routed.select(
+        pairs = [F.lit(v) for pair in mapping.items() for v in pair]
+        fields = F.when(F.col("prefix") == key, F.create_map(*pairs)).otherwise(fields)
+    return routed.withColumn("fields", fields)
+
+
+def map_records(records: DataFrame) -> DataFrame:
+    """Routed rows with a ``record`` map to canonical columns.  The column
+    ``absent`` names a mapped field that the record lacks."""
+    got = {c: F.element_at("record", F.element_at("fields", c)) for c in RAW_COLUMNS}
+    absent = F.get(F.array_except(F.map_values("fields"), F.map_keys("record")), F.lit(0))
+    keep = [c for c in records.columns if c not in ("record", "fields")]
+    return records.select(
         *keep,
-        "prefix",
         absent.alias("absent"),
         parse_time(got["time"]).alias("time"),
         id_text(got["cml_id"]).alias("cml_id"),
@@ -67,13 +70,13 @@ def with_file(files: DataFrame) -> DataFrame:
 
 def raw_rows(files: DataFrame, field_map: FieldMap) -> DataFrame:
     """Observations of all files, with the file-level error in ``header_error``."""
-    parsed = files.withColumn("records", F.from_json("value", RECORDS))
+    parsed = route(files, field_map).withColumn("records", F.from_json("value", RECORDS))
     unreadable = F.when(F.col("records").isNull(), F.lit("Invalid JSON"))
     exploded = parsed.select(
-        "file_path", "filename", "file_modified", unreadable.alias("unreadable"),
+        "file_path", "filename", "file_modified", "prefix", "fields", unreadable.alias("unreadable"),
         F.posexplode_outer("records").alias("line_no", "record"),
     )
-    rows = map_records(exploded, field_map)
+    rows = map_records(exploded)
     available = ", ".join(sorted(field_map))
     unrouted = F.when(
         F.col("prefix").isNull(),
@@ -85,7 +88,7 @@ def raw_rows(files: DataFrame, field_map: FieldMap) -> DataFrame:
     )
 
 
-def absent_fields(rows: DataFrame, field_map: FieldMap) -> DataFrame:
+def absent_fields(rows: DataFrame) -> DataFrame:
     """Files in which a mapped field occurs in no record at all."""
     per_file = rows.where("line_no IS NOT NULL").groupBy("file_path").agg(
         F.min("absent").alias("field"), F.bool_and(F.col("absent").isNotNull()).alias("everywhere")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fadeline.plans import ingest
+from fadeline.session import cache_scope, keep
 from fadeline.sources import delimited, json_records
 from fadeline.sources.inventory import inventory
 
@@ -46,12 +47,10 @@ def watch_delimited(
     lines = delimited.with_file(source, job.fmt)
 
     def each_batch(batch: DataFrame, _batch_id: int) -> None:
-        kept = delimited.number_lines(batch).persist()
-        try:
-            files = kept.select(*ingest.FILE_KEY).distinct()
-            ingest.process_lines(job, kept, files, _now(as_of))
-        finally:
-            kept.unpersist()
+        with cache_scope():
+            lines = keep(delimited.number_lines(batch))
+            listed = lines.select(*ingest.FILE_KEY).distinct()
+            ingest.process_lines(job, lines, listed, _now(as_of))
 
     return _start(lines, each_batch, checkpoint, interval)
 
@@ -64,11 +63,8 @@ def watch_json(
     files = json_records.with_file(_source(spark, path, "*.json", True, files_per_batch, clean, archive_dir))
 
     def each_batch(batch: DataFrame, _batch_id: int) -> None:
-        kept = batch.persist()
-        try:
-            ingest.process_json(job, kept, _now(as_of))
-        finally:
-            kept.unpersist()
+        with cache_scope():
+            ingest.process_json(job, keep(batch), _now(as_of))
 
     return _start(files, each_batch, checkpoint, interval)
 

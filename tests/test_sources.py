@@ -214,7 +214,7 @@ def test_json_errors(spark, tmp_path):
     errors = dict(rows(found.where("header_error IS NOT NULL").distinct(), "filename", "header_error"))
     assert errors["mock_operator_rsl_broken.json"] == "Invalid JSON"
     assert errors["unknown.json"].startswith("No field-map entry matches filename stem 'unknown'. Available prefixes: mock_operator, ")
-    absent = json_records.absent_fields(found, FIELD_MAP)
+    absent = json_records.absent_fields(found)
     assert [(p.rsplit("/", 1)[1], e) for p, e in rows(absent)] == [("mock_operator_rsl_absent.json", "Field 'value' not found")]
 
 
