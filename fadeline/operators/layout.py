@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fadeline.functions.times import as_datetime
-from fadeline.session import new_path
+from fadeline.session import staged
 
 OBSERVATION_PARTITIONS = ["user_id", "date"]
 MAX_LISTED_DAYS = 1000
@@ -82,15 +82,6 @@ def _overwrite(rows: DataFrame, path: str, partitions: list[str], codec: str) ->
     ).parquet(path)
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` written to the work folder and read back.  A later job may then
-    overwrite the files that ``df`` was made from, and finds the rows again if
-    executors are lost."""
-    path = new_path(df.sparkSession, "staged")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def replace_partitions(df: DataFrame, path: str, partitions: list[str], codec: str = "snappy") -> None:
     """Overwrite only the partitions that ``df`` has rows for.  If ``df`` reads
     from ``path``, pass it through ``staged``."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fadeline.functions.text import contains_ci
 from fadeline.functions.times import in_range, time_bucket
-from fadeline.session import measured
+from fadeline.session import staged
 
 
 def newest_since(rows: DataFrame, n: int, column: str = "time") -> Column:
@@ -61,4 +61,4 @@ def sublinks_with_data(observations: DataFrame, until=None) -> DataFrame:
 
 def keep_active_sublinks(rows: DataFrame, observations: DataFrame, until=None) -> DataFrame:
     """Drop rows (data or metadata) of sublinks that never carry a value."""
-    return rows.join(measured(sublinks_with_data(observations, until)), "sublink_id", "left_semi")
+    return rows.join(staged(sublinks_with_data(observations, until)), "sublink_id", "left_semi")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fadeline.schemas import LINK_KEY, OBSERVATION_KEY
-from fadeline.session import measured
+from fadeline.session import staged
 
 
 def _rest(df: DataFrame, *known: str) -> list[str]:
@@ -78,4 +78,4 @@ def has_repeated_keys(rows: DataFrame, key: list[str] | None = None) -> bool:
     again = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     if again.isEmpty():
         return False
-    return not repeated_keys(hashed.join(measured(again), "h", "left_semi"), key).isEmpty()
+    return not repeated_keys(hashed.join(staged(again), "h", "left_semi"), key).isEmpty()

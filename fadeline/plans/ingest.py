@@ -18,7 +18,7 @@ from fadeline.functions.times import as_datetime
 from fadeline.operators import validate
 from fadeline.operators.raw import load_summary
 from fadeline.plans.store import Store
-from fadeline.session import cache_scope, keep, measured
+from fadeline.session import cache_scope, keep, staged
 from fadeline.sources import archive, delimited, json_records
 from fadeline.sources.formats import Format
 from fadeline.sources.inventory import UNKNOWN_TIME, inventory
@@ -126,7 +126,7 @@ def _arrival() -> Column:
 
 def _write_raw(job: Job, rows: DataFrame, verdicts: DataFrame, as_of, merge_levels: bool) -> None:
     """Rows of the good files, then the statistics of the days and links they touch."""
-    good = measured(verdicts.where("reason IS NULL").select("file_path"))
+    good = staged(verdicts.where("reason IS NULL").select("file_path"))
     if good.isEmpty():
         return
     usable = rows.where(F.col("line_no").isNotNull() & validate.row_reason().isNull())
@@ -136,12 +136,11 @@ def _write_raw(job: Job, rows: DataFrame, verdicts: DataFrame, as_of, merge_leve
     job.store.refresh_lifetime_stats(as_of, kept.select("user_id", "cml_id"))
 
 
-def process_lines(job: Job, lines: DataFrame, files: DataFrame, as_of) -> DataFrame:
+@cache_scope()
+def process_lines(job: Job, lines: DataFrame, files: DataFrame, as_of) -> None:
     """One batch of delimited files: metadata first, then data.
 
-    ``lines`` comes from ``delimited``; ``files`` lists all files of the batch.
-    Returns the log rows of the batch.
-    """
+    ``lines`` comes from ``delimited``; ``files`` lists all files of the batch.    """
     kind = file_kind(F.col("filename"), job.fmt)
     files = files.select(*FILE_KEY).withColumn("kind", kind)
     lines = lines.withColumn("kind", kind)
@@ -151,9 +150,9 @@ def process_lines(job: Job, lines: DataFrame, files: DataFrame, as_of) -> DataFr
 
     if "metadata" in kinds:
         links = keep(delimited.metadata_rows(lines.where("kind = 'metadata'"), job.fmt))
-        judged = measured(_judge_links(links, files.where("kind = 'metadata'")))
+        judged = staged(_judge_links(links, files.where("kind = 'metadata'")))
         verdicts.append(judged)
-        good = measured(judged.where("reason IS NULL").select("file_path"))
+        good = staged(judged.where("reason IS NULL").select("file_path"))
         if not good.isEmpty():
             tagged = links.join(good, "file_path", "left_semi").withColumns({"seq": _arrival(), "user_id": F.lit(job.user_id)})
             job.store.upsert_links(tagged)
@@ -161,7 +160,7 @@ def process_lines(job: Job, lines: DataFrame, files: DataFrame, as_of) -> DataFr
     if "rawdata" in kinds:
         parsed = delimited.raw_rows(lines.where("kind = 'rawdata'"), job.fmt)
         raw = keep(parsed.withColumn("sublink_id", stored_sublink(F.col("sublink_id"))))
-        raw_verdicts = measured(_judge(raw, files.where("kind = 'rawdata'"), ["time", "cml_id", "sublink_id"], job.row_policy))
+        raw_verdicts = staged(_judge(raw, files.where("kind = 'rawdata'"), ["time", "cml_id", "sublink_id"], job.row_policy))
         verdicts.append(raw_verdicts)
         _write_raw(job, raw, raw_verdicts, as_of, merge_levels=False)
 
@@ -173,7 +172,6 @@ def process_lines(job: Job, lines: DataFrame, files: DataFrame, as_of) -> DataFr
     if job.row_policy == "drop" and raw is not None:
         _quarantine_rows(job, raw, raw_verdicts, as_of)
     finish(job, every, lines, as_of)
-    return _log_rows(job, every, as_of)
 
 
 def _quarantine_rows(job: Job, raw: DataFrame, verdicts: DataFrame, as_of) -> None:
@@ -194,7 +192,8 @@ def finish(job: Job, verdicts: DataFrame, lines: DataFrame, as_of) -> None:
     job.store.append_log(_log_rows(job, verdicts, as_of))
 
 
-def process_json(job: Job, files: DataFrame, as_of) -> DataFrame:
+@cache_scope()
+def process_json(job: Job, files: DataFrame, as_of) -> None:
     """One batch of JSON files.  Their levels come in separate files, so rows of
     one key complete one another instead of the first one winning."""
     parsed = json_records.raw_rows(files, job.field_map).withColumn("sublink_id", stored_sublink(F.col("sublink_id")))
@@ -202,10 +201,9 @@ def process_json(job: Job, files: DataFrame, as_of) -> DataFrame:
     absent = json_records.absent_fields(raw).withColumnRenamed("header_error", "absent_error")
     verdicts = _judge(raw, files.select(*FILE_KEY), ["time", "cml_id", "sublink_id"], job.row_policy)
     verdicts = verdicts.join(absent, "file_path", "left").withColumn("reason", F.coalesce("absent_error", "reason")).drop("absent_error")
-    verdicts = measured(verdicts)
+    verdicts = staged(verdicts)
     _write_raw(job, raw, verdicts, as_of, merge_levels=True)
     finish(job, verdicts, files, as_of)
-    return _log_rows(job, verdicts, as_of)
 
 
 def unlogged(store: Store, files: DataFrame) -> DataFrame:
@@ -216,12 +214,11 @@ def unlogged(store: Store, files: DataFrame) -> DataFrame:
 def ingest_folder(spark: SparkSession, job: Job, path: str, as_of) -> None:
     """All new files of a folder in one batch: metadata, data, then JSON."""
     for glob in ("*.csv", "*.json"):
-        with cache_scope():
-            _ingest_new(spark, job, path, glob, as_of)
+        _ingest_new(spark, job, path, glob, as_of)
 
 
 def _ingest_new(spark: SparkSession, job: Job, path: str, glob: str, as_of) -> None:
-    new = measured(unlogged(job.store, inventory(spark, path, glob)).select(*FILE_KEY))
+    new = staged(unlogged(job.store, inventory(spark, path, glob)).select(*FILE_KEY))
     if new.isEmpty():
         return
     changed = F.when(F.col("file_modified") > F.lit(UNKNOWN_TIME), F.col("file_modified"))

@@ -21,7 +21,7 @@ from fadeline.plans.queries_stats import LAST, LIFETIME, rollup_sql, rounded
 from fadeline.plans.store import Store
 from fadeline.plans.views import OBSERVATIONS_AS_OF, arrivals, file_log, links, observations, table
 from fadeline.schemas import COORDINATES
-from fadeline.session import new_path
+from fadeline.session import new_path, staged
 from fadeline.sources import cube, delimited, json_records
 from fadeline.sources.formats import load_format
 from fadeline.sources.inventory import file_listing
@@ -324,7 +324,7 @@ def dedup_rewrite(spark, sf_dir):
     arrivals_dated = layout.with_date(arrivals(spark, sf_dir))
     layout.write_observations(arrivals_dated, path)
     stored = spark.read.parquet(path)
-    layout.replace_observations(layout.staged(first_wins(stored).drop("seq")), path)
+    layout.replace_observations(staged(first_wins(stored).drop("seq")), path)
     return _as_stored(spark.read.parquet(path))
 
 

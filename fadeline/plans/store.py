@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from fadeline.functions.times import as_datetime, in_range
 from fadeline.operators import layout, rollup, stats, upsert
 from fadeline.operators.rollup import ROLLUP_KEYS
-from fadeline.session import measured
+from fadeline.session import staged
 from fadeline.schemas import (
     FILE_LOG,
     LIFETIME_COLUMNS,
@@ -115,27 +115,27 @@ class Store:
         stored = layout.of_days(self.observations(), typed)
         fresh = upsert.new_rows(stored, typed, OBSERVATION_KEY, "seq").drop("seq")
         layout.write_observations(fresh, self.path("observations"))
-        return measured(typed.select("user_id", "date").distinct())
+        return staged(typed.select("user_id", "date").distinct())
 
     def fill_nulls(self, rows: DataFrame) -> DataFrame:
         """Merge rows so that they fill null levels of stored ones, and rewrite
         the days they touch."""
         typed = self._typed(rows)
-        pairs = measured(typed.select("user_id", "date").distinct())
+        pairs = staged(typed.select("user_id", "date").distinct())
         place = typed.schema["seq"].dataType
         stored = layout.of_days(self.observations(), typed).join(pairs, ["user_id", "date"], "left_semi")
         rank = T.StructType([T.StructField("batch", T.IntegerType()), T.StructField("place", place)])
         old = stored.withColumn("seq", F.struct(F.lit(0).alias("batch"), F.lit(None).cast(place).alias("place")).cast(rank))
         new = typed.withColumn("seq", F.struct(F.lit(1).alias("batch"), F.col("seq").alias("place")).cast(rank))
         merged = upsert.fill_nulls(old.unionByName(new)).drop("seq")
-        layout.replace_observations(layout.staged(merged), self.path("observations"))
+        layout.replace_observations(staged(merged), self.path("observations"))
         return pairs
 
     def load_unique(self, rows: DataFrame, mode: str = "append") -> None:
         """Bulk load; a repeated key is an error, found before the table is touched.
         The source is parsed once: check and load read the staged copy."""
         typed = layout.with_date(rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in OBSERVATION.fields]))
-        typed = layout.staged(typed)
+        typed = staged(typed)
         checked = typed.select(*OBSERVATION_KEY, "date")
         if mode == "append":
             checked = checked.unionByName(layout.of_days(self.observations(), typed).select(*OBSERVATION_KEY, "date"))
@@ -149,7 +149,7 @@ class Store:
 
     def _rewrite_links(self, merged: DataFrame, users: DataFrame) -> None:
         kept = merged.join(users, "user_id", "left_semi").select(*[f.name for f in LINK.fields])
-        layout.replace_partitions(layout.staged(kept), self.path("links"), ["user_id"])
+        layout.replace_partitions(staged(kept), self.path("links"), ["user_id"])
 
     def upsert_links(self, rows: DataFrame) -> None:
         """Last row of a link wins, all values replaced."""
@@ -193,7 +193,7 @@ class Store:
         users = fresh.select("user_id").distinct()
         others = stored.join(users, "user_id", "left_semi").join(fresh.select(*STATS_KEY), STATS_KEY, "left_anti")
         merged = others.select(_names(_LIFETIME)).unionByName(fresh)
-        layout.replace_partitions(layout.staged(merged), self.path("lifetime_stats"), ["user_id"])
+        layout.replace_partitions(staged(merged), self.path("lifetime_stats"), ["user_id"])
 
     def refresh_windowed_stats(self, as_of) -> None:
         """Windowed columns of every known link.  The newest rows come from the
@@ -230,7 +230,7 @@ class Store:
         days = F.col("date").between(F.lit(start.date().isoformat()).cast("date"), F.lit(end.date().isoformat()).cast("date"))
         kept = published.where(days & ~in_range(published, "bucket", start, end, end_inclusive=False))
         both = kept.unionByName(dated.select(kept.columns))
-        layout.replace_partitions(layout.staged(both), self.path("rollup_1h"), ["date"])
+        layout.replace_partitions(staged(both), self.path("rollup_1h"), ["date"])
 
     def rewrite_buckets(self, buckets: DataFrame) -> None:
         """Recompute the buckets given (hours with new data) from the raw rows."""

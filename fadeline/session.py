@@ -51,8 +51,9 @@ _kept: ContextVar[list[DataFrame] | None] = ContextVar("kept", default=None)
 
 @contextmanager
 def cache_scope():
-    """Frees on leaving what ``keep`` and ``measured`` have persisted inside, so
-    that a stream does not hold the frames of past batches."""
+    """Frees on leaving what ``keep`` has persisted inside.  A stream then does
+    not hold the frames of past batches, and no later read of the same path is
+    answered from an old cache."""
     frames: list[DataFrame] = []
     token = _kept.set(frames)
     try:
@@ -64,26 +65,28 @@ def cache_scope():
 
 
 def keep(df: DataFrame) -> DataFrame:
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    """Persist a frame until the cache scope ends."""
     frames = _kept.get()
-    if frames is not None:
-        frames.append(kept)
-    return kept
-
-
-def measured(df: DataFrame) -> DataFrame:
-    """A small join side whose true size Spark knows.
-
-    Once materialised, a persisted frame reports its real size to the planner,
-    which then broadcasts it below ``spark.sql.autoBroadcastJoinThreshold`` and
-    sort-merges it above.  Before that the estimate would be that of the scan
-    it comes from, and the large side would be shuffled for a handful of keys.
-    """
-    kept = keep(df)
-    kept.count()
-    return kept
+    if frames is None:
+        raise RuntimeError("keep() needs a cache_scope()")
+    frames.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return frames[-1]
 
 
 def new_path(spark: SparkSession, label: str) -> str:
     """A path below the work folder that no other run uses."""
     return f"{work_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written to the work folder and read back.
+
+    A later job may then overwrite the files that ``df`` was made from, and
+    finds the rows again if executors are lost.  As a join side it has a size
+    the planner knows: Spark broadcasts it below
+    ``spark.sql.autoBroadcastJoinThreshold`` and sort-merges it above, instead
+    of shuffling a large side for a handful of keys on a wrong estimate.
+    """
+    path = new_path(df.sparkSession, "staged")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -17,7 +17,7 @@ from fadeline.functions.identity import id_text
 from fadeline.functions.numbers import to_number
 from fadeline.functions.times import column_to_utc
 from fadeline.schemas import COORDINATES, LINK_COLUMNS, RAW_COLUMNS
-from fadeline.session import measured
+from fadeline.session import staged
 from fadeline.sources.formats import MISSING_TEXTS, Format
 from fadeline.sources.names import plain_name
 
@@ -95,7 +95,7 @@ def named_rows(lines: DataFrame, fmt: Format, columns: list[str], renames: dict[
     """Rows with ``columns`` as text, ``header_error`` where a required column is
     missing, and the file columns.  Absent optional columns are null."""
     lines = clean_lines(lines, fmt)
-    heads = measured(headers(lines))
+    heads = staged(headers(lines))
     width = heads.agg(F.max(F.size(F.split("header", re.escape(fmt.sep))))).first()[0] or 1
     names = F.transform(_fields("parsed", width), lambda n: F.trim(n))
     if renames:

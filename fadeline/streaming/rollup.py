@@ -10,7 +10,7 @@ from fadeline.functions.times import time_bucket
 from fadeline.operators import layout
 from fadeline.operators.rollup import ROLLUP_KEYS, hourly_rollup
 from fadeline.schemas import OBSERVATION_KEY
-from fadeline.session import cache_scope, keep, measured
+from fadeline.session import cache_scope, keep, staged
 
 LEVELS = ("rsl", "tsl")
 STATE = (
@@ -59,11 +59,11 @@ def start_rollup(stream: DataFrame, path: str, checkpoint: str, interval: str |
             numbered = {"bucket": F.col("bucket").cast("timestamp"), "batch": F.lit(batch_id).cast("bigint")}
             fresh = keep(layout.with_date(_mergeable(batch).withColumns(numbered), "bucket"))
             stored = layout.of_days(layout.read_or_empty(spark, path, STATE), fresh)
-            taken_in = measured(stored.groupBy("date").agg(F.max("batch").alias("last")).where(F.col("last") >= batch_id))
+            taken_in = staged(stored.groupBy("date").agg(F.max("batch").alias("last")).where(F.col("last") >= batch_id))
             todo = fresh.join(taken_in, "date", "left_anti")
             kept = stored.join(taken_in, "date", "left_anti")
             merged = _merged(kept.unionByName(todo))
-            layout.replace_partitions(layout.staged(merged), path, ["date"])
+            layout.replace_partitions(staged(merged), path, ["date"])
 
     writer = stream.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
