@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fadeline.schemas import LINK_COLUMNS, RAW_COLUMNS
+from fadeline.session import staged
 
 # The required columns of each kind and the valid ranges.
 REQUIRED = {"rawdata": RAW_COLUMNS, "metadata": LINK_COLUMNS}
@@ -95,9 +96,9 @@ def missing_references(observations: DataFrame, links: DataFrame) -> DataFrame:
 
 def missing_reference_warning(observations: DataFrame, links: DataFrame, sample: int = 10) -> DataFrame:
     """Number of sublinks without metadata, and the first few of them."""
-    missing = missing_references(observations, links)
+    missing = staged(missing_references(observations, links))
     count = missing.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return missing.limit(sample).withColumn("missing_pairs", count)
+    return missing.orderBy(*missing.columns).limit(sample).withColumn("missing_pairs", count)
 
 
 def orphan_count(observations: DataFrame, links: DataFrame) -> DataFrame:

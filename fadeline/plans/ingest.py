@@ -7,6 +7,7 @@ that failed half-way is simply run again.
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -24,6 +25,8 @@ from fadeline.sources.formats import Format
 from fadeline.sources.inventory import UNKNOWN_TIME, inventory
 from fadeline.sources.names import file_kind
 
+logger = logging.getLogger(__name__)
+
 FILE_KEY = ["file_path", "filename", "file_modified"]
 
 
@@ -32,7 +35,8 @@ class Job:
     """Where files come from and whose they are.
 
     ``row_policy`` says what a row without time, link or sublink does: ``file``
-    quarantines its file, ``drop`` quarantines only the row.
+    quarantines its file, ``drop`` quarantines only the row.  With
+    ``warn_missing`` a batch warns of sublinks that have no metadata.
     """
 
     store: Store
@@ -40,6 +44,7 @@ class Job:
     user_id: str
     field_map: dict[str, dict[str, str]] = field(default_factory=dict)
     row_policy: str = "file"
+    warn_missing: bool = False
 
     def __post_init__(self):
         if self.row_policy not in ("file", "drop"):
@@ -107,16 +112,19 @@ def _quarantine(job: Job, verdicts: DataFrame, lines: DataFrame, as_of) -> None:
     kept.select(
         F.lit(job.user_id).alias("user_id"), "file_path", "filename", "reason", F.col("value").alias("line"),
         _timestamp(as_of).alias("quarantined_at"), F.to_date(_timestamp(as_of)).alias("date"),
-    ).write.mode("append").partitionBy("date").parquet(job.store.path("quarantine"))
+    ).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "filename").parquet(job.store.path("quarantine"))
 
 
 def _archive(job: Job, verdicts: DataFrame, lines: DataFrame, as_of) -> None:
-    """Lines of the good files, compressed, under the processing date and file."""
+    """Lines of the good files, compressed, under the processing date and file.
+    As with moved files, a second file of that name on that day replaces the first."""
     good = verdicts.where("reason IS NULL").select("file_path")
     rows = lines.join(good, "file_path", "left_semi").select(
         "value", F.to_date(_timestamp(as_of)).alias("processing_date"), "filename"
     )
-    rows.write.mode("append").option("compression", "gzip").partitionBy("processing_date", "filename").text(job.store.path("archive"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "gzip").partitionBy(
+        "processing_date", "filename"
+    ).text(job.store.path("archive"))
 
 
 def _arrival() -> Column:
@@ -163,6 +171,8 @@ def process_lines(job: Job, lines: DataFrame, files: DataFrame, as_of) -> None:
         raw_verdicts = staged(_judge(raw, files.where("kind = 'rawdata'"), ["time", "cml_id", "sublink_id"], job.row_policy))
         verdicts.append(raw_verdicts)
         _write_raw(job, raw, raw_verdicts, as_of, merge_levels=False)
+        if job.warn_missing:
+            _warn_missing(job, raw)
 
     verdicts.append(files.where("kind = 'unsupported'").select(
         *FILE_KEY, F.lit(0).cast("bigint").alias("rows_read"), F.lit(0).cast("bigint").alias("rows_good"),
@@ -174,6 +184,15 @@ def process_lines(job: Job, lines: DataFrame, files: DataFrame, as_of) -> None:
     finish(job, every, lines, as_of)
 
 
+def _warn_missing(job: Job, raw: DataFrame) -> None:
+    """Data without metadata is written all the same, with a warning."""
+    tagged = raw.where("line_no IS NOT NULL").withColumn("user_id", F.lit(job.user_id))
+    sample = validate.missing_reference_warning(tagged, job.store.links()).collect()
+    if sample:
+        pairs = [(r["cml_id"], r["sublink_id"]) for r in sample]
+        logger.warning("Missing metadata for %d (cml_id, sublink_id) pairs; sample: %s", sample[0]["missing_pairs"], pairs)
+
+
 def _quarantine_rows(job: Job, raw: DataFrame, verdicts: DataFrame, as_of) -> None:
     """Single broken rows of files that are otherwise good."""
     broken = raw.where(validate.row_reason().isNotNull()).join(verdicts.where("reason IS NULL").select("file_path"), "file_path", "left_semi")
@@ -181,7 +200,7 @@ def _quarantine_rows(job: Job, raw: DataFrame, verdicts: DataFrame, as_of) -> No
         F.lit(job.user_id).alias("user_id"), "file_path", "filename", validate.row_reason().alias("reason"),
         F.to_json(F.struct("time", "cml_id", "sublink_id", "tsl", "rsl")).alias("line"),
         _timestamp(as_of).alias("quarantined_at"), F.to_date(_timestamp(as_of)).alias("date"),
-    ).write.mode("append").partitionBy("date").parquet(job.store.path("quarantine"))
+    ).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "filename").parquet(job.store.path("quarantine"))
 
 
 def finish(job: Job, verdicts: DataFrame, lines: DataFrame, as_of) -> None:

@@ -270,9 +270,9 @@ def test_stream_equals_batch(spark, store, tmp_path):
     assert rows(store.link_stats().where("cml_id = '1'"), "total_records_6h", "last_rsl") == [(1, -1.0)]
 
 
-def test_lost_stream_batch_is_run_again(spark, store, tmp_path, monkeypatch):
-    put(tmp_path, a_data__csv=HEADER + "2026-01-20 09:00:00,1,a,1,-40\n")
-    job = ingest.Job(store, load_format("demo_csv_data"), "me")
+def test_lost_stream_batch_is_run_again(spark, store, tmp_path, monkeypatch, caplog):
+    put(tmp_path, a_data__csv=HEADER + "2026-01-20 09:00:00,1,a,1,-40\n", bad_data__csv=HEADER + "x,1,a,1,-40\n")
+    job = ingest.Job(store, load_format("demo_csv_data"), "me", warn_missing=True)
     checkpoint = new_path(spark, "checkpoint")
     real = Store.append_log
 
@@ -285,8 +285,11 @@ def test_lost_stream_batch_is_run_again(spark, store, tmp_path, monkeypatch):
     assert store.file_log().isEmpty()
     monkeypatch.setattr(Store, "append_log", real)
     watch.watch_delimited(spark, job, str(tmp_path), checkpoint, as_of=AS_OF).awaitTermination()
-    assert verdicts(store) == {"a_data.csv": ("archived", 1, None)}
+    assert verdicts(store) == {"a_data.csv": ("archived", 1, None), "bad_data.csv": ("quarantined", None, "time is null")}
     assert store.observations().count() == 1
+    assert spark.read.parquet(store.path("quarantine")).count() == 2
+    assert spark.read.text(store.path("archive")).count() == 2
+    assert "Missing metadata for" in caplog.text
 
 
 def test_stream_rollup_replays_batches_once(spark, sf_dir):
