@@ -17,6 +17,7 @@ from fadeline.session import staged
 
 OBSERVATION_PARTITIONS = ["user_id", "date"]
 MAX_LISTED_DAYS = 1000
+COMPACT_CODEC = "zstd"
 
 
 def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -93,11 +94,24 @@ def replace_observations(df: DataFrame, path: str, codec: str = "snappy", bulk:
     _overwrite((bulk_clustered if bulk else clustered)(df), path, OBSERVATION_PARTITIONS, codec)
 
 
+def uncompacted(spark: SparkSession, path: str, before) -> DataFrame:
+    """(user_id, date) folders older than ``before`` that still hold a file which
+    is not in the compact codec.  The codec is part of Spark's file names, so
+    only names are listed."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    loose = ~F.col("_metadata.file_name").endswith(f".{COMPACT_CODEC}.parquet")
+    return files.where(F.col("date") < before).where(loose).select(*OBSERVATION_PARTITIONS).distinct()
+
+
 def compact(spark: SparkSession, path: str, as_of, older_than_days: int = 7) -> None:
-    """Rewrite days older than a week into few, better compressed files."""
-    rows = spark.read.parquet(path)
+    """Rewrite days older than a week into few, better compressed files.  Days
+    that are compact already are left alone."""
     limit = F.date_sub(F.lit(as_datetime(as_of).date().isoformat()).cast("date"), older_than_days)
-    replace_observations(staged(rows.where(F.col("date") < limit)), path, codec="zstd", bulk=True)
+    pending = staged(uncompacted(spark, path, limit))
+    if pending.isEmpty():
+        return
+    rows = of_days(spark.read.parquet(path), pending).join(pending, OBSERVATION_PARTITIONS, "left_semi")
+    replace_observations(staged(rows), path, codec=COMPACT_CODEC, bulk=True)
 
 
 def read_range(spark: SparkSession, path: str, start=None, end=None, column: str = "time") -> DataFrame:

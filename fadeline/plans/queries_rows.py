@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fadeline.functions.text import landed_name, window_text
@@ -13,8 +13,7 @@ from fadeline.operators import increments as I
 from fadeline.operators import rollup, series, upsert, validate
 from fadeline.plans.catalog import query, with_views
 from fadeline.plans.queries_stats import AS_OF, rounded, rollup_sql
-from fadeline.plans.views import OBSERVATIONS_AS_OF, arrivals, file_log, links, observations, table
-from fadeline.schemas import LINK_KEY
+from fadeline.plans.views import arrivals, file_log, links, observations, table
 
 KEY = "time, cml_id, sublink_id, user_id"
 FIRST = f"""SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY seq) AS rn FROM arrivals) WHERE rn = 1"""

@@ -382,6 +382,18 @@ def test_compaction_keeps_rows(spark, sf_dir):
     assert rows(spark.read.parquet(path)) == before
     assert len(spark.read.parquet(path).inputFiles()) < files
 
+    def listing():
+        return set(spark.read.parquet(path).inputFiles())
+
+    first = listing()
+    layout.compact(spark, path, "2024-01-31")
+    assert listing() == first
+    late = obs.limit(1).withColumns({"time": F.lit("2024-01-03 12:00:00").cast("timestamp_ntz"), "user_id": F.lit("tenant_a")})
+    layout.write_observations(late, path)
+    layout.compact(spark, path, "2024-01-31")
+    changed = {f for f in first ^ listing()}
+    assert changed and all("user_id=tenant_a/date=2024-01-03/" in f for f in changed)
+
 
 def test_clean_source_archives_read_files(spark, store, tmp_path):
     incoming, done = tmp_path / "in", tmp_path / "done"
