@@ -253,7 +253,9 @@ def _ingest_new(spark: SparkSession, job: Job, path: str, glob: str, as_of) -> N
 
 def _with_empty(files: DataFrame, listed: DataFrame) -> DataFrame:
     """A file without a byte gives no row in a text source; it is listed all the same."""
-    return listed.join(files.select("file_path", "value"), "file_path", "left").select("value", *FILE_KEY)
+    empty = listed.where(F.col("file_modified") == F.lit(UNKNOWN_TIME).cast("timestamp"))
+    none = empty.select(F.lit(None).cast("string").alias("value"), *FILE_KEY)
+    return files.select("value", *FILE_KEY).unionByName(none)
 
 
 def load_archive(spark: SparkSession, store: Store, data_path: str, metadata_path: str, user_id: str, as_of, replace_all: bool = False) -> DataFrame:

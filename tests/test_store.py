@@ -177,6 +177,7 @@ def test_folder_from_files_to_tables(spark, store, tmp_path):
         op_rsl_20260101__json=json.dumps([{"timestamp": "2026-01-22T00:00:00Z", "link_id": "0010", "sublink_id": "a", "value": -45.0}]),
         op_tsl_20260101__json=json.dumps([{"timestamp": "2026-01-22T00:00:00Z", "link_id": "0010", "sublink_id": "a", "value": 3.0}]),
         other__json="[]",
+        op_rsl_zero__json=b"",
     )
     job = ingest.Job(store, load_format("demo_csv_data"), "me", FIELD_MAP)
     ingest.ingest_folder(spark, job, str(tmp_path), AS_OF)
@@ -192,7 +193,8 @@ def test_folder_from_files_to_tables(spark, store, tmp_path):
     assert log["notes.csv"] == ("quarantined", None, "Unsupported file type: notes.csv")
     assert log["op_rsl_20260101.json"] == log["op_tsl_20260101.json"] == ("archived", 1, None)
     assert log["other.json"][0] == "quarantined"
-    assert "ignored.txt" not in log and len(log) == 13
+    assert log["op_rsl_zero.json"][0] == "quarantined"
+    assert "ignored.txt" not in log and len(log) == 14
     assert keep(store.observations(), "time", "cml_id", "sublink_id", "rsl", "tsl", "user_id") == sorted(
         [
             (datetime(2026, 1, 20, 9), "0010", "a", -40.0, 1.0, "me"),
