@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fadeline.llm import byte_bpe
+from fadeline.llm import byte_bpe, secrets, word_pieces
 from fadeline.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -15,6 +15,7 @@ ORACLE: dict[str, str] = {}
 
 #: The tokenizer files that the queries use.
 BYTE_BPE = "byte_bpe_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 
 
 def query(name: str, sql: str | None = None):
@@ -32,3 +33,17 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the text they give again."""
     ranks = byte_bpe.load_ranks(public_tokenizers.path(BYTE_BPE))
     return byte_bpe.digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+@query("op4_token_counts")
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of words, word pieces and unknown words of every document."""
+    opening, going_on = word_pieces.load_pieces(public_tokenizers.path(PIECES))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return word_pieces.token_counts(docs, opening, going_on).drop("text")
+
+
+@query("op10_secrets")
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of secrets in every document."""
+    return secrets.report(table(spark, sf_dir, "documents"))
