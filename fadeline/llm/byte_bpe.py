@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 from fadeline.llm.text import map_texts
 
 #: Words and pieces whose ids a worker remembers, each; longer ones are not kept.
-REMEMBERED, SHORT = 700_000, 64
+REMEMBERED, SHORT = 350_000, 64
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
