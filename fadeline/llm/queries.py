@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fadeline.llm import byte_bpe, secrets, word_pieces
+from fadeline.llm import byte_bpe, fingerprints, quality, secrets, word_pieces
 from fadeline.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op7_quality")
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    return quality.report(table(spark, sf_dir, "documents"))
+
+
 @query("op8_byte_bpe")
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the text they give again."""
@@ -43,6 +49,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_pieces.token_counts(docs, opening, going_on).drop("text")
 
 
+@query("op9_fingerprints")
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprints.report(table(spark, sf_dir, "documents"))
+
+
 @query("op10_secrets")
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of secrets in every document."""
