@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fadeline.llm import byte_bpe, fingerprints, quality, secrets, toxicity, word_pieces
+from fadeline.llm import byte_bpe, fingerprints, near_duplicates, quality, secrets, toxicity, word_pieces
 from fadeline.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op5_near_duplicates")
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of every document."""
+    return near_duplicates.report(table(spark, sf_dir, "documents"))
+
+
 @query("op7_quality")
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
