@@ -13,22 +13,30 @@ from fadeline.llm.text import unused
 CHUNK_ROWS, BRANCHES = 1000, 16
 
 
+def filled(column: str) -> Column:
+    """A text for each value, null included, so that equality joins it."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))
+
+
 def numbered(df: DataFrame, group: list[str], chunk: list[str], order: list[Column], into: str) -> DataFrame:
     """``df`` with ``into``: places 0, 1, 2, ... within ``group``, by ``chunk`` and then ``order``.
 
     Rows are numbered within (group, chunk), which also parts a group that holds
     many rows; the numbers before a chunk come from the counts of the chunks, of
-    which a group has few.  Nulls are a group, and a chunk, of their own.
+    which a group has few.  Nulls are a group, and a chunk, of their own.  Numbering
+    and the join use one partitioning, so each row is shuffled once.
     """
-    sizes, before = unused(df, "chunk_rows"), unused(df, "rows_before")
     keys = [*group, *chunk]
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(sizes))
-    earlier = Window.partitionBy(*(group or [F.lit(0)])).orderBy(*chunk).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*(F.col(k).alias(f"__{k}") for k in keys), F.coalesce(F.sum(sizes).over(earlier), F.lit(0)).alias(before))
-    local = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    placed = df.withColumn(into, local.cast("long"))
-    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    return placed.join(starts, same).select(*(F.col(c) for c in df.columns if c != into), (F.col(into) + F.col(before)).alias(into))
+    names = [unused(df, f"number_key_{i}") for i in range(len(keys))]
+    sizes, before = unused(df, "chunk_rows"), unused(df, "rows_before")
+    own = df.withColumns({name: filled(k) for name, k in zip(names, keys)})
+    counts = own.groupBy(*names).agg(F.count(F.lit(1)).alias(sizes), *(F.first(k).alias(f"first_{i}") for i, k in enumerate(keys)))
+    n = len(group)
+    earlier = Window.partitionBy(*names[:n]).orderBy(*(f"first_{i}" for i in range(n, len(keys)))).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*names, F.coalesce(F.sum(sizes).over(earlier), F.lit(0)).alias(before))
+    local = F.row_number().over(Window.partitionBy(*names).orderBy(*order)) - 1
+    placed = own.withColumn(into, local.cast("long")).join(starts, names)
+    return placed.select(*(F.col(f"`{c}`") for c in df.columns if c != into), (F.col(into) + F.col(before)).alias(into))
 
 
 def below(bounds: list[int], value: Column, or_equal: bool = False) -> Column:

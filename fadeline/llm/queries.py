@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fadeline.llm import byte_bpe, fingerprints, near_duplicates, quality, secrets, toxicity, word_pieces
+from fadeline.llm import archives, byte_bpe, fingerprints, mixing, near_duplicates, quality, secrets, sharding, toxicity, word_pieces
 from fadeline.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,12 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.report(table(spark, sf_dir, "documents"))
 
 
+@query("op6_sharding")
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document."""
+    return sharding.report(table(spark, sf_dir, "documents"))
+
+
 @query("op7_quality")
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
@@ -47,6 +53,19 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+@query("op1_archives", archives.ORACLE)
+def op1_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A WARC record of every page."""
+    rows = archives.report(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "uri")
+
+
+@query("op2_mixing", mixing.ORACLE)
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix takes every document."""
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
 @query("op3_toxicity")
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document."""
