@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -30,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from fadeline.llm.text import Bounded, map_texts, unused, words
+from fadeline.session import staged
 
 MAX_EXAMPLES, MAX_FEATURES = 20_000, 4_096
 NEIGHBOURS, BLOCK = 15, 64
@@ -72,19 +74,34 @@ def examples_of(documents: DataFrame, labels: DataFrame, label: str, most: int)
 def chosen_features(examples: DataFrame, most: int) -> list[str]:
     """Terms that go with label 1, the strongest first."""
 
-    def make():
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Bounded(terms, 200_000).__getitem__
-        return lambda texts: ((sorted(set(chain.from_iterable(map(known, words(t or ""))))),) for t in texts)
+        n, p = Counter(), Counter()
+
+        def counted() -> pa.RecordBatch:
+            rows = pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64()), pa.array([p[t] for t in n], pa.int64())], names=["term", "n", "p"])
+            n.clear(), p.clear()
+            return rows
+
+        for batch in batches:
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = set(chain.from_iterable(map(known, set(words(text or "")))))
+                n.update(own)
+                if label:
+                    p.update(own)
+                if len(n) > 300_000:
+                    yield counted()
+        yield counted()
 
-    own = map_texts(examples.select("text", "label"), "text", make, {"terms": ("array<string>", pa.list_(pa.string()))}, drop=["text"])
     total, positive = examples.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not 0 < positive < total:
         return []
-    counted = own.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("p"))
+    parts = examples.select("text", "label").mapInArrow(count, "term string, n long, p long")
+    counted = staged(parts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("p").alias("p")).filter(F.col("n") >= LEAST_EXAMPLES))
     n, p, rate = F.col("n"), F.col("p"), positive / total
     part = lambda k, q: F.when(k > 0, k * F.log(k / (n * q))).otherwise(0.0)
     ratio = 2 * (part(p, rate) + part(n - p, 1 - rate))
-    scored = counted.filter((n >= LEAST_EXAMPLES) & (p > rate * n)).withColumn("ratio", ratio)
+    scored = counted.filter(p > rate * n).withColumn("ratio", ratio)
     tried = max(2, counted.count())
     best = scored.filter(F.col("ratio") > 2 * math.log(tried)).orderBy(F.desc("ratio"), "term").limit(most)
     return [r.term for r in best.select("term").collect()]
@@ -218,7 +235,7 @@ def isotonic(raw: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_examples: int = MAX_EXAMPLES, max_features: int = MAX_FEATURES) -> Model:
     """Learns from the labelled rows that are not held out."""
-    examples = examples_of(documents, labels, label, min(max_examples, MAX_EXAMPLES))
+    examples = staged(examples_of(documents, labels, label, min(max_examples, MAX_EXAMPLES)))
     features = chosen_features(examples, min(max_features, MAX_FEATURES))
     rows = sorted(with_counts(examples, features, "counts").collect(), key=lambda r: (r.doc_id, r.label, r.counts))  # at most max_examples short rows
     y = np.array([r.label for r in rows], np.int64)
