@@ -42,14 +42,18 @@ def numbered(df: DataFrame, group: list[str], chunk: list[str], order: list[Colu
 def below(bounds: list[int], value: Column, or_equal: bool = False) -> Column:
     """How many of the sorted ``bounds`` (a power of BRANCHES, less one) are below ``value``."""
     array = F.lit(bounds)
-    size, at = len(bounds) + 1, F.lit(0)
-    step = size // BRANCHES
-    while step:
-        def narrower(start: Column, step: int = step) -> Column:
-            less = lambda k: (F.get(array, start + k * step - 1) <= value) if or_equal else (F.get(array, start + k * step - 1) < value)
+
+    def narrowed(step: int):
+        def part(start: Column) -> Column:
+            bound = lambda k: F.get(array, start + k * step - 1)
+            less = lambda k: bound(k) <= value if or_equal else bound(k) < value
             return start + step * F.size(F.filter(F.sequence(F.lit(1), F.lit(BRANCHES - 1)), less))
 
-        at = let(at, narrower)
+        return part
+
+    at, step = F.lit(0), (len(bounds) + 1) // BRANCHES
+    while step:
+        at = let(at, narrowed(step))
         step //= BRANCHES
     return at
 

@@ -81,6 +81,14 @@ def test_edits_are_located(spark):
     assert sorted(r.p for r in found) == [[], [1, 4]]
 
 
+@pytest.mark.parametrize("levels", [1, 2])
+def test_places_between_bounds(spark, levels):
+    bounds = sorted([k * 3 for k in range(16**levels - 3)] + [6, 6])
+    df = spark.range(-3, 3 * 16**levels + 5)
+    got = df.select("id", order.below(bounds, F.col("id")).alias("less"), order.below(bounds, F.col("id"), or_equal=True).alias("same")).collect()
+    assert all((r.less, r.same) == (sum(b < r.id for b in bounds), sum(b <= r.id for b in bounds)) for r in got)
+
+
 def test_numbers_within_groups(spark):
     df = spark.createDataFrame([(i % 3 if i % 7 else None, i % 5, i) for i in range(200)], "g int, c int, v int")
     got = order.numbered(df, ["g"], ["c"], [F.col("v")], "slot").collect()
