@@ -39,7 +39,7 @@ HEADLINES = [
     "raw_newest",
     "delimited_rows",
     "json_rows",
-    "replay_grid",
+    "series_range",
     "store_first_wins",
     "archive_rollup",
 ]

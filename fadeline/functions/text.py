@@ -25,7 +25,8 @@ def short_error(message: Column, length: int = ERROR_TEXT_LENGTH) -> Column:
 def link_summary() -> Column:
     """Summary of a link left-joined with its statistics, one part per line.
 
-    Needs ``cml_id``, ``has_stats`` and the windowed statistics columns.
+    Needs ``cml_id``, ``has_stats`` and the windowed statistics columns.  The
+    texts are fixed values.
     """
     null_word = F.lit("null")
     parts = [

@@ -7,7 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_OFFSET = r"\d{2}:\d{2}.*(Z|z|[+-]\d{2}(:?\d{2})?)$"
+#: A time of day with an offset or a zone name behind it.
+_OFFSET = r"\d{2}:\d{2}.*(Z|z|[+-]\d{2}(:?\d{2})?|[ \d](UTC|GMT|UT)([+-]\d{1,2}(:?\d{2})?)?|[A-Z][A-Za-z]+(/[A-Za-z_+-]+)+)$"
 
 
 def as_datetime(value: str | datetime) -> datetime:

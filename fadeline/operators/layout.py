@@ -16,7 +16,6 @@ from fadeline.functions.times import as_datetime
 from fadeline.session import staged
 
 OBSERVATION_PARTITIONS = ["user_id", "date"]
-MAX_LISTED_DAYS = 1000
 COMPACT_CODEC = "zstd"
 
 
@@ -31,13 +30,14 @@ def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def of_days(stored: DataFrame, rows: DataFrame) -> DataFrame:
-    """Stored rows of the days that ``rows`` touch, as a folder filter while the
-    days are few enough to list and as a semi join beyond."""
-    days = rows.select("date").distinct()
-    listed = [r[0] for r in days.limit(MAX_LISTED_DAYS + 1).collect()]
-    if len(listed) <= MAX_LISTED_DAYS:
-        return stored.where(F.col("date").isin(listed)) if listed else stored.limit(0)
-    return stored.join(days, "date", "left_semi")
+    """Stored rows of the days, and of the tenants, that ``rows`` touch, as filters
+    on folders.  Days are as many as the calendar has and tenants as many as
+    accounts, so both are listed."""
+    names = [c for c in OBSERVATION_PARTITIONS if c in rows.columns and c in stored.columns]
+    touched = rows.agg(*[F.collect_set(c).alias(c) for c in names]).first()
+    for name in names:
+        stored = stored.where(F.col(name).isin(touched[name])) if touched[name] else stored.limit(0)
+    return stored
 
 
 def with_date(df: DataFrame, column: str = "time") -> DataFrame:
@@ -114,10 +114,14 @@ def compact(spark: SparkSession, path: str, as_of, older_than_days: int = 7) ->
     replace_observations(staged(rows), path, codec=COMPACT_CODEC, bulk=True)
 
 
-def read_range(spark: SparkSession, path: str, start=None, end=None, column: str = "time") -> DataFrame:
+def read_range(spark: SparkSession, path: str, start=None, end=None, column: str = "time", schema=None) -> DataFrame:
+    """``within`` of a table; with its schema also of one that is not written yet."""
+    return within(spark.read.parquet(path) if schema is None else read_or_empty(spark, path, schema), start, end, column)
+
+
+def within(rows: DataFrame, start=None, end=None, column: str = "time") -> DataFrame:
     """Rows of a time range, both ends inclusive, with the matching predicate on
     the ``date`` folders: a filter on time alone would list and open all days."""
-    rows = spark.read.parquet(path)
     kind = rows.schema[column].dataType
     if start is not None:
         t = as_datetime(start)

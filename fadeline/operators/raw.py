@@ -41,24 +41,11 @@ def freshness(observations: DataFrame) -> DataFrame:
     return observations.agg(F.max("time").alias("latest"))
 
 
-def end_of_first_steps(observations: DataFrame, steps: int = 1000) -> Column:
-    """Time of the last of the first distinct time steps, as a bound for
-    ``sublinks_with_data``."""
-    first = observations.select("time").distinct().orderBy("time").limit(steps)
-    return first.agg(F.max("time")).scalar()
+def sublinks_with_data(observations: DataFrame) -> DataFrame:
+    """Sublinks with at least one value."""
+    return observations.groupBy("sublink_id").agg(F.count("rsl").alias("n")).where("n > 0").select("sublink_id")
 
 
-def sublinks_with_data(observations: DataFrame, until=None) -> DataFrame:
-    """Sublinks with at least one value, over all time or its first part."""
-    if until is None:
-        source = observations
-    elif isinstance(until, Column):
-        source = observations.where(F.col("time") <= until)
-    else:
-        source = observations.where(in_range(observations, "time", None, until))
-    return source.groupBy("sublink_id").agg(F.count("rsl").alias("n")).where("n > 0").select("sublink_id")
-
-
-def keep_active_sublinks(rows: DataFrame, observations: DataFrame, until=None) -> DataFrame:
+def keep_active_sublinks(rows: DataFrame, observations: DataFrame) -> DataFrame:
     """Drop rows (data or metadata) of sublinks that never carry a value."""
-    return rows.join(staged(sublinks_with_data(observations, until)), "sublink_id", "left_semi")
+    return rows.join(staged(sublinks_with_data(observations)), "sublink_id", "left_semi")

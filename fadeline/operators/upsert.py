@@ -47,9 +47,15 @@ def new_rows(stored: DataFrame, incoming: DataFrame, key: list[str] | None = Non
 
 
 def insert_if_absent(stored: DataFrame, incoming: DataFrame, key: list[str] | None = None) -> DataFrame:
-    """Stored rows, and incoming rows whose key is not stored yet."""
+    """Stored rows, and incoming rows whose key is not stored yet; of incoming rows
+    with one key the first to arrive (``seq``), or else the one with the smallest values."""
     key = key or LINK_KEY
-    return stored.unionByName(incoming.join(stored.select(*key), key, "left_anti"))
+    if "seq" in incoming.columns:
+        folded = first_wins(incoming, key).drop("seq")
+    else:
+        values = _rest(incoming, *key)
+        folded = incoming.groupBy(*key).agg(F.min(F.struct(*values)).alias("kept")).select(*key, *[F.col(f"kept.{v}").alias(v) for v in values])
+    return stored.unionByName(folded.join(stored.select(*key), key, "left_anti").select(*stored.columns))
 
 
 def merge_last_wins(stored: DataFrame, incoming: DataFrame, key: list[str] | None = None, order: str = "seq") -> DataFrame:

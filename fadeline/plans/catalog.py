@@ -19,7 +19,7 @@ VIEWS = {
         SELECT event_id + 1000000000000, ts, CAST(user_id AS VARCHAR), event_type, 0 - value - 1,
         CASE WHEN k < 97 THEN CAST(k AS DOUBLE) END,
         CASE WHEN user_id % 3 = 0 THEN 'tenant_b' ELSE 'tenant_a' END FROM ev WHERE k >= 90""",
-    "links": """SELECT CAST(c_custkey AS VARCHAR) AS cml_id, s.sublink_id,
+    "links": """SELECT CASE WHEN c_acctbal < 0 THEN 'other-' ELSE '' END || CAST(c_custkey AS VARCHAR) AS cml_id, s.sublink_id,
         CAST(round(11.0 + (c_custkey % 50) * 0.01, 3) AS DOUBLE) AS site_0_lon,
         CAST(round(57.0 + (c_custkey % 40) * 0.01, 3) AS DOUBLE) AS site_0_lat,
         CAST(round(11.004 + (c_custkey % 50) * 0.01, 3) AS DOUBLE) AS site_1_lon,
@@ -27,8 +27,7 @@ VIEWS = {
         CAST(18 + length(s.sublink_id) AS DOUBLE) AS frequency,
         CASE WHEN c_custkey % 2 = 0 THEN 'H' ELSE 'V' END AS polarization,
         CASE WHEN c_custkey % 3 = 0 THEN 'tenant_b' ELSE 'tenant_a' END AS user_id
-        FROM customer, (VALUES ('click'), ('error'), ('purchase'), ('signup'), ('view')) s(sublink_id)
-        WHERE c_acctbal >= 0""",
+        FROM customer, (VALUES ('click'), ('error'), ('purchase'), ('signup'), ('view')) s(sublink_id)""",
     "file_log": """SELECT o_orderkey AS id,
         CASE WHEN o_custkey % 3 = 0 THEN 'tenant_b' ELSE 'tenant_a' END AS user_id,
         'cml_' || CASE WHEN o_orderkey % 7 = 0 THEN 'meta' WHEN o_orderkey % 11 = 0 THEN 'notes' ELSE 'data' END || '_' ||

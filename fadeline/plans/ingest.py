@@ -110,23 +110,30 @@ def _quarantine(job: Job, verdicts: DataFrame, lines: DataFrame, as_of) -> None:
     bad = verdicts.where("reason IS NOT NULL").select("file_path", "filename", "file_modified", "reason")
     kept = bad.join(lines.select("file_path", "value"), "file_path", "left")
     kept.select(
-        F.lit(job.user_id).alias("user_id"), "file_path", "filename", "reason", F.col("value").alias("line"),
+        F.lit(job.user_id).alias("user_id"), "file_path", "filename", "file_modified", "reason", F.col("value").alias("line"),
         _timestamp(as_of).alias("quarantined_at"), F.to_date(_timestamp(as_of)).alias("date"),
-    ).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "filename").parquet(job.store.path("quarantine"))
+    ).withColumn("file_key", _file_key()).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "user_id", "date", "file_key"
+    ).parquet(job.store.path("quarantine"))
 
 
 def _archive(job: Job, verdicts: DataFrame, lines: DataFrame, as_of) -> None:
-    """Lines of the good files, compressed, under the processing date and file.
-    As with moved files, a second file of that name on that day replaces the first."""
-    good = verdicts.where("reason IS NULL").select("file_path")
-    rows = lines.join(good, "file_path", "left_semi").select(
-        "value", F.to_date(_timestamp(as_of)).alias("processing_date"), "filename"
+    """Lines of the good files, compressed, under tenant, processing date and file.
+    A file is told by its path and time: files of one name from other tenants or
+    folders do not replace one another, and a batch that is run again does."""
+    good = verdicts.where("reason IS NULL").select("file_path", "file_modified")
+    rows = lines.select("file_path", "filename", "value").join(good, "file_path").select(
+        "value", F.lit(job.user_id).alias("user_id"), F.to_date(_timestamp(as_of)).alias("processing_date"), "filename", _file_key().alias("file_key")
     )
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "gzip").partitionBy(
-        "processing_date", "filename"
+        "user_id", "processing_date", "filename", "file_key"
     ).text(job.store.path("archive"))
 
 
+def _file_key() -> Column:
+    return F.hex(F.xxhash64("file_path", "file_modified"))
+
+
 def _arrival() -> Column:
     """Order of arrival inside a batch: by file name, then by place in the file."""
     return F.struct("filename", "file_path", "block_start", "line_no")
@@ -197,18 +204,25 @@ def _quarantine_rows(job: Job, raw: DataFrame, verdicts: DataFrame, as_of) -> No
     """Single broken rows of files that are otherwise good."""
     broken = raw.where(validate.row_reason().isNotNull()).join(verdicts.where("reason IS NULL").select("file_path"), "file_path", "left_semi")
     broken.select(
-        F.lit(job.user_id).alias("user_id"), "file_path", "filename", validate.row_reason().alias("reason"),
+        F.lit(job.user_id).alias("user_id"), "file_path", "filename", "file_modified", validate.row_reason().alias("reason"),
         F.to_json(F.struct("time", "cml_id", "sublink_id", "tsl", "rsl")).alias("line"),
         _timestamp(as_of).alias("quarantined_at"), F.to_date(_timestamp(as_of)).alias("date"),
-    ).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "filename").parquet(job.store.path("quarantine"))
+    ).withColumn("file_key", _file_key()).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "user_id", "date", "file_key"
+    ).parquet(job.store.path("quarantine"))
 
 
 def finish(job: Job, verdicts: DataFrame, lines: DataFrame, as_of) -> None:
     """Archive, quarantine, log.  The log comes last: a file is logged only when
-    all else about it has been written."""
+    all else about it has been written.  A log that cannot be written stops
+    nothing; its files are taken for new next time, and loading them again
+    changes nothing."""
     _archive(job, verdicts, lines, as_of)
     _quarantine(job, verdicts, lines, as_of)
-    job.store.append_log(_log_rows(job, verdicts, as_of))
+    try:
+        job.store.append_log(_log_rows(job, verdicts, as_of))
+    except Exception:
+        logger.exception("The file log could not be written; the data of the batch is stored")
 
 
 @cache_scope()
@@ -271,5 +285,7 @@ def load_archive(spark: SparkSession, store: Store, data_path: str, metadata_pat
         store.insert_links(links)
         store.load_unique(rows)
     store.refresh_all_stats(as_of)
+    if replace_all:
+        store.refresh_windowed_stats(as_of)
     store.refresh_full_rollup()
     return load_summary(store.observations())

@@ -24,7 +24,6 @@ from fadeline.schemas import COORDINATES
 from fadeline.session import new_path, staged
 from fadeline.sources import cube, delimited, json_records
 from fadeline.sources.formats import load_format
-from fadeline.sources.inventory import file_listing
 from fadeline.sources.names import file_kind, longest_prefix, stem, unique_name, upload_refusal
 from fadeline.streaming import ingest as stream_ingest_jobs
 from fadeline.streaming import rollup as stream_rollups
@@ -79,12 +78,6 @@ def upload_admission(spark, sf_dir):
     )
 
 
-@query()
-def file_inventory(spark, sf_dir):
-    """Listing of the table files themselves."""
-    return file_listing(spark, sf_dir, "*.parquet")
-
-
 @query(
     """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 4 <> 0 AND l_linenumber % 5 <> 0 THEN l_quantity END AS quantity FROM lineitem"""
 )
@@ -363,6 +356,7 @@ def _write_archive(spark, sf_dir) -> tuple[str, str]:
     return f"{root}/data", f"{root}/metadata"
 
 
+SERIES_WHERE = "time >= TIMESTAMP '2024-01-10 00:00:00' AND time < TIMESTAMP '2024-01-26 13:00:00'"
 _FLOAT_OBS = "SELECT * REPLACE (CAST(rsl AS FLOAT) AS rsl, CAST(tsl AS FLOAT) AS tsl, 'archive' AS user_id) FROM observations"
 
 
@@ -380,6 +374,22 @@ def archive_rollup(spark, sf_dir):
     return rolled.withColumns({c: F.col(c).cast("double") for c in ("rsl_min", "rsl_max", "tsl_min", "tsl_max")})
 
 
+@query(
+    with_views("observations", extra={"loaded": _FLOAT_OBS.replace("'archive'", "user_id")})
+    + "SELECT bucket, user_id, cml_id, sublink_id, CAST(rsl_min AS DOUBLE) AS rsl_min, CAST(rsl_max AS DOUBLE) AS rsl_max, rsl_avg, "
+    + f"CAST(tsl_min AS DOUBLE) AS tsl_min, CAST(tsl_max AS DOUBLE) AS tsl_max, tsl_avg FROM ({rollup_sql('loaded', SERIES_WHERE).replace('avg(rsl)', 'avg(CAST(rsl AS DOUBLE))').replace('avg(tsl)', 'avg(CAST(tsl AS DOUBLE))')})"
+)
+def series_range(spark, sf_dir):
+    """A long range over a rollup that was published five days before its end."""
+    store = Store(spark, new_path(spark, "store"))
+    rows = _stamped(observations(spark, sf_dir))
+    store.load_unique(rows.where("time < timestamp'2024-01-21 00:00:00'"), mode="overwrite")
+    store.refresh_full_rollup()
+    store.load_unique(rows.where("time >= timestamp'2024-01-21 00:00:00'"))
+    rolled = rounded(store.series("2024-01-10 00:00:00", "2024-01-26 12:00:00")).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+    return rolled.withColumns({c: F.col(c).cast("double") for c in ("rsl_min", "rsl_max", "tsl_min", "tsl_max")})
+
+
 @query(with_views("observations") + "SELECT min(time) AS start_time, max(time) AS end_time, count(*) AS total_rows FROM observations")
 def archive_replace_all(spark, sf_dir):
     """An archive loaded over an older one leaves only its own rows."""
@@ -420,8 +430,7 @@ def stream_rollup(spark, sf_dir):
 def stream_dedup(spark, sf_dir):
     """Replayed rows are dropped in the stream."""
     root = new_path(spark, "stream")
-    rows = stream_rollups.without_duplicates(_event_stream(spark, sf_dir), "40 days")
-    stream_rollups.start_append(rows.drop("copy"), f"{root}/table", f"{root}/checkpoint").awaitTermination()
+    stream_rollups.start_first_wins(_event_stream(spark, sf_dir), f"{root}/table", f"{root}/checkpoint", order="copy").awaitTermination()
     kept = spark.read.parquet(f"{root}/table")
     return kept.select(F.col("time").cast("timestamp_ntz").alias("time"), "cml_id", "sublink_id", "user_id")
 

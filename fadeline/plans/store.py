@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +39,10 @@ def _stats_schema(columns: list[str]) -> str:
     return ", ".join(["cml_id string", *kinds, "last_rsl double", "last_update timestamp", "user_id string"])
 
 
+#: The rollup is complete up to here.
+_HORIZON = "horizon timestamp"
+
+
 _LIFETIME = _stats_schema(LIFETIME_COLUMNS)
 _WINDOWED = _stats_schema(WINDOW_COLUMNS)
 
@@ -57,8 +61,10 @@ class Store:
     ``lifetime_stats``        by user_id
     ``windowed_stats``        by user_id
     ``rollup_1h``             by date
+    ``rollup_horizon``        one row: the time up to which the rollup is complete
     ``file_log``              by date of the file's modification
-    ``quarantine``            by date
+    ``archive``               lines of good files, by user_id, date, file
+    ``quarantine``            by user_id, date, file
     ========================  ==========================================
     """
 
@@ -71,8 +77,9 @@ class Store:
     def _read(self, name: str, schema) -> DataFrame:
         return layout.read_or_empty(self.spark, self.path(name), schema)
 
-    def observations(self) -> DataFrame:
-        return self._read("observations", T.StructType([*OBSERVATION.fields, _DATE]))
+    def observations(self, start=None, end=None) -> DataFrame:
+        """All observations, or those of a time range, both ends inclusive."""
+        return layout.within(self._read("observations", T.StructType([*OBSERVATION.fields, _DATE])), start, end)
 
     def links(self) -> DataFrame:
         return self._read("links", LINK)
@@ -198,7 +205,7 @@ class Store:
     def refresh_windowed_stats(self, as_of) -> None:
         """Windowed columns of every known link.  The newest rows come from the
         folders of the last six hours, older last values from the partials."""
-        recent = layout.read_range(self.spark, self.path("observations"), as_datetime(as_of) - timedelta(hours=6))
+        recent = self.observations(as_datetime(as_of) - timedelta(hours=6))
         last = stats.last_of_partials(self.daily_stats())
         windowed = stats.windowed_stats(recent, self.links(), as_of, last)
         self._write_stats(windowed, "windowed_stats", _WINDOWED, as_of)
@@ -209,20 +216,37 @@ class Store:
         return stamped.select(*[F.col(c.split(" ")[0]).cast(c.split(" ")[1]).alias(c.split(" ")[0]) for c in schema.split(", ")])
 
     def _write_stats(self, rows: DataFrame, name: str, schema: str, as_of) -> None:
-        layout.replace_partitions(self._stamped_stats(rows, schema, as_of), self.path(name), ["user_id"])
+        """The whole table: tenants without rows leave it."""
+        stamped = staged(self._stamped_stats(rows, schema, as_of))
+        stamped.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("user_id").parquet(self.path(name))
 
     def refresh_rollup(self, as_of) -> None:
         """Recompute the buckets of the refresh window and leave all others."""
         start, end = rollup.refresh_window(as_of)
-        rows = layout.read_range(self.spark, self.path("observations"), start, end)
-        self._write_buckets(rollup.refreshed_buckets(rows, as_of), start, end)
+        self._write_buckets(rollup.refreshed_buckets(self.observations(start, end), as_of), start, end)
+        known = self.rollup_horizon()
+        if known is not None and start <= known < end:
+            self._publish(end)
+
+    def rollup_horizon(self) -> datetime | None:
+        """The time up to which every hour is in the rollup, None before a full one."""
+        row = self._read("rollup_horizon", _HORIZON).select(F.date_format("horizon", "yyyy-MM-dd HH:mm:ss").alias("t")).first()
+        return as_datetime(row["t"]) if row else None
+
+    def _publish(self, horizon: datetime) -> None:
+        row = self.spark.range(1).select(F.lit(str(horizon)).cast("timestamp").alias("horizon"))
+        row.write.mode("overwrite").parquet(self.path("rollup_horizon"))
 
     def refresh_full_rollup(self) -> None:
-        """Every bucket from scratch."""
+        """Every bucket from scratch.  The hour of the newest observation is left
+        for a later refresh to call complete."""
         rolled = layout.with_date(rollup.hourly_rollup(self.observations()), "bucket")
         rolled.hint("rebalance", "date").sortWithinPartitions("user_id", "cml_id", "bucket").write.mode("overwrite").option(
             "partitionOverwriteMode", "static"
         ).partitionBy("date").parquet(self.path("rollup_1h"))
+        newest = self.rollup().select(F.date_format(F.max("bucket"), "yyyy-MM-dd HH:mm:ss").alias("t")).first()["t"]
+        if newest:
+            self._publish(as_datetime(newest))
 
     def _write_buckets(self, fresh: DataFrame, start, end) -> None:
         published = self.rollup()
@@ -232,13 +256,6 @@ class Store:
         both = kept.unionByName(dated.select(kept.columns))
         layout.replace_partitions(staged(both), self.path("rollup_1h"), ["date"])
 
-    def rewrite_buckets(self, buckets: DataFrame) -> None:
-        """Recompute the buckets given (hours with new data) from the raw rows."""
-        days = buckets.select(F.to_date("bucket").alias("date")).distinct()
-        rows = layout.of_days(self.observations(), days)
-        fresh = layout.with_date(rollup.hourly_rollup(rows), "bucket")
-        layout.replace_partitions(fresh, self.path("rollup_1h"), ["date"])
-
     def append_log(self, rows: DataFrame) -> None:
         """One row per file and modification time, however often a batch is run."""
         dated = rows.withColumn("date", F.to_date("file_modified"))
@@ -248,15 +265,16 @@ class Store:
         names = ["id", *[f.name for f in FILE_LOG.fields], "date"]
         fresh.select(*names).write.mode("append").partitionBy("date").parquet(self.path("file_log"))
 
-    def series(self, start, end, as_of) -> DataFrame:
-        """Hourly values of a long range from the rollup, with the hours that are
-        not published yet computed from raw rows; raw rows for a short range."""
+    def series(self, start, end) -> DataFrame:
+        """Hourly values of a long range from the rollup, with the hours that it
+        does not have yet computed from raw rows; raw rows for a short range.  Hours
+        are whole ones, that of ``end`` too."""
         if rollup.resolve_source(start, end) == "raw":
-            return layout.read_range(self.spark, self.path("observations"), start, end)
-        published = self.rollup().drop("date")
-        _, horizon = rollup.refresh_window(as_of)
-        tail = layout.read_range(self.spark, self.path("observations"), horizon, end)
-        return rollup.rollup_with_tail(published, tail, horizon, start, end)
+            return self.observations(start, end)
+        horizon = max(as_datetime(start), self.rollup_horizon() or as_datetime(start))
+        last = as_datetime(end).replace(minute=0, second=0, microsecond=0) + timedelta(hours=1, microseconds=-1)
+        published = layout.within(self.rollup(), start, end, "bucket").drop("date")
+        return rollup.rollup_with_tail(published, self.observations(horizon, last), horizon, start, end)
 
     def key_problems(self) -> dict[str, DataFrame]:
         """Repeated keys per table; all frames are empty when the keys hold."""

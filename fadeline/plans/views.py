@@ -64,8 +64,9 @@ def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five sublinks for each customer whose balance is not negative; the others
-    send data without metadata."""
+    """Five sublinks for each customer.  Those with a negative balance belong to
+    another network, under ids of its own: data of such customers have no
+    metadata, and those links have no data."""
     site = {
         "site_0_lon": (11.0, 50),
         "site_0_lat": (57.0, 40),
@@ -73,9 +74,10 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
         "site_1_lat": (56.994, 40),
     }
     sublinks = F.explode(F.array(*[F.lit(s) for s in SUBLINKS]))
-    rows = table(spark, sf_dir, "customer").where("c_acctbal >= 0")
+    rows = table(spark, sf_dir, "customer")
+    other = F.when(F.col("c_acctbal") < 0, "other-").otherwise("")
     return rows.withColumn("sublink_id", sublinks).select(
-        F.col("c_custkey").cast("string").alias("cml_id"),
+        F.concat(other, F.col("c_custkey").cast("string")).alias("cml_id"),
         "sublink_id",
         *[F.round(start + (F.col("c_custkey") % wrap) * 0.01, 3).alias(name) for name, (start, wrap) in site.items()],
         (F.lit(18.0) + F.length("sublink_id")).alias("frequency"),

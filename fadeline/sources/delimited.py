@@ -74,9 +74,9 @@ def clean_lines(lines: DataFrame, fmt: Format) -> DataFrame:
 
 
 def headers(lines: DataFrame) -> DataFrame:
-    """First line of each file."""
-    first = F.min_by("value", "line_no").alias("header")
-    return lines.where("block_start = 0").groupBy("file_path").agg(first)
+    """First line of each file and its place."""
+    first = [F.min_by("value", "line_no").alias("header"), F.min("line_no").alias("header_line")]
+    return lines.where("block_start = 0").groupBy("file_path").agg(*first)
 
 
 def _split(text: Column, width: int, fmt: Format) -> Column:
@@ -93,7 +93,9 @@ def _fields(parsed: str, width: int) -> Column:
 
 def named_rows(lines: DataFrame, fmt: Format, columns: list[str], renames: dict[str, str], required: list[str]) -> DataFrame:
     """Rows with ``columns`` as text, ``header_error`` where a required column is
-    missing, and the file columns.  Absent optional columns are null."""
+    missing or a row has more fields than its own file's header (empty ones at its end
+    aside), and the file columns.  Absent optional columns are null.  The header is the first line; a
+    later line that looks like it is a row, in whatever block it lies."""
     lines = clean_lines(lines, fmt)
     heads = staged(headers(lines))
     width = heads.agg(F.max(F.size(F.split("header", re.escape(fmt.sep))))).first()[0] or 1
@@ -102,19 +104,24 @@ def named_rows(lines: DataFrame, fmt: Format, columns: list[str], renames: dict[
         pairs = [F.lit(v) for pair in renames.items() for v in pair]
         to_canonical = F.create_map(*pairs)
         names = F.transform(names, lambda n: F.coalesce(F.element_at(to_canonical, n), n))
-    heads = heads.withColumn("parsed", _split(F.col("header"), width, fmt)).withColumn("names", names)
+    heads = heads.withColumn("parsed", _split(F.col("header"), width, fmt))
+    heads = heads.withColumn("n_fields", F.array_max(F.transform(_fields("parsed", width), lambda f, i: F.when(f.isNotNull(), i + 1)))).withColumn("names", names)
     positions = heads.select(
         "file_path",
-        "header",
+        "header_line",
+        "n_fields",
         *[F.array_position("names", c).cast("int").alias(f"at_{c}") for c in columns],
         F.coalesce(*[F.when(F.array_position("names", c) == 0, F.lit(f"column '{c}' not found")) for c in required]).alias("header_error")
         if required
         else F.lit(None).cast("string").alias("header_error"),
     )
     joined = lines.join(positions, "file_path")
-    rows = joined.where(~((F.col("block_start") == 0) & (F.col("value") == F.col("header"))))
-    cut = rows.withColumn("parsed", _split(F.col("value"), width, fmt))
+    rows = joined.where(~((F.col("block_start") == 0) & (F.col("line_no") == F.col("header_line"))))
+    cut = rows.withColumn("parsed", _split(F.col("value"), width + 1, fmt))
     fields = _fields("parsed", width)
+    surplus = F.try_element_at(_fields("parsed", width + 1), F.col("n_fields") + 1).isNotNull()
+    said = F.concat(F.lit("Expected "), F.col("n_fields").cast("string"), F.lit(" fields, saw more"))
+    cut = cut.withColumn("header_error", F.coalesce("header_error", F.when(surplus, said)))
     missing = [*MISSING_TEXTS, *fmt.na_values]
     picked = []
     for c in columns:

@@ -111,6 +111,7 @@ def _json(_config: dict) -> Format:
     return Format("api_json", metadata_keyword=None, rawdata_keywords=(".json",))
 
 
+#: The keys are fixed values.
 _REGISTRY: dict[str, Callable[[dict], Format]] = {
     "demo_csv_data": _canonical,
     "other_mno_csv": _other,

@@ -78,6 +78,7 @@ def raw_rows(files: DataFrame, field_map: FieldMap) -> DataFrame:
     )
     rows = map_records(exploded)
     available = ", ".join(sorted(field_map))
+    # the texts of file errors are fixed values
     unrouted = F.when(
         F.col("prefix").isNull(),
         F.concat(F.lit("No field-map entry matches filename stem '"), stem(F.col("filename")), F.lit(f"'. Available prefixes: {available}")),

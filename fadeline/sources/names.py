@@ -48,7 +48,7 @@ def longest_prefix(text: Column, prefixes) -> Column:
 
 
 def upload_refusal(name: Column, size_bytes: Column) -> Column:
-    """Why a file may not be uploaded, or null."""
+    """Why a file may not be uploaded, or null.  The texts are fixed values."""
     extension = F.when(name.contains("."), F.lower(F.substring_index(name, ".", -1)))
     allowed = F.coalesce(extension.isin(UPLOAD_EXTENSIONS), F.lit(False))
     return F.coalesce(

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from fadeline.functions.times import time_bucket
 from fadeline.operators import layout
 from fadeline.operators.rollup import ROLLUP_KEYS, hourly_rollup
+from fadeline.operators.upsert import new_rows
 from fadeline.schemas import OBSERVATION_KEY
 from fadeline.session import cache_scope, keep, staged
 
@@ -16,7 +17,7 @@ LEVELS = ("rsl", "tsl")
 STATE = (
     "bucket timestamp, user_id string, cml_id string, sublink_id string, "
     + ", ".join(f"{x}_min double, {x}_max double, {x}_sum double, {x}_n bigint" for x in LEVELS)
-    + ", batch bigint, date date"
+    + ", batch bigint, query string, date date"
 )
 
 
@@ -39,7 +40,7 @@ def _mergeable(rows: DataFrame) -> DataFrame:
 def _merged(parts: DataFrame) -> DataFrame:
     folds = {"min": F.min, "max": F.max, "sum": F.sum, "n": F.sum}
     columns = [f(f"{x}_{name}").alias(f"{x}_{name}") for x in LEVELS for name, f in folds.items()]
-    merged = parts.groupBy(*ROLLUP_KEYS, "date").agg(*columns, F.max("batch").alias("batch"))
+    merged = parts.groupBy(*ROLLUP_KEYS, "date").agg(*columns, F.max("batch").alias("batch"), F.max("query").alias("query"))
     return merged.select(*[c.split(" ")[0] for c in STATE.split(", ")])
 
 
@@ -50,13 +51,19 @@ def start_rollup(stream: DataFrame, path: str, checkpoint: str, interval: str |
     files, so late rows are never lost and the raw rows are not read again.
     Each day remembers the last batch it took in: a batch that is run again
     after a failure skips the days that have it already.  Path and checkpoint
-    belong together, since the batch numbers are those of the checkpoint.
+    belong together, since the batch numbers are those of the checkpoint: the
+    table holds the id of its query, and a query with another checkpoint stops
+    instead of taking new rows for old ones.
     """
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         with cache_scope():
             spark = batch.sparkSession
-            numbered = {"bucket": F.col("bucket").cast("timestamp"), "batch": F.lit(batch_id).cast("bigint")}
+            query = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+            numbered = {"bucket": F.col("bucket").cast("timestamp"), "batch": F.lit(batch_id).cast("bigint"), "query": F.lit(query)}
+            others = layout.read_or_empty(spark, path, STATE).where(~F.col("query").eqNullSafe(F.lit(query)))
+            if others.head(1):
+                raise ValueError(f"{path} was made by another query: it needs that query's checkpoint")
             fresh = keep(layout.with_date(_mergeable(batch).withColumns(numbered), "bucket"))
             stored = layout.of_days(layout.read_or_empty(spark, path, STATE), fresh)
             taken_in = staged(stored.groupBy("date").agg(F.max("batch").alias("last")).where(F.col("last") >= batch_id))
@@ -84,15 +91,32 @@ def read_rollup(spark, path: str) -> DataFrame:
 
 
 def windowed_rollup(stream: DataFrame, lateness: str = "2 days") -> DataFrame:
-    """The rollup as a watermarked window, for live input in time order.  Rows
-    later than ``lateness`` behind the newest time seen are dropped by the
-    watermark, so a backlog of unordered files needs ``start_rollup``."""
+    """The rollup as a watermarked window, for live input in time order.  The
+    watermark drops rows later than ``lateness`` behind the newest time seen; a
+    stream that may have any uses ``start_rollup``, which keeps all rows."""
     return hourly_rollup(stream.withWatermark("time", lateness))
 
 
-def without_duplicates(stream: DataFrame, lateness: str = "2 days", key: list[str] | None = None) -> DataFrame:
-    """One row per key among rows that are at most ``lateness`` apart."""
-    return stream.withWatermark("time", lateness).dropDuplicatesWithinWatermark(key or OBSERVATION_KEY)
+def start_first_wins(stream: DataFrame, path: str, checkpoint: str, order: str, key: list[str] | None = None, interval: str | None = None) -> StreamingQuery:
+    """Append the rows of a stream whose key is not in the table yet, however late.
+
+    The table itself is the state: each batch looks up the days it touches, so no
+    row is dropped for its age, and a batch that is run again appends nothing.
+    """
+    own_key = key or OBSERVATION_KEY
+
+    def each_batch(batch: DataFrame, batch_id: int) -> None:
+        with cache_scope():
+            spark = batch.sparkSession
+            fresh = keep(layout.with_date(batch))
+            schema = layout.with_date(batch).schema
+            stored = layout.of_days(layout.read_or_empty(spark, path, schema), fresh)
+            new = new_rows(stored, fresh.drop("date"), own_key, order)
+            layout.write_observations(staged(new), path)
+
+    writer = stream.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)
+    return writer.start()
 
 
 def start_append(stream: DataFrame, path: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:

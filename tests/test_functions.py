@@ -160,3 +160,9 @@ def test_refresh_window():
 def test_unknown_tenant():
     with pytest.raises(ValueError, match="Unknown user_id"):
         tenancy.TenantScope("x", frozenset({"a"}))
+
+
+@pytest.mark.parametrize("text", ["2026-01-22 10:00:00 UTC", "2026-01-22 10:00:00 GMT", "2026-01-22 11:00:00 Africa/Douala", "2026-01-22 10:00:00Z", "2026-01-22 11:00:00"])
+def test_zone_names_are_not_shifted_again(spark, text):
+    got = spark.range(1).select(times.to_utc(F.lit(text), "Africa/Douala").alias("t")).select(F.date_format("t", "HH:mm").alias("t")).first()["t"]
+    assert got == "10:00"

@@ -137,9 +137,7 @@ def test_hot_key_of_copies(spark):
 def test_active_sublinks(spark):
     data = obs(spark, (0, "1", "a", None), (1, "2", "a", -1.0), (0, "1", "b", None), (0, "1", "c", -1.0))
     assert rows(raw.keep_active_sublinks(data, data).select("sublink_id").distinct()) == [("a",), ("c",)]
-    bound = raw.end_of_first_steps(data, 1)
-    assert rows(raw.sublinks_with_data(data, bound)) == [("c",)]
-    assert rows(raw.sublinks_with_data(data, T0)) == [("c",)]
+    assert rows(raw.sublinks_with_data(data)) == [("a",), ("c",)]
 
 
 def test_newest_rows_over_hours_with_few_rows(spark):
@@ -247,3 +245,12 @@ def test_one_link_is_centred_on_its_midpoint(spark):
     assert rows(extent, "links", "midpoint_lon", "midpoint_lat") == [(1, 2.0, 3.0)]
     assert rows(links.network_extent(meta(spark, ("1", "a"), ("2", "a"))), "midpoint_lon") == [(None,)]
     assert rows(links.with_length(meta(spark, ("1", "a"))), "length") == [(5.0,)]
+
+
+def test_absent_rows_are_inserted_once(spark):
+    kind = "cml_id string, sublink_id string, user_id string, length double"
+    stored = spark.createDataFrame([("a", "s", "t", 1.0)], kind)
+    incoming = spark.createDataFrame([("b", "s", "t", 3.0), ("b", "s", "t", 2.0), ("a", "s", "t", 9.0)], kind)
+    assert rows(upsert.insert_if_absent(stored, incoming)) == [("a", "s", "t", 1.0), ("b", "s", "t", 2.0)]
+    ordered = incoming.withColumn("seq", F.when(F.col("length") == 3, 1).otherwise(2).cast("bigint"))
+    assert rows(upsert.insert_if_absent(stored, ordered)) == [("a", "s", "t", 1.0), ("b", "s", "t", 3.0)]

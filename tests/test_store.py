@@ -343,14 +343,13 @@ def test_stream_rollup_batch_run_again(spark, sf_dir, monkeypatch):
 def test_series_from_rollup_or_raw(spark, store, sf_dir):
     """The published hours end at as_of - 1 h; the rest is computed on the way."""
     store.load_unique(stamped(observations(spark, sf_dir)), mode="overwrite")
-    now = "2024-01-20 12:30:00"
+    store.refresh_full_rollup()
     for day in range(3, 21):
         store.refresh_rollup(f"2024-01-{day:02d} 12:30:00")
-    assert store.rollup().agg(F.max("bucket")).first()[0] < datetime(2024, 1, 20, 11)
-    long = store.series("2024-01-10", "2024-01-20 12:30:00", now)
-    direct = rollup.hourly_rollup(store.observations().where("time <= timestamp'2024-01-20 12:30:00'")).where("bucket >= timestamp'2024-01-10'")
+    long = store.series("2024-01-10", "2024-01-20 12:30:00")
+    direct = rollup.hourly_rollup(store.observations().where("time < timestamp'2024-01-20 13:00:00'")).where("bucket >= timestamp'2024-01-10'")
     assert rows(long, *direct.columns) == rows(direct)
-    short = store.series("2024-01-19", "2024-01-20", now)
+    short = store.series("2024-01-19", "2024-01-20")
     assert "rsl" in short.columns and short.count() == store.observations().where("time BETWEEN timestamp'2024-01-19' AND timestamp'2024-01-20'").count()
 
 
@@ -419,3 +418,98 @@ def test_archive_load(spark, store, tmp_path):
     assert rows(store.links(), "length", "polarization", "user_id") == [(500.0, "H", "me")]
     assert rows(store.link_stats(), "total_records", "valid_records") == [(2, 1)]
     assert rows(store.rollup(), "rsl_avg", "tsl_max") == [(-40.0, 2.0)]
+
+
+def test_files_of_one_name_from_two_tenants(spark, store, tmp_path):
+    for tenant in ("east", "west"):
+        folder = tmp_path / tenant
+        folder.mkdir()
+        (folder / "cml_data_1.csv").write_text(HEADER + f"2026-01-31 10:00:00,{tenant},s,1,-1\n")
+        (folder / "bad_data.csv").write_text(HEADER + f"never,{tenant},s,1,-1\n")
+        job = ingest.Job(store, load_format("demo_csv_data"), tenant)
+        for _ in range(2):
+            ingest.ingest_folder(spark, job, str(folder), AS_OF)
+    archived = spark.read.text(store.path("archive")).where("value NOT LIKE 'time%'")
+    assert rows(archived, "user_id", "value") == [(t, f"2026-01-31 10:00:00,{t},s,1,-1") for t in ("east", "west")]
+    quarantined = spark.read.parquet(store.path("quarantine")).where("line NOT LIKE 'time%'")
+    assert rows(quarantined, "user_id", "line") == [(t, f"never,{t},s,1,-1") for t in ("east", "west")]
+    assert store.file_log().count() == 4
+
+
+def test_a_log_that_fails_stops_nothing(spark, store, tmp_path, monkeypatch, caplog):
+    (tmp_path / "cml_data_1.csv").write_text(HEADER + "2026-01-31 10:00:00,a,s,1,-1\n")
+    job = ingest.Job(store, load_format("demo_csv_data"), "east")
+
+    def fails(rows):
+        raise RuntimeError("no log")
+
+    monkeypatch.setattr(store, "append_log", fails)
+    ingest.ingest_folder(spark, job, str(tmp_path), AS_OF)
+    assert store.observations().count() == 1 and "file log could not be written" in caplog.text
+    monkeypatch.undo()
+    ingest.ingest_folder(spark, job, str(tmp_path), AS_OF)
+    assert store.observations().count() == 1 and store.file_log().count() == 1
+
+
+def test_refreshes_of_an_empty_store(spark, store):
+    store.refresh_windowed_stats(AS_OF)
+    store.refresh_rollup(AS_OF)
+    assert store.rollup().count() == 0 == store.link_stats().count()
+    assert store.series("2026-01-01", "2026-02-01").count() == 0 == store.series("2026-01-31", "2026-02-01").count()
+
+
+def test_series_over_a_stale_rollup(spark, store, sf_dir):
+    store.load_unique(stamped(observations(spark, sf_dir)).where("time < timestamp'2024-01-06'"), mode="overwrite")
+    store.refresh_full_rollup()
+    store.load_unique(stamped(observations(spark, sf_dir)).where("time >= timestamp'2024-01-06'"))
+    got = store.series("2024-01-02", "2024-01-11")
+    direct = rollup.hourly_rollup(store.observations().where("time < timestamp'2024-01-11 01:00:00'")).where("bucket >= timestamp'2024-01-02'")
+    assert rows(got, *direct.columns) == rows(direct)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: [") == 2 and "PartitionFilters: []" not in plan
+
+
+def test_stream_with_another_checkpoint_stops(spark, sf_dir):
+    root = new_path(spark, "stream")
+    obs = stamped(observations(spark, sf_dir)).drop("seq")
+    obs.write.parquet(f"{root}/in")
+
+    def start(checkpoint):
+        stream = spark.readStream.schema(obs.schema).parquet(f"{root}/in")
+        stream_rollups.start_rollup(stream, f"{root}/rollup", f"{root}/{checkpoint}").awaitTermination()
+
+    start("one")
+    once = rows(stream_rollups.read_rollup(spark, f"{root}/rollup"))
+    with pytest.raises(Exception, match="another query"):
+        start("two")
+    start("one")
+    assert rows(stream_rollups.read_rollup(spark, f"{root}/rollup")) == once
+
+
+def test_stream_keeps_rows_however_late(spark):
+    root = new_path(spark, "stream")
+    make = lambda *r: spark.createDataFrame(r, "time string, cml_id string, sublink_id string, user_id string, rsl double, place long").withColumn("time", F.col("time").cast("timestamp"))
+    make(("2026-01-31 10:00:00", "a", "s", "t", -1.0, 2), ("2026-01-31 10:00:00", "a", "s", "t", -2.0, 1)).write.parquet(f"{root}/in/part=1")
+    schema = spark.read.parquet(f"{root}/in/part=1").schema
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(f"{root}/in/*")
+        stream_rollups.start_first_wins(stream, f"{root}/table", f"{root}/checkpoint", "place").awaitTermination()
+
+    run()
+    make(("2020-01-01 00:00:00", "a", "s", "t", -3.0, 1), ("2026-01-31 10:00:00", "a", "s", "t", -4.0, 0)).write.parquet(f"{root}/in/part=2")
+    run()
+    run()
+    assert rows(spark.read.parquet(f"{root}/table"), "rsl") == [(-2.0,), (-3.0,)]
+
+
+def test_statistics_after_replace_all_are_of_present_tenants(spark, store, sf_dir):
+    store.load_unique(stamped(observations(spark, sf_dir)).withColumn("user_id", F.lit("older")), mode="overwrite")
+    store.replace_links(links(spark, sf_dir).withColumns({"length": F.lit(1.0), "user_id": F.lit("older")}))
+    store.refresh_all_stats(AS_OF)
+    store.refresh_windowed_stats(AS_OF)
+    store.load_unique(stamped(observations(spark, sf_dir)).withColumn("user_id", F.lit("newer")), mode="overwrite")
+    store.replace_links(links(spark, sf_dir).withColumns({"length": F.lit(1.0), "user_id": F.lit("newer")}))
+    store.refresh_all_stats(AS_OF)
+    store.refresh_windowed_stats(AS_OF)
+    assert rows(store.link_stats().select("user_id").distinct()) == [("newer",)]
