@@ -1,10 +1,10 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Labelled rows are the only thing that is sampled: at most ``MAX_EXAMPLES`` of them,
-by hash.  Their terms are words, and the first letters of longer words; those that
-go with the label (a likelihood ratio beyond what as many chance terms would reach)
-are the features, at most ``MAX_FEATURES``.  Document frequencies are counted over
-all documents.
+by hash.  Their terms are words, and the first letters of longer words.  The
+features, at most ``MAX_FEATURES``, are the terms that go with the label: label 1 in
+half of their examples or more, and a likelihood ratio beyond what as many chance
+terms would reach.  Document frequencies are counted over all documents.
 
 The examples lie in an inverted index whose lists are cut into blocks; each list
 has the largest weight of each block.  The sum of these bounds what a block can
@@ -37,6 +37,8 @@ MAX_EXAMPLES, MAX_FEATURES = 20_000, 4_096
 NEIGHBOURS, BLOCK = 15, 64
 #: A feature is in so many examples at least.
 LEAST_EXAMPLES = 3
+#: And this share of them has label 1: common words that lean a little to one side are no evidence.
+LEAST_SHARE = 0.5
 THRESHOLD = 0.7
 LETTERS = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6, 7)
@@ -101,7 +103,7 @@ def chosen_features(examples: DataFrame, most: int) -> list[str]:
     n, p, rate = F.col("n"), F.col("p"), positive / total
     part = lambda k, q: F.when(k > 0, k * F.log(k / (n * q))).otherwise(0.0)
     ratio = 2 * (part(p, rate) + part(n - p, 1 - rate))
-    scored = counted.filter(p > rate * n).withColumn("ratio", ratio)
+    scored = counted.filter((p >= LEAST_SHARE * n) & (p > rate * n)).withColumn("ratio", ratio)
     tried = max(2, counted.count())
     best = scored.filter(F.col("ratio") > 2 * math.log(tried)).orderBy(F.desc("ratio"), "term").limit(most)
     return [r.term for r in best.select("term").collect()]
