@@ -276,16 +276,16 @@ def test_lost_stream_batch_is_run_again(spark, store, tmp_path, monkeypatch, cap
     put(tmp_path, a_data__csv=HEADER + "2026-01-20 09:00:00,1,a,1,-40\n", bad_data__csv=HEADER + "x,1,a,1,-40\n")
     job = ingest.Job(store, load_format("demo_csv_data"), "me", warn_missing=True)
     checkpoint = new_path(spark, "checkpoint")
-    real = Store.append_log
+    real = ingest._quarantine
 
-    def fail(self, rows_):
+    def fail(*_args):
         raise RuntimeError("lost")
 
-    monkeypatch.setattr(Store, "append_log", fail)
+    monkeypatch.setattr(ingest, "_quarantine", fail)
     with pytest.raises(Exception, match="lost"):
         watch.watch_delimited(spark, job, str(tmp_path), checkpoint, as_of=AS_OF).awaitTermination()
     assert store.file_log().isEmpty()
-    monkeypatch.setattr(Store, "append_log", real)
+    monkeypatch.setattr(ingest, "_quarantine", real)
     watch.watch_delimited(spark, job, str(tmp_path), checkpoint, as_of=AS_OF).awaitTermination()
     assert verdicts(store) == {"a_data.csv": ("archived", 1, None), "bad_data.csv": ("quarantined", None, "time is null")}
     assert store.observations().count() == 1
