@@ -44,9 +44,8 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, ids (little-endian 32-bit integers), their number, and the
     digest of the bytes they decode to."""
     ranks = byte_bpe.load_ranks(public_tokenizers.path(BYTE_BPE))
-    rows = byte_bpe.encode(docs.select("doc_id", "source", "text"), ranks, public_tokenizers.PATTERN).drop("text")
-    decoded = byte_bpe.decode(rows, ranks)
-    return decoded.select("doc_id", "source", "ids", F.expr("length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("text_sha256"))
+    rows = byte_bpe.encode(docs.select("doc_id", "source", "text"), ranks, public_tokenizers.PATTERN, decoded="decoded")
+    return rows.select("doc_id", "source", "ids", F.expr("length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("text_sha256"))
 
 
 STAGES = [("toxicity", clean), ("near_duplicates", distinct), ("secrets", without_secrets), ("mixing", mixed), ("byte_bpe", encoded)]

@@ -239,8 +239,10 @@ def _once(kind: str, key: tuple, make: Callable):
     return _made[kind][1]
 
 
-def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, column: str = "text", into: str = "ids") -> DataFrame:
-    """``df`` with ``into``, the ids of ``column`` as little-endian 32-bit integers.
+def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, column: str = "text", into: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``df`` with ``into``, the ids of ``column`` as little-endian 32-bit integers,
+    and with ``decoded``, if asked for, the bytes that these ids stand for: a check
+    of the round trip without a second pass.
 
     A null text counts as empty and has no ids.  Columns named as ``into`` are
     replaced, all others are kept.  The ranks go to the executors as a broadcast:
@@ -250,9 +252,12 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, column: str = "
 
     def make():
         encoder = _once("encoder", (len(sent.value), hash(frozenset(sent.value.items())), pattern), lambda: Encoder(sent.value, pattern))
-        return lambda texts: ((ids,) for ids in encoder.texts(texts))
+        if not decoded:
+            return lambda texts: ((ids,) for ids in encoder.texts(texts))
+        decoder = Decoder(sent.value)
+        return lambda texts: ((ids, decoder.ids(ids)) for ids in encoder.texts(texts))
 
-    return map_texts(df, column, make, {into: ("binary", pa.binary())})
+    return map_texts(df, column, make, {name: ("binary", pa.binary()) for name in (into, decoded) if name})
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], column: str = "ids", into: str = "decoded") -> DataFrame:
@@ -268,8 +273,7 @@ def decode(df: DataFrame, ranks: dict[bytes, int], column: str = "ids", into: st
 
 def digests(df: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """Per row the number of ids and the digests of ids and decoded bytes."""
-    out = decode(encode(df.select("doc_id", "text"), ranks, pattern).drop("text"), ranks)
-    return out.select(
+    return encode(df.select("doc_id", "text"), ranks, pattern, decoded="decoded").select(
         "doc_id",
         F.expr("length(ids) div 4").cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

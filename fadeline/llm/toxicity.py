@@ -77,7 +77,7 @@ def chosen_features(examples: DataFrame, most: int) -> list[str]:
     """Terms that go with label 1, the strongest first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Bounded(terms, 200_000).__getitem__
+        known = Bounded(terms, 50_000).__getitem__
         n, p = Counter(), Counter()
 
         def counted() -> pa.RecordBatch:
@@ -114,7 +114,7 @@ class Vectors:
 
     def __init__(self, features: list[str]):
         self._number = {f: i for i, f in enumerate(features)}
-        self._known = Bounded(self._of, 300_000)
+        self._known = Bounded(self._of, 150_000)
 
     def _of(self, word: bytes) -> tuple[int, ...]:
         return tuple(self._number[t] for t in terms(word) if t in self._number)
@@ -267,7 +267,7 @@ def score(documents: DataFrame, model: Model, column: str = "text") -> DataFrame
 
     def make():
         own, vectors = sent.value, Vectors(sent.value.features)
-        known = Bounded(own.score, 50_000)
+        known = Bounded(own.score, 20_000)
         return lambda texts: (known[vectors.counts(t)] for t in texts)
 
     scored = map_texts(documents, column, make, {"score": ("double", pa.float64()), "neighbours": ("array<long>", pa.list_(pa.int64()))}, drop=["predicted"])
