@@ -2,14 +2,14 @@
 
 Labelled rows are the only thing that is sampled: at most ``MAX_EXAMPLES`` of them,
 by hash.  Their terms are words, and the first letters of longer words.  The
-features, at most ``MAX_FEATURES``, are the terms that go with the label: label 1 in
-half of their examples or more, and a likelihood ratio beyond what as many chance
-terms would reach.  Document frequencies are counted over all documents.
+features are all terms that go with either label: those with a likelihood ratio
+beyond what as many chance terms would reach.  Document frequencies are counted
+over all documents.
 
 The examples lie in an inverted index whose lists are cut into blocks; each list
 has the largest weight of each block.  The sum of these bounds what a block can
-score, so blocks are taken from the best bound down and the search ends when no
-bound beats the k-th neighbour: the result is that of comparing with all examples.
+score.  The blocks of the best bounds are scored first, then all those whose bound
+beats the k-th neighbour so far: the result is that of comparing with all examples.
 
 Neighbours vote with their cosine as weight.  What a vote is worth is learned from
 the examples themselves, each without itself (isotonic), so a score is the share of
@@ -30,15 +30,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fadeline.llm.text import Bounded, map_texts, unused, words
+from fadeline.llm.text import Bounded, map_texts, slices, unused, words
 from fadeline.session import staged
 
-MAX_EXAMPLES, MAX_FEATURES = 20_000, 4_096
+MAX_EXAMPLES = 20_000
 NEIGHBOURS, BLOCK = 15, 64
+#: Blocks that are scored before any bound is compared.
+FIRST_BLOCKS = 8
 #: A feature is in so many examples at least.
 LEAST_EXAMPLES = 3
-#: And this share of them has label 1: common words that lean a little to one side are no evidence.
-LEAST_SHARE = 0.5
 THRESHOLD = 0.7
 LETTERS = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6, 7)
@@ -73,8 +73,8 @@ def examples_of(documents: DataFrame, labels: DataFrame, label: str, most: int)
     return documents.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("example_id")).select("doc_id", "text", "label")
 
 
-def chosen_features(examples: DataFrame, most: int) -> list[str]:
-    """Terms that go with label 1, the strongest first."""
+def chosen_features(examples: DataFrame) -> list[str]:
+    """Terms that go with label 1 or with label 0, the strongest first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Bounded(terms, 50_000).__getitem__
@@ -103,10 +103,9 @@ def chosen_features(examples: DataFrame, most: int) -> list[str]:
     n, p, rate = F.col("n"), F.col("p"), positive / total
     part = lambda k, q: F.when(k > 0, k * F.log(k / (n * q))).otherwise(0.0)
     ratio = 2 * (part(p, rate) + part(n - p, 1 - rate))
-    scored = counted.filter((p >= LEAST_SHARE * n) & (p > rate * n)).withColumn("ratio", ratio)
     tried = max(2, counted.count())
-    best = scored.filter(F.col("ratio") > 2 * math.log(tried)).orderBy(F.desc("ratio"), "term").limit(most)
-    return [r.term for r in best.select("term").collect()]
+    best = counted.withColumn("ratio", ratio).filter(F.col("ratio") > 2 * math.log(tried)).orderBy(F.desc("ratio"), "term")
+    return [r.term for r in best.select("term").collect()]  # no more than the terms of MAX_EXAMPLES texts
 
 
 class Vectors:
@@ -137,11 +136,31 @@ def with_counts(df: DataFrame, features: list[str], into: str) -> DataFrame:
 
 def document_frequencies(documents: DataFrame, features: list[str]) -> tuple[int, np.ndarray]:
     """Number of documents, and of those that have each feature: over all documents."""
-    counts = with_counts(documents.select("text"), features, "counts").select(F.explode("counts.feature").alias("feature"))
-    frequency = np.zeros(len(features))
-    for r in counts.groupBy("feature").count().collect():  # a row per feature
-        frequency[r.feature] = r["count"]
-    return documents.count(), frequency
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, n, own = Vectors(features), 0, np.zeros(len(features), np.int64)
+        for batch in batches:
+            for part in slices(batch, 0):
+                for text in part.column(0).to_pylist():
+                    n += 1
+                    own[[f for f, _ in vectors.counts(text)]] += 1
+        found = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *found], pa.int32()), pa.array([n, *own[found]], pa.int64())], names=["feature", "n"])
+
+    n, frequency = 0, np.zeros(len(features))
+    rows = documents.select("text").mapInArrow(count, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    for r in rows.collect():  # a row per feature, and one for the documents
+        if r.feature < 0:
+            n = r.n
+        else:
+            frequency[r.feature] = r.n
+    return n, frequency
+
+
+def spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all ranges, one range after the other, and the ranges' lengths."""
+    n = ends - starts
+    return np.arange(n.sum()) + np.repeat(starts - np.cumsum(n) + n, n), n
 
 
 class BlockMaxIndex:
@@ -153,44 +172,59 @@ class BlockMaxIndex:
         #: Examples by their strongest feature, so that those of a block are alike.
         self.order = np.array([i for *_, i in sorted(strongest)], np.int64)
         self.block, self.blocks = block, -(-n // block)
-        rows = [(int(f), place, float(w)) for place, i in enumerate(self.order) for f, w in zip(*vectors[i])]
-        rows.sort()
-        self._at, self._weight = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows])
-        feature = np.array([r[0] for r in rows], np.int64)
-        places = np.arange(self.blocks + 1) * block
-        self._best = np.zeros((n_features, self.blocks))
-        np.maximum.at(self._best, (feature, self._at // block), self._weight)
-        starts = np.searchsorted(feature, np.arange(n_features + 1))
-        #: Where each feature's list enters each block.
-        self._enter = np.array([starts[f] + np.searchsorted(self._at[starts[f] : starts[f + 1]], places) for f in range(n_features)], np.int64).reshape(n_features, self.blocks + 1)
+        placed = [vectors[i] for i in self.order]
+        feature = np.concatenate([np.zeros(0, np.int64), *(f for f, _ in placed)]).astype(np.int64)
+        at = np.repeat(np.arange(n), [len(f) for f, _ in placed])
+        by_list = np.lexsort((at, feature))
+        feature, self._at = feature[by_list], at[by_list]
+        self._weight = np.concatenate([np.zeros(0), *(w for _, w in placed)])[by_list]
+        #: Where each feature's list begins.
+        self._starts = np.searchsorted(feature, np.arange(n_features + 1))
+        #: The blocks that each list enters, and its largest weight there; and where each feature's begin.
+        entered = np.flatnonzero(np.diff(feature * self.blocks + self._at // block, prepend=-1))
+        self._entered = self._at[entered] // block
+        self._best = np.maximum.reduceat(self._weight, entered) if len(entered) else np.zeros(0)
+        self._best_starts = np.searchsorted(feature[entered], np.arange(n_features + 1))
+
+    def _scored(self, blocks: np.ndarray, at: np.ndarray, parts: np.ndarray, without: int) -> tuple[np.ndarray, np.ndarray]:
+        """Products and examples of these blocks, where they are positive."""
+        slot = np.full(self.blocks, -1)
+        slot[blocks] = np.arange(len(blocks))
+        own = slot[at // self.block]
+        inside = own >= 0
+        scores = np.bincount(own[inside] * self.block + at[inside] % self.block, parts[inside], len(blocks) * self.block)
+        hit = np.flatnonzero(scores > 0)
+        example = self.order[blocks[hit // self.block] * self.block + hit % self.block]
+        return scores[hit][example != without], example[example != without]
 
     def nearest(self, features: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
         """The k examples of the largest positive dot products: (product, example).
 
         Bounds and products add up in the same order, so a bound is never below
         a product of its block, not even by rounding."""
-        bounds = np.zeros(self.blocks)
-        for f, w in zip(features, weights):
-            bounds += w * self._best[f]
-        found: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(found) == k and bounds[b] <= -found[-1][0]:
+        i, n = spread(self._best_starts[features], self._best_starts[features + 1])
+        bounds = np.bincount(self._entered[i], np.repeat(weights, n) * self._best[i], self.blocks)
+        i, n = spread(self._starts[features], self._starts[features + 1])
+        at, parts = self._at[i], np.repeat(weights, n) * self._weight[i]
+        todo = np.argsort(-bounds, kind="stable")[: np.count_nonzero(bounds > 0)]
+        product, example = np.zeros(0), np.zeros(0, np.int64)
+        for blocks in (todo[:FIRST_BLOCKS], todo[FIRST_BLOCKS:]):
+            if len(product) == k:
+                blocks = blocks[bounds[blocks] > product[-1]]
+            if not len(blocks):
                 break
-            scores = np.zeros(self.block)
-            for f, w in zip(features, weights):
-                a, z = self._enter[f, b], self._enter[f, b + 1]
-                scores[self._at[a:z] - b * self.block] += w * self._weight[a:z]
-            for place in np.flatnonzero(scores > 0):
-                example = int(self.order[b * self.block + place])
-                if example != without:
-                    found.append((-float(scores[place]), example))
-            found = sorted(found)[:k]
-        return [(-s, e) for s, e in found]
+            product, example = map(np.concatenate, zip((product, example), self._scored(blocks, at, parts, without)))
+            if len(product) > k:
+                near = product >= np.partition(product, len(product) - k)[-k]
+                product, example = product[near], example[near]
+            first = np.lexsort((example, -product))[:k]
+            product, example = product[first], example[first]
+        return list(zip(product.tolist(), example.tolist()))
 
 
 @dataclass
 class Model:
-    """What the tasks need; its size is bound by MAX_EXAMPLES and MAX_FEATURES."""
+    """What the tasks need; its size is bound by the texts of MAX_EXAMPLES examples."""
 
     features: list[str]
     idf: np.ndarray
@@ -235,10 +269,10 @@ def isotonic(raw: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.array([s / n for s, n, _ in pools]), np.maximum.accumulate(share)
 
 
-def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_examples: int = MAX_EXAMPLES, max_features: int = MAX_FEATURES) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_examples: int = MAX_EXAMPLES) -> Model:
     """Learns from the labelled rows that are not held out."""
     examples = staged(examples_of(documents, labels, label, min(max_examples, MAX_EXAMPLES)))
-    features = chosen_features(examples, min(max_features, MAX_FEATURES))
+    features = chosen_features(examples)
     rows = sorted(with_counts(examples, features, "counts").collect(), key=lambda r: (r.doc_id, r.label, r.counts))  # at most max_examples short rows
     y = np.array([r.label for r in rows], np.int64)
     rate = float((y.sum() + 0.5) / (len(y) + 1))

@@ -77,6 +77,23 @@ def test_evidence_and_odd_rows(spark):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if not r.predicted}
 
 
+def test_terms_of_either_label_are_features(spark):
+    """Label 1 in under half of a term's examples, label 0 in all of them, and more terms than a few thousand."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    many = " ".join("z" + letters[i // 676] + letters[i // 26 % 26] + letters[i % 26] for i in range(5_000))
+    rows = [(i, "plain " + ("calm " if i % 10 else many) + (" murky" if i % 10 == 0 or i % 10 < 3 else ""), int(i % 10 == 0)) for i in range(600)]
+    examples = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    docs, labels = examples.select("doc_id", "text"), examples.select("doc_id", F.col("label").alias("toxic"))
+    model = toxicity.fit(docs, labels)
+    features = model.features
+    assert {"murky", "calm"} <= set(features) and "plain" not in features
+    assert len(set(features)) == len(features) > 5_000
+    assert len(model.ids) == examples.filter(~toxicity.held_out()).count()
+    clean = spark.createDataFrame([(1000, "so calm")], "doc_id long, text string")
+    got = toxicity.score(clean, model).first()
+    assert got.predicted == 0 and len(got.neighbours) == toxicity.NEIGHBOURS and all(i % 10 for i in got.neighbours)
+
+
 def test_without_labels(spark):
     docs, labels = made(spark, 20)
     for none in (labels.limit(0), labels.filter("toxic = 0")):
