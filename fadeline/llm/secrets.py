@@ -2,11 +2,16 @@
 
 The patterns find secrets by their look.  The lexer finds more by their use: it
 reads assignments of source code and configuration files (``name = "literal"``,
-``"name": literal``, ``name := other``) into pairs of a name and a literal or
-another name.  A name on the right stands for the literal that it was given last,
-so a constant is followed to the name in which it ends.  A literal is scored by
-the most sensitive name that it reaches and by its own look; from THRESHOLD on it
-is a secret, wherever it was written.
+``"name": literal``, ``name: type = literal``, ``name := other``, ``a = b = "literal"``)
+into pairs of a name and what it is given: strings with prefixes, in one or three
+quotes, joined by ``+`` or standing side by side, a literal without quotes, or other
+names.
+
+A second pass follows names.  A name on the right stands for what it was given last
+before, or first after if it was not given anything before, so a constant is followed
+to the name in which it ends.  A value is scored by the most sensitive name that it
+reaches and by the look of all its parts together; from THRESHOLD on each part is a
+secret, wherever it was written.
 
 Places are code points, ends exclusive.
 """
@@ -15,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from typing import NamedTuple
 
@@ -38,13 +44,78 @@ SENSITIVE = {
 }
 THRESHOLD = 0.8
 
-#: A name or its quoted form, an assignment sign, and a quoted literal, or one without quotes.
-PAIR = re.compile(
-    r"""(?P<q>["']?)(?P<name>[A-Za-z_][\w.-]*)(?P=q)[ \t]*(?::=|=>|[:=])[ \t]*"""
-    r"""(?:"(?P<double>(?:[^"\\\n]|\\.)*)"|'(?P<single>(?:[^'\\\n]|\\.)*)'|(?P<bare>[^\s"',;(){}\[\]<>]+))""",
+#: A name or its quoted form, and an assignment sign; between them may be a type.
+HEAD = re.compile(
+    r"""(?P<q>["']?)(?P<name>[A-Za-z_][\w.-]*)(?P=q)[ \t]*"""
+    r"""(?:\??:[ \t]*[A-Za-z_&*](?:[\w.]|::)*(?:[ \t]*[\[<|](?:[^=:\n"']|::)*)?\??[ \t]*=(?![=>])|:=|=>|[:=])[ \t]*""",
     re.ASCII,
 )
+#: A string with its prefix, in one or three quotes.
+STRING = re.compile(
+    r"""(?:[rbuf]|br|rb|fr|rf)?(?:\"{3}(?P<a>[^"\\]*(?:(?:\\.|"(?!""))[^"\\]*)*)\"{3}|'{3}(?P<b>[^'\\]*(?:(?:\\.|'(?!''))[^'\\]*)*)'{3}"""
+    r"""|"(?P<c>[^"\\\n]*(?:\\[^\n][^"\\\n]*)*)"|'(?P<d>[^'\\\n]*(?:\\[^\n][^'\\\n]*)*)')""",
+    re.ASCII | re.IGNORECASE | re.DOTALL,
+)
+BARE = re.compile(r"""[^\s"',;(){}\[\]<>]+""", re.ASCII)
 NAME = re.compile(r"[A-Za-z_][\w.-]*", re.ASCII)
+#: ``b = `` where a value is expected: an assignment in an assignment.
+CHAIN = re.compile(r"([A-Za-z_][\w.-]*)[ \t]+=[ \t]+(?!=)", re.ASCII)
+OPEN = re.compile(r"\(\s*")
+PLUS = re.compile(r"\s*(?:\\\n\s*)?\+\s*(?:\\\n\s*)?(?![+=])")
+#: Strings side by side are one, over lines after a backslash or inside parentheses.
+BESIDE, BESIDE_OPEN = re.compile(r"[ \t]*(?:\\\n[ \t]*)?"), re.compile(r"\s*(?:\\\n\s*)?")
+
+
+class Assignment(NamedTuple):
+    name: str
+    literals: list[tuple[int, int]]
+    names: list[str]  # of one name alone, its own place is in literals if nothing is given to it
+    parts: list[tuple[int, int] | str]  # literals and names in their order
+    chained: bool = False
+
+
+def value(text: str, at: int) -> tuple[list[tuple[int, int] | str], int, tuple[int, int] | None]:
+    """Literals and names that are joined from here, the end, and the place of the last name."""
+    parts: list[tuple[int, int] | str] = []
+    opened = OPEN.match(text, at)
+    at, end, place = opened.end() if opened else at, at, None
+    while True:
+        if m := STRING.match(text, at):
+            parts.append(m.span(m.lastgroup))
+        elif m := BARE.match(text, at):
+            close = m.end() - (m[0][-1] == "+" and STRING.match(text, m.end()) is not None)
+            if NAME.fullmatch(text, at, close):
+                parts.append(text[at:close])
+                place = (at, close)
+            elif close > at:
+                parts.append((at, close))
+            m = BARE.match(text, at, close) or m
+        else:
+            return parts, end, place
+        end = m.end()
+        beside = (BESIDE_OPEN if opened else BESIDE).match(text, end)
+        if m.re is STRING and STRING.match(text, beside.end()):
+            at = beside.end()
+        elif plus := PLUS.match(text, end):
+            at = plus.end()
+        else:
+            return parts, end, place
+
+
+def assignments(text: str) -> list[Assignment]:
+    found, at = [], 0
+    while head := HEAD.search(text, at):
+        at = head.end()
+        if chain := CHAIN.match(text, at):
+            found.append(Assignment(head["name"], [], [chain[1]], [chain[1]], True))
+            continue
+        parts, at, place = value(text, at)
+        if not parts:
+            continue
+        names = [p for p in parts if isinstance(p, str)]
+        literals = [p for p in parts if not isinstance(p, str)]
+        found.append(Assignment(head["name"], literals if len(parts) > 1 or not names else [place], names, parts))
+    return found
 
 
 class Span(NamedTuple):
@@ -83,17 +154,53 @@ def lexed_spans(text: str, lower: str) -> list[Span]:
     """Literals that reach a sensitive name."""
     if not any(part in lower for part in SENSITIVE):
         return []
-    holds: dict[str, tuple[int, int]] = {}  # the literal a name was given last
+    found = assignments(text)
+    given: dict[str, list[int]] = {}
+    for i, one in enumerate(found):
+        given.setdefault(one.name, []).append(i)
+
+    def source(i: int, name: str) -> int | None:
+        """Where a name got what it is in assignment ``i``: last before, else first after."""
+        places = given.get(name, [])
+        at = bisect_left(places, i)
+        later = next((j for j in places[at : at + 2] if j != i), None)
+        return places[at - 1] if at and not (found[i].chained and later is not None) else later
+
+    def joined(i: int) -> str:
+        """The value as one text; names in it are followed while they stand for one other name."""
+        out = []
+        for part in found[i].parts:
+            if isinstance(part, str):
+                j, seen = source(i, part), {i}
+                while j is not None and j not in seen and len(found[j].parts) == 1 and found[j].names and (k := source(j, found[j].names[0])) is not None:
+                    seen.add(j)
+                    j = k
+                out += [] if j is None else [text[a:z] for a, z in found[j].literals]
+            else:
+                out.append(text[slice(*part)])
+        return "".join(out)
+
     reached: dict[tuple[int, int], float] = {}
-    for pair in PAIR.finditer(text):
-        group = next(g for g in ("double", "single", "bare") if pair[g] is not None)
-        place = pair.span(group)
-        if group == "bare" and NAME.fullmatch(pair[group]) and pair[group] in holds:
-            place = holds[pair[group]]
-        holds[pair["name"]] = place
-        if weight := sensitivity(pair["name"]):
-            reached[place] = max(weight, reached.get(place, 0.0))
-    return [Span(start, "literal", end, start) for (start, end), weight in reached.items() if weight + look(text[start:end]) >= THRESHOLD]
+    best: dict[int, tuple[float, float]] = {}
+    todo = [(i, weight, 0.0) for i, one in enumerate(found) if (weight := sensitivity(one.name))]
+    while todo:
+        i, weight, whole = todo.pop()
+        known = best.get(i, (0.0, -1.0))
+        new = max(known[0], weight), max(known[1], whole)
+        if new == known:
+            continue
+        best[i] = new
+        one = found[i]
+        sources = [j for name in one.names if (j := source(i, name)) is not None]
+        if len(one.parts) > 1:
+            new = new[0], max(new[1], look(joined(i)))
+        if len(one.parts) > 1 or not sources:  # a name alone that nothing is given to is a literal
+            for start, end in one.literals:
+                score = new[0] + max(new[1], look(text[start:end]))
+                if end > start:
+                    reached[start, end] = max(score, reached.get((start, end), 0.0))
+        todo += [(j, *new) for j in sources]
+    return [Span(start, "literal", end, start) for (start, end), score in reached.items() if score >= THRESHOLD]
 
 
 def spans(text: str | None) -> list[Span]:
