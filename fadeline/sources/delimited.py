@@ -87,6 +87,16 @@ def _split(text: Column, width: int, fmt: Format) -> Column:
     )
 
 
+def _filled_after(text: Column, n: Column, fmt: Format) -> Column:
+    """Whether any field after the first ``n`` is filled, however many there are."""
+    sep = re.escape(fmt.sep)
+    if fmt.quotechar:
+        q = re.escape(fmt.quotechar)
+        text = F.regexp_replace(text, rf"(^|{sep}){q}(?:[^{q}\\]|\\.|{q}{q})*+{q}", "$1q")
+    fields = F.split(text, sep)
+    return F.coalesce(F.exists(F.slice(fields, n + 1, F.size(fields)), lambda f: F.length(f) > 0), F.lit(False))
+
+
 def _fields(parsed: str, width: int) -> Column:
     return F.array(*[F.col(f"{parsed}.c{i}") for i in range(width)])
 
@@ -119,7 +129,7 @@ def named_rows(lines: DataFrame, fmt: Format, columns: list[str], renames: dict[
     rows = joined.where(~((F.col("block_start") == 0) & (F.col("line_no") == F.col("header_line"))))
     cut = rows.withColumn("parsed", _split(F.col("value"), width + 1, fmt))
     fields = _fields("parsed", width)
-    surplus = F.try_element_at(_fields("parsed", width + 1), F.col("n_fields") + 1).isNotNull()
+    surplus = F.try_element_at(_fields("parsed", width + 1), F.col("n_fields") + 1).isNotNull() | _filled_after(F.col("value"), F.col("n_fields"), fmt)
     said = F.concat(F.lit("Expected "), F.col("n_fields").cast("string"), F.lit(" fields, saw more"))
     cut = cut.withColumn("header_error", F.coalesce("header_error", F.when(surplus, said)))
     missing = [*MISSING_TEXTS, *fmt.na_values]
