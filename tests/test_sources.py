@@ -310,7 +310,7 @@ def test_surplus_fields_are_a_file_error_whatever_lies_beside(spark, tmp_path):
     )
     found = delimited.read_raw(spark, str(tmp_path), load_format("demo_csv_data"))
     said = "Expected 5 fields, saw more"
-    assert rows(found, "cml_id", "header_error") == [("e", None), ("h", None), ("n", None), ("n", said), ("w", None)]
+    assert rows(found, "cml_id", "header_error") == [("e", None), ("h", None), ("n", said), ("n", None), ("w", None)]
     assert rows(found.where("cml_id = 'h'"), "tsl", "rsl") == [(None, None)]
 
 
