@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fadeline.llm import archives, byte_bpe, fingerprints, mixing, near_duplicates, quality, secrets, sharding, toxicity, word_pieces
+from fadeline.llm import archives, byte_bpe, fill_middle, fingerprints, mixing, near_duplicates, quality, secrets, sharding, toxicity, word_pieces
 from fadeline.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,9 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of secrets in every document."""
     return secrets.report(table(spark, sf_dir, "documents"))
+
+
+@query("op11_fill_middle", fill_middle.ORACLE)
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cuts, output and restored text of every document."""
+    return fill_middle.report(table(spark, sf_dir, "documents"))
