@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fadeline.llm import archives, byte_bpe, fill_middle, fingerprints, mixing, near_duplicates, quality, secrets, sharding, toxicity, word_pieces
+from fadeline.llm import archives, byte_bpe, fill_middle, fingerprints, mixing, near_duplicates, prefix_trie, quality, secrets, sharding, toxicity, word_pieces
 from fadeline.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,9 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cuts, output and restored text of every document."""
     return fill_middle.report(table(spark, sf_dir, "documents"))
+
+
+@query("op12_prefix_trie", prefix_trie.ORACLE)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of the rebuilt conversations."""
+    return prefix_trie.report(table(spark, sf_dir, "conversations"))
