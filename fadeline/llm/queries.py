@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fadeline.llm import archives, byte_bpe, fill_middle, fingerprints, mixing, near_duplicates, prefix_trie, quality, secrets, sharding, toxicity, word_pieces
+from fadeline.llm import archives, byte_bpe, fill_middle, fingerprints, mixing, near_duplicates, personal_data, prefix_trie, quality, secrets, sharding, toxicity, word_pieces
 from fadeline.llm.text import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,9 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of the trie of the rebuilt conversations."""
     return prefix_trie.report(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_personal_data")
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of personal data in every document."""
+    return personal_data.report(table(spark, sf_dir, "documents"))
