@@ -22,6 +22,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -45,9 +46,11 @@ SENSITIVE = {
 THRESHOLD = 0.8
 
 #: A name or its quoted form, and an assignment sign; between them may be a type.
+#: A name begins where a run of its characters does and nothing is given back, so no
+#: character is looked at from several places.
 HEAD = re.compile(
-    r"""(?P<q>["']?)(?P<name>[A-Za-z_][\w.-]*)(?P=q)[ \t]*"""
-    r"""(?:\??:[ \t]*[A-Za-z_&*](?:[\w.]|::)*(?:[ \t]*[\[<|](?:[^=:\n"']|::)*)?\??[ \t]*=(?![=>])|:=|=>|[:=])[ \t]*""",
+    r"""(?P<q>["']?)(?<![\w.-])(?P<name>[\w.-]++)(?P=q)[ \t]*+"""
+    r"""(?:\??:[ \t]*+[A-Za-z_&*](?:[\w.]|::)*+(?:[ \t]*+[\[<|](?:[^=:\n"']|::)*+)?+\??[ \t]*+=(?![=>])|:=|=>|[:=])[ \t]*+""",
     re.ASCII,
 )
 #: A string with its prefix, in one or three quotes.
@@ -56,14 +59,14 @@ STRING = re.compile(
     r"""|"(?P<c>[^"\\\n]*(?:\\[^\n][^"\\\n]*)*)"|'(?P<d>[^'\\\n]*(?:\\[^\n][^'\\\n]*)*)')""",
     re.ASCII | re.IGNORECASE | re.DOTALL,
 )
-BARE = re.compile(r"""[^\s"',;(){}\[\]<>]+""", re.ASCII)
-NAME = re.compile(r"[A-Za-z_][\w.-]*", re.ASCII)
+BARE = re.compile(r"""[^\s"',;(){}\[\]<>]++""", re.ASCII)
+NAME = re.compile(r"[A-Za-z_][\w.-]*+", re.ASCII)
 #: ``b = `` where a value is expected: an assignment in an assignment.
-CHAIN = re.compile(r"([A-Za-z_][\w.-]*)[ \t]+=[ \t]+(?!=)", re.ASCII)
+CHAIN = re.compile(r"([A-Za-z_][\w.-]*+)[ \t]++=[ \t]++(?!=)", re.ASCII)
 OPEN = re.compile(r"\(\s*")
-PLUS = re.compile(r"\s*(?:\\\n\s*)?\+\s*(?:\\\n\s*)?(?![+=])")
+PLUS = re.compile(r"\s*+(?:\\\n\s*+)?\+\s*+(?:\\\n\s*+)?(?![+=])")
 #: Strings side by side are one, over lines after a backslash or inside parentheses.
-BESIDE, BESIDE_OPEN = re.compile(r"[ \t]*(?:\\\n[ \t]*)?"), re.compile(r"\s*(?:\\\n\s*)?")
+BESIDE, BESIDE_OPEN = re.compile(r"[ \t]*+(?:\\\n[ \t]*+)?"), re.compile(r"\s*+(?:\\\n\s*+)?")
 
 
 class Assignment(NamedTuple):
@@ -89,10 +92,10 @@ def value(text: str, at: int) -> tuple[list[tuple[int, int] | str], int, tuple[i
                 place = (at, close)
             elif close > at:
                 parts.append((at, close))
-            m = BARE.match(text, at, close) or m
+            end = close if close > at else m.end()
         else:
             return parts, end, place
-        end = m.end()
+        end = m.end() if m.re is STRING else end
         beside = (BESIDE_OPEN if opened else BESIDE).match(text, end)
         if m.re is STRING and STRING.match(text, beside.end()):
             at = beside.end()
@@ -136,12 +139,13 @@ def base_spans(text: str, lower: str) -> list[Span]:
     return found
 
 
-def look(literal: str) -> float:
-    """0 to 0.4: length, mixed characters and entropy of a literal."""
-    if len(literal) < 8 or not literal.isascii() or any(c.isspace() for c in literal):
+def look(characters: Counter) -> float:
+    """0 to 0.4: length, mixed characters and entropy of a literal with these characters."""
+    n = characters.total()
+    if n < 8 or any(not c.isascii() or c.isspace() for c in characters):
         return 0.0
-    kinds = sum(bool(re.search(p, literal)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    entropy = -sum(n / len(literal) * math.log2(n / len(literal)) for n in Counter(literal).values())
+    kinds = sum(any(fits(c) for c in characters) for fits in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+    entropy = -sum(k / n * math.log2(k / n) for k in characters.values())
     return 0.1 * (kinds >= 2) + 0.1 * (kinds >= 3) + 0.1 * (entropy >= 2.5) + 0.1 * (entropy >= 3.2)
 
 
@@ -166,19 +170,38 @@ def lexed_spans(text: str, lower: str) -> list[Span]:
         later = next((j for j in places[at : at + 2] if j != i), None)
         return places[at - 1] if at and not (found[i].chained and later is not None) else later
 
-    def joined(i: int) -> str:
-        """The value as one text; names in it are followed while they stand for one other name."""
-        out = []
+    ends: dict[int, int | None] = {}
+
+    def end_of(j: int | None) -> int | None:
+        """The assignment that ``j`` stands for while it is one other name; None for names that only lead to one another."""
+        path = []
+        while j is not None and j not in ends:
+            ends[j] = None
+            path.append(j)
+            k = source(j, found[j].names[0]) if len(found[j].parts) == 1 and found[j].names else None
+            if k is None:
+                ends[j] = j
+                break
+            j = k
+        for i in path:
+            ends[i] = ends[j]
+        return None if j is None else ends[j]
+
+    counted: dict[tuple[int, int], Counter] = {}
+
+    def characters(place: tuple[int, int]) -> Counter:
+        if place not in counted:
+            counted[place] = Counter(text[slice(*place)])
+        return counted[place]
+
+    def joined(i: int) -> Counter:
+        """The characters of the whole value; names in it are followed while they stand for one other name."""
+        whole = Counter()
         for part in found[i].parts:
-            if isinstance(part, str):
-                j, seen = source(i, part), {i}
-                while j is not None and j not in seen and len(found[j].parts) == 1 and found[j].names and (k := source(j, found[j].names[0])) is not None:
-                    seen.add(j)
-                    j = k
-                out += [] if j is None else [text[a:z] for a, z in found[j].literals]
-            else:
-                out.append(text[slice(*part)])
-        return "".join(out)
+            j = end_of(source(i, part)) if isinstance(part, str) else None
+            for place in [part] if not isinstance(part, str) else [] if j is None else found[j].literals:
+                whole.update(characters(place))
+        return whole
 
     reached: dict[tuple[int, int], float] = {}
     best: dict[int, tuple[float, float]] = {}
@@ -196,7 +219,7 @@ def lexed_spans(text: str, lower: str) -> list[Span]:
             new = new[0], max(new[1], look(joined(i)))
         if len(one.parts) > 1 or not sources:  # a name alone that nothing is given to is a literal
             for start, end in one.literals:
-                score = new[0] + max(new[1], look(text[start:end]))
+                score = new[0] + max(new[1], look(characters((start, end))))
                 if end > start:
                     reached[start, end] = max(score, reached.get((start, end), 0.0))
         todo += [(j, *new) for j in sources]
@@ -210,7 +233,11 @@ def spans(text: str | None) -> list[Span]:
         return []
     lower = text.lower()
     base = base_spans(text, lower)
-    more = [s for s in lexed_spans(text, lower) if not any(b.start <= s.start and s.end <= b.end for b in base)]
+    more = lexed_spans(text, lower)
+    if more:
+        by_start = sorted((b.start, b.end) for b in base)
+        furthest = list(accumulate((end for _, end in by_start), max, initial=0))
+        more = [s for s in more if furthest[bisect_left(by_start, (s.start + 1,))] < s.end]
     order = {kind: i for i, kind in enumerate((*KINDS, "literal"))}
     return sorted(base + more, key=lambda s: (s.start, order[s.kind], s.end))
 
@@ -253,7 +280,10 @@ def redact(df: DataFrame, column: str = "text", mark: str = "[secret]") -> DataF
 
 
 def report(df: DataFrame) -> DataFrame:
-    """Per row the number of spans of each fixed kind, and the spans as text."""
+    """Per row the number of spans of each fixed kind, and the spans as text.
+
+    Null and empty texts have none; repeated rows are alike; other columns are left out.
+    """
     joined = "array_join(transform({}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')"
     base = "filter(spans, s -> s.kind in ('assign', 'access', 'hex'))"
     return scan(df.select("doc_id", "text")).select(
