@@ -9,24 +9,27 @@ the ARC record holds.  Of records with equal payloads one is a response; the oth
 revisit it and keep only their protocol headers.
 
 Files are written by Spark's text writer, whose line end is the end of a record, so
-they may lie wherever Spark writes.  A file is what one task wrote and is read as
-one piece; ``spark.sql.files.maxPartitionBytes`` of the pages bounds it.
+they may lie wherever Spark writes.  Archives of any name below a folder are read,
+plain or gzip, as one member or many; a record is known by its archive's path below
+that folder and its offset.  A task holds the packed bytes of one file (up to the
+2 GB that Spark gives it) and unpacks and parses them a record at a time.
 """
 
 from __future__ import annotations
 
 import datetime
 import hashlib
+import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fadeline.llm.text import slices
+from fadeline.llm.text import SLICE_BYTES, SLICE_ROWS, slices
 from fadeline.session import new_path, staged
 
 # Fixed values of the formats.
@@ -43,14 +46,76 @@ def write_lines(df: DataFrame, path: str, end: str) -> None:
     df.select(F.col("value").cast("string").alias("value")).write.option("lineSep", end).option("compression", "gzip").text(path)
 
 
-def unpacked(data: bytes) -> bytes:
-    """The content of a file that may be gzip, as one member or as one per record."""
-    out = []
-    while data[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(31)
-        out.append(member.decompress(data))
-        data = member.unused_data
-    return b"".join([*out, data]) if out else data
+def unpacked(data: bytes) -> Iterator[bytes]:
+    """The content of a file that may be gzip, as one member or as one per record, in chunks.
+
+    The first piece fed to a member is small and the next ones double, so what a
+    member leaves over is no longer than the member itself.
+    """
+    view, at = memoryview(data), 0
+    while bytes(view[at : at + 2]) == b"\x1f\x8b":
+        member, step = zlib.decompressobj(31), 512
+        while at < len(view) and not member.eof:
+            piece = view[at : at + step]
+            if chunk := member.decompress(piece):
+                yield chunk
+            at += len(piece) - len(member.unused_data)
+            step = min(2 * step, 1 << 20)
+    for low in range(at, len(view), 1 << 20):
+        yield bytes(view[low : low + (1 << 20)])
+
+
+class Reader:
+    """Reads chunks by length or up to a mark; ``at`` is the place in all of them."""
+
+    def __init__(self, chunks: Iterable[bytes]):
+        self._chunks, self._held, self._used, self.at = iter(chunks), b"", 0, 0
+
+    def _more(self, wanted: int = 0) -> bool:
+        """At least one chunk more, and as many as ``wanted`` bytes take; False if there is none."""
+        parts = [self._held[self._used :]]
+        n = len(parts[0])
+        for chunk in self._chunks:
+            parts.append(chunk)
+            n += len(chunk)
+            if n >= wanted:
+                break
+        self._held, self._used = b"".join(parts), 0
+        return len(parts) > 1
+
+    def take(self, n: int) -> bytes:
+        """The next ``n`` bytes, fewer at the end."""
+        if len(self._held) - self._used < n:
+            self._more(n)
+        out = self._held[self._used : self._used + n]
+        self._used += len(out)
+        self.at += len(out)
+        return out
+
+    def until(self, mark: bytes) -> tuple[bytes, bool]:
+        """The bytes before ``mark``, which is passed over, and whether it came."""
+        begin = self._used
+        while (end := self._held.find(mark, begin)) < 0:
+            looked = max(0, len(self._held) - self._used - len(mark) + 1)
+            if not self._more(2 * looked):
+                return self.take(len(self._held)), False
+            begin = looked
+        out = self._held[self._used : end]
+        self.at += end + len(mark) - self._used
+        self._used = end + len(mark)
+        return out, True
+
+    def skip(self, characters: bytes) -> bool:
+        """Passes over any of ``characters``; False at the end."""
+        while True:
+            rest = self._held[self._used : self._used + 64]
+            kept = len(rest.lstrip(characters))
+            self._used += len(rest) - kept
+            self.at += len(rest) - kept
+            if kept:
+                return True
+            if self._used >= len(self._held) and not self._more():
+                return False
 
 
 class ArcRecord(NamedTuple):
@@ -103,28 +168,22 @@ def write_arc(pages: DataFrame, path: str) -> None:
     write_lines(pages.select("page_id", "url", "html").mapInArrow(render, "value binary"), path, "\n")
 
 
-def parse_arc(data: bytes) -> Iterator[ArcRecord]:
-    """The records of an ARC file, the version block first."""
-    at, version = 0, 0
-    while True:
-        while data[at : at + 1] in (b"\n", b"\r"):
-            at += 1
-        if at >= len(data):
-            return
-        end = data.find(b"\n", at)
-        line = data[at : end if end >= 0 else len(data)].rstrip(b"\r").decode("utf-8", "replace")
-        begin = (end if end >= 0 else len(data)) + 1
+def parse_arc(data: bytes | Iterable[bytes]) -> Iterator[ArcRecord]:
+    """The records of an ARC file (its bytes, or chunks of them), the version block first."""
+    reader, version = Reader([data] if isinstance(data, bytes) else data), 0
+    while reader.skip(b"\r\n"):
+        at = reader.at
+        line = reader.until(b"\n")[0].rstrip(b"\r").decode("utf-8", "replace")
         try:
             length = int(line.rsplit(" ", 1)[1])
+            block = reader.take(length)
             if not version:
-                version = int(data[begin : begin + length].split(None, 1)[0])
+                version = int(block.split(None, 1)[0])
             fields = line.rsplit(" ", len(ARC_FIELDS[version].split()) - 1)
             uri, ip, date, mime = fields[:4]
         except (IndexError, KeyError, ValueError) as error:
             raise ValueError(f"not an ARC header line at {at}: {line[:200]!r}") from error
-        block = data[begin : begin + length]
         yield ArcRecord(at, version, uri, ip, date, mime, block, len(block) == length)
-        at = begin + length
 
 
 def payload_of(uri: str, block: bytes) -> tuple[bytes, bytes]:
@@ -157,10 +216,14 @@ def record_id(*parts: str) -> str:
 RECORDS = "archive string, offset long, uri string, ip string, date string, mime string, whole boolean, page_id long, record_id string, payload_digest string, payload_bytes long, block binary"
 
 
-def arc_records(spark: SparkSession, path: str, with_block: bool) -> DataFrame:
-    """A row per record of the ARC files below ``path``, the version blocks left out.
+def arc_records(spark: SparkSession, path: str, with_block: bool, glob: str = "*") -> DataFrame:
+    """A row per record of the ARC files below ``path`` whose names fit ``glob``, the
+    version blocks left out.
 
-    Without ``with_block`` the contents stay in the tasks.
+    Without ``with_block`` the contents stay in the tasks.  ``archive`` is the file's
+    path below ``path``, so files of one name in two folders are told apart and
+    identifiers do not depend on where the folder lies.  A file that is no ARC file
+    is an error; an empty one has no records.
     """
     types = pa.schema([
         ("archive", pa.string()), ("offset", pa.int64()), ("uri", pa.string()), ("ip", pa.string()), ("date", pa.string()), ("mime", pa.string()), ("whole", pa.bool_()),
@@ -176,25 +239,36 @@ def arc_records(spark: SparkSession, path: str, with_block: bool) -> DataFrame:
             "payload_digest": digest, "payload_bytes": len(payload), "block": r.block if with_block else None,
         }
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parse(archive: str, data: bytes) -> Iterator[tuple[dict, int]]:
+        return ((row(archive, r), len(r.block)) for r in parse_arc(unpacked(data)) if not r.uri.startswith("filedesc:"))
+
+    return parsed(spark, path, glob, parse, types, RECORDS)
+
+
+def inside(path: str, root: str) -> str:
+    """A file's path below the folder that is read; the whole path where that is a pattern."""
+    bare = lambda p: re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "", p)
+    return bare(path).removeprefix(bare(root).rstrip("/")).lstrip("/")
+
+
+def parsed(spark: SparkSession, path: str, glob: str, parse: Callable[[str, bytes], Iterable[tuple[dict, int]]], types: pa.Schema, ddl: str) -> DataFrame:
+    """The rows that ``parse`` makes of each file's path and content, with the bytes
+    that each holds: given out a few at a time, whatever a file holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for archive, content in zip(batch.column(0), batch.column(1)):
+            for name, content in zip(batch.column(0), batch.column(1)):
                 rows, held = [], 0
-                for r in parse_arc(unpacked(content.as_py())):
-                    if not r.uri.startswith("filedesc:"):
-                        rows.append(row(archive.as_py().rsplit("/", 1)[-1], r))
-                        held += len(r.block)
-                    if held > 4 << 20 or len(rows) >= 2000:
+                for row, size in parse(inside(name.as_py(), path), content.as_py()):
+                    rows.append(row)
+                    held += size
+                    if held > SLICE_BYTES or len(rows) >= SLICE_ROWS:
                         yield pa.RecordBatch.from_pylist(rows, types)
                         rows, held = [], 0
                 yield pa.RecordBatch.from_pylist(rows, types)
 
-    return one_by_one(spark, path).mapInArrow(parse, RECORDS)
-
-
-def one_by_one(spark: SparkSession, path: str) -> DataFrame:
-    """path and content of each file."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    return files.select("path", "content").mapInArrow(run, ddl)
 
 
 def warc_record(kind: str, fields: dict[str, str | None], block: bytes) -> bytes:
@@ -236,30 +310,34 @@ def write_warc(records: DataFrame, path: str) -> None:
     write_lines(records.select(*names).mapInArrow(render, "value binary"), path, WARC_END.decode())
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+def parse_warc(data: bytes | Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
     """Fields (names in small letters) and block of each record, by its declared length."""
-    at = 0
-    while at < len(data):
-        end = data.find(WARC_END, at)
-        lines = data[at:end].split(CRLF)
-        if end < 0 or not lines[0].startswith(b"WARC/"):
-            raise ValueError(f"not a WARC record at {at}: {data[at : at + 100]!r}")
+    reader = Reader([data] if isinstance(data, bytes) else data)
+    while True:
+        at = reader.at
+        head, whole = reader.until(WARC_END)
+        if not head and not whole:
+            return
+        lines = head.split(CRLF)
+        if not whole or not lines[0].startswith(b"WARC/"):
+            raise ValueError(f"not a WARC record at {at}: {head[:100]!r}")
         fields = {k.strip().lower(): v.strip() for k, _, v in (line.decode("utf-8", "replace").partition(":") for line in lines[1:])}
-        begin = end + len(WARC_END)
-        stop = begin + int(fields["content-length"])
-        if data[stop : stop + 4] != WARC_END:
+        block = reader.take(int(fields["content-length"]))
+        if reader.take(len(WARC_END)) != WARC_END:
             raise ValueError(f"a WARC record at {at} does not end where it says")
-        yield fields, data[begin:stop]
-        at = stop + 4
+        yield fields, block
 
 
 WARC_ROWS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_record string, uri string, warc_date string"
 
 
-def warc_rows(spark: SparkSession, path: str) -> DataFrame:
-    """A row per record of the WARC files below ``path``, those about files left out.
+def warc_rows(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """A row per record of the WARC files below ``path`` whose names fit ``glob``, those
+    about files left out.
 
-    Digests of blocks and payloads are worked out anew; a difference is an error.
+    Digests of blocks and payloads are worked out anew; a difference is an error.  A
+    record without a page's id has a null page_id; empty payloads have length 0 and
+    the digest of nothing; records that are equal are rows of their own.
     """
     types = pa.schema([
         ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()),
@@ -278,34 +356,35 @@ def warc_rows(spark: SparkSession, path: str) -> DataFrame:
             "record_id": fields["warc-record-id"], "refers_to_record": fields.get("warc-refers-to"), "uri": fields["warc-target-uri"], "warc_date": fields["warc-date"],
         }
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(1):
-                rows = [row(f, block) for f, block in parse_warc(unpacked(content.as_py())) if f["warc-type"] != "warcinfo"]
-                yield pa.RecordBatch.from_pylist(rows, types)
+    def parse(_, data: bytes) -> Iterator[tuple[dict, int]]:
+        return ((row(f, block), len(f)) for f, block in parse_warc(unpacked(data)) if f["warc-type"] != "warcinfo")
 
-    return one_by_one(spark, path).mapInArrow(parse, WARC_ROWS)
+    return parsed(spark, path, glob, parse, types, WARC_ROWS)
 
 
-def convert(spark: SparkSession, arc_path: str, warc_path: str) -> None:
-    """ARC files to WARC files.
+def convert(spark: SparkSession, arc_path: str, warc_path: str, glob: str = "*") -> None:
+    """All ARC files below ``arc_path`` whose names fit ``glob`` to WARC files.
 
     Of records with equal payloads of LEAST_SHARED bytes or more the one with the
     smallest page_id is the response (none last; of equal ids the one that comes
     first by archive and place).  Payloads are read twice and not shuffled, but for
     the join with the shared ones where these are too many to be sent along.
     """
-    digests = staged(arc_records(spark, arc_path, with_block=False).drop("block"))
+    digests = staged(arc_records(spark, arc_path, False, glob).drop("block"))
     order = F.struct(F.col("page_id").isNull(), "page_id", "archive", "offset", "record_id", "uri", "date")
     shared = digests.filter(F.col("payload_bytes") >= LEAST_SHARED).groupBy("payload_digest").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).filter("n > 1")
     firsts = staged(shared.select(F.col("payload_digest").alias("shared"), *(F.col(f"first.{c}").alias(f"first_{n}") for n, c in (("id", "record_id"), ("page", "page_id"), ("uri", "uri"), ("date", "date")))))
-    records = arc_records(spark, arc_path, with_block=True)
+    records = arc_records(spark, arc_path, True, glob)
     joined = records.join(firsts, (F.col("payload_digest") == F.col("shared")) & (F.col("record_id") != F.col("first_id")), "left")
     write_warc(joined, warc_path)
 
 
 def report(pages: DataFrame) -> DataFrame:
-    """Pages through ARC files and WARC files, read back."""
+    """Pages through ARC files and WARC files, read back.
+
+    A null html is an empty payload, a null url ``-``; pages of equal ids are records
+    of their own; other columns are left out.
+    """
     spark = pages.sparkSession
     arc, warc = new_path(spark, "arc"), new_path(spark, "warc")
     write_arc(pages, arc)
@@ -313,7 +392,7 @@ def report(pages: DataFrame) -> DataFrame:
     return warc_rows(spark, warc)
 
 
-ORACLE = """
+ORACLE = r"""
 WITH payloads AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest, url FROM pages
 ), firsts AS (
@@ -322,6 +401,8 @@ WITH payloads AS (
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 100 AND page_id <> first_page THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= 100 AND page_id <> first_page THEN first_page END AS refers_to,
-       url AS uri
+       CASE WHEN coalesce(url, '') = '' THEN '-' ELSE array_to_string(list_transform(string_split(url, ''), lambda c:
+         CASE WHEN regexp_matches(c, '[\x{00}-\x{20}\x{7f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]')
+              THEN regexp_replace(hex(c), '(..)', '%\1', 'g') ELSE c END), '') END AS uri
 FROM firsts
 """

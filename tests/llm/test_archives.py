@@ -2,7 +2,11 @@
 
 import gzip
 import hashlib
+import random
+import shutil
+import time
 
+import duckdb
 import pytest
 
 from compare import connect, difference
@@ -45,8 +49,63 @@ def test_dates_and_names():
 
 
 def test_members_of_gzip():
-    assert archives.unpacked(gzip.compress(b"one") + gzip.compress(b"two")) == b"onetwo"
-    assert archives.unpacked(b"plain") == b"plain"
+    unpacked = lambda data: b"".join(archives.unpacked(data))
+    assert unpacked(gzip.compress(b"one") + gzip.compress(b"two")) == b"onetwo"
+    assert unpacked(b"plain") == b"plain" and unpacked(b"") == b""
+    long = random.Random(1).randbytes(3_000_000)
+    assert unpacked(gzip.compress(long) + gzip.compress(b"") + gzip.compress(b"end")) == long + b"end"
+
+
+def test_members_take_time_in_proportion():
+    """A hundred MB of members, each its own gzip file, as crawlers write them."""
+    member = gzip.compress(random.Random(2).randbytes(1000))
+    data = member * (100_000_000 // len(member))
+    begin = time.perf_counter()
+    assert sum(map(len, archives.unpacked(data))) == 1000 * (100_000_000 // len(member))
+    assert time.perf_counter() - begin < 30
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 50, 10**6])
+def test_records_over_chunks(size):
+    blocks = [b"", b"\n\r\n", b"x" * 100, b"HTTP/1.0 200 OK\r\n\r\nhi"]
+    data = arc(2, *(archives.arc_line(2, f"http://{i}", "1997", "text/html", b, 5, "x") for i, b in enumerate(blocks)))
+    chunks = [data[i : i + size] for i in range(0, len(data), size)]
+    assert list(archives.parse_arc(chunks)) == list(archives.parse_arc(data))
+    assert [r.block for r in archives.parse_arc(chunks)][1:] == blocks
+    warc = b"".join(archives.warc_record("resource", {"a": "b"}, b) + archives.WARC_END for b in blocks)
+    assert [b for _, b in archives.parse_warc([warc[i : i + size] for i in range(0, len(warc), size)])] == blocks
+    with pytest.raises(ValueError):
+        list(archives.parse_warc([warc[:-1]]))
+
+
+def test_foreign_and_equal_file_names(spark, tmp_path):
+    page = b"HTTP/1.1 200 OK\r\nX-Page-Id: 7\r\n\r\n" + b"x" * 200
+    record = archives.arc_line(1, "http://a/", "19970901", "text/html", page, 5, "x")
+    (tmp_path / "in/a").mkdir(parents=True)
+    (tmp_path / "in/b").mkdir()
+    (tmp_path / "in/a/IA-0001.arc").write_bytes(arc(1, record))
+    (tmp_path / "in/b/IA-0001.arc").write_bytes(arc(1, record))
+    (tmp_path / "in/crawl.arc.gz").write_bytes(b"".join(gzip.compress(part) for part in (arc(1), b"\n" + record)))
+    (tmp_path / "in/empty.arc").write_bytes(b"")
+    out = str(tmp_path / "out")
+    archives.convert(spark, f"{tmp_path}/in/", out)
+    rows = archives.warc_rows(spark, out).collect()
+    assert sorted(r.record_type for r in rows) == ["response", "revisit", "revisit"] and len({r.record_id for r in rows}) == 3
+    assert {r.refers_to_record for r in rows if r.record_type == "revisit"} == {r.record_id for r in rows if r.record_type == "response"}
+    ids = lambda root: sorted(r.record_id for r in archives.arc_records(spark, root, False).select("record_id").collect())
+    shutil.copytree(tmp_path / "in", tmp_path / "moved")
+    assert ids(f"{tmp_path}/in") == ids(f"file://{tmp_path}/moved")  # wherever the folder lies
+    assert archives.arc_records(spark, f"{tmp_path}/in", False, "*.gz").count() == 1
+
+
+def test_odd_urls_like_the_sql(spark, tmp_path):
+    urls = [None, "", "http://a b", "\thttp://é\u3000x\x7f", "http://%20", "http://\u00a0"]
+    spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(f"SELECT page_id, uri FROM ({ORACLE['op1_archives']})").fetchall()
+    got = QUERIES["op1_archives"](spark, str(tmp_path)).select("page_id", "uri").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
 
 
 def test_op1_rows(spark, sf_dir):
