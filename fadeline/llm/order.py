@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from fadeline.llm.quality import let
 from fadeline.llm.text import unused
 
-#: Rows that one chunk of ids should have, and the branching of the search for it.
-CHUNK_ROWS, BRANCHES = 1000, 16
+#: The branching of the search among bounds.
+BRANCHES = 16
 
 
 def filled(column: str) -> Column:
@@ -40,8 +40,12 @@ def numbered(df: DataFrame, group: list[str], chunk: list[str], order: list[Colu
 
 
 def below(bounds: list[int], value: Column, or_equal: bool = False) -> Column:
-    """How many of the sorted ``bounds`` (a power of BRANCHES, less one) are below ``value``."""
-    array = F.lit(bounds)
+    """How many of the sorted ``bounds`` (a power of BRANCHES, less one) are below ``value``.
+
+    The bounds are one text that the planner folds into a constant: a list of
+    literals would cost the driver time for each of them.
+    """
+    array = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
 
     def narrowed(step: int):
         def part(start: Column) -> Column:
@@ -58,34 +62,52 @@ def below(bounds: list[int], value: Column, or_equal: bool = False) -> Column:
     return at
 
 
-def with_next(df: DataFrame, key: str, ties: list[Column], columns: list[str], prefix: str = "next_") -> DataFrame:
-    """``df`` with ``columns`` of the row that follows by falling ``key``; after the
-    last row comes the first again.
+def chunked(df: DataFrame, key: str, tie: str, into: str, chunks: int) -> DataFrame:
+    """``df`` with ``into``: a number that rises as whole numbers ``key`` fall (nulls
+    last) and then as ``tie`` (hexadecimal digits, evenly spread) rises.
 
-    Rows of equal keys follow one another by ``ties``; rows without a key come last.
-    Quantiles of the key part the rows into chunks of about CHUNK_ROWS; a chunk also
-    gets the row that its last one needs.  The quantiles are values that occur, so
-    that this is known beforehand: it is the row whose key is the bound itself.
-    Where no row has a key, the last row has no next one.
+    The bounds are quantiles of the key, as many as ``chunks`` asks for and however
+    many rows there are.  A key that takes several quantiles, and the rows without a
+    key, are parted by their ties.
+    """
+    n = BRANCHES ** max(1, math.ceil(math.log(max(2, chunks), BRANCHES)))
+    at = [k / n for k in range(1, n)]
+    rows, nulls, found = df.agg(F.count(F.lit(1)), F.count_if(F.col(key).isNull()), F.percentile_approx(F.col(key).cast("long"), at, F.lit(10 * n))).first()
+    spread = F.conv(F.substring(tie, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    last, for_nulls = (1 << 20) - 1, max(1, n * nulls // max(1, rows))
+    of_null = F.lit((n + 1) << 20).cast("long") + F.floor(spread * for_nulls)
+    if not found:
+        return df.withColumn(into, of_null)
+    less, same = below(sorted(found), F.col(key)), below(sorted(found), F.col(key), or_equal=True)
+    times = same - less
+    within = F.when(times > 1, F.floor(spread * times)).otherwise(last)
+    return df.withColumn(into, F.when(F.col(key).isNull(), of_null).otherwise(F.shiftleft((n - less).cast("long"), 20) + within))
+
+
+def with_next(df: DataFrame, key: str, text: str, into: str, chunks: int | None = None) -> DataFrame:
+    """``df`` with ``into``: the text of the row that follows by falling ``key``; after
+    the last row comes the first again.
+
+    Rows of equal keys follow one another by the digest of ``text``; rows without a
+    key come last.  Each row goes to a chunk of neighbours (``chunks`` of them, by
+    default as many as there are shuffle partitions), and the first row of each chunk
+    also to the chunk before.  Which rows these are is worked out from keys and
+    digests beforehand, one for each chunk.  Rows that are equal in key and text stay
+    together.
     """
-    n_rows, highest = df.agg(F.count(F.lit(1)), F.max(key)).first()
-    levels = max(1, math.ceil(math.log(max(1, n_rows / CHUNK_ROWS), BRANCHES)))
-    n = BRANCHES**levels
-    chunk, ghost = unused(df, "chunk"), unused(df, "ghost")
-    if highest is None:
-        placed = df.withColumn(chunk, F.lit(0)).withColumn(ghost, F.lit(0))
-    else:
-        at = [k / n for k in range(1, n)]
-        bounds = sorted(df.agg(F.percentile_approx(key, at, F.lit(10 * n))).first()[0])
-        own, beyond = below(bounds, F.col(key)), below(bounds, F.col(key), or_equal=True)
-        first = F.col(key) == F.lit(highest)
-        places = F.array(
-            F.struct(F.coalesce(own, F.lit(0)).alias("chunk"), F.lit(0).alias("ghost")),
-            F.when((own != beyond) & ~first, F.struct(beyond.alias("chunk"), F.lit(1).alias("ghost"))),
-            F.when(first, F.struct(F.lit(0).alias("chunk"), F.lit(2).alias("ghost"))),
-        )
-        place = unused(df, "place")
-        placed = df.withColumn(place, F.explode(F.filter(places, lambda p: p.isNotNull()))).withColumns({chunk: F.col(place)["chunk"], ghost: F.col(place)["ghost"]}).drop(place)
-    order = Window.partitionBy(chunk).orderBy(F.col(ghost), F.col(key).desc_nulls_last(), *ties)
-    ahead = {f"{prefix}{c}": F.lead(c).over(order) for c in columns}
-    return placed.withColumns(ahead).filter(F.col(ghost) == 0).drop(chunk, ghost)
+    spark = df.sparkSession
+    tie, chunk, ghost = (unused(df, name) for name in ("tie", "chunk", "ghost"))
+    placed = chunked(df.withColumn(tie, F.md5(text)), key, tie, chunk, chunks or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    order = F.struct((-F.col(key).cast("decimal(38,0)")).alias("order"), F.col(tie).alias("tie"))
+    firsts = placed.groupBy(chunk).agg(F.min(order).alias("first")).select(chunk, "first.order", "first.tie").orderBy(chunk).collect()  # a row for each chunk
+    if not firsts:
+        return df.withColumn(into, F.lit(None).cast("string"))
+    before = [(c, order, own, firsts[i - 1][0]) for i, (c, order, own) in enumerate(firsts)]
+    known = spark.createDataFrame(before, "of long, first_order decimal(38,0), first_tie string, before long")
+    is_first = (F.col(chunk) == F.col("of")) & (F.col(tie) == F.col("first_tie")) & (-F.col(key).cast("decimal(38,0)")).eqNullSafe(F.col("first_order"))
+    copies = F.array(F.struct(F.col(chunk).alias("chunk"), F.lit(0).alias("ghost")), F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("chunk"), F.lit(1).alias("ghost"))))
+    place = unused(df, "place")
+    dealt = placed.join(F.broadcast(known), is_first, "left").withColumn(place, F.explode(F.array_compact(copies)))
+    dealt = dealt.select(*(F.col(f"`{c}`") for c in df.columns), tie, F.col(place)["chunk"].alias(chunk), F.col(place)["ghost"].alias(ghost))
+    along = Window.partitionBy(chunk).orderBy(F.col(ghost), F.col(key).desc_nulls_last(), F.col(tie))
+    return dealt.withColumn(into, F.lead(text).over(along)).filter(F.col(ghost) == 0).select(*(F.col(f"`{c}`") for c in df.columns if c != into), into)

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import pytest
 import xxhash
@@ -31,20 +32,34 @@ def alike(a, b):
     return len(a & b) / max(1, len(a | b))
 
 
+def located(before, after):
+    """First differing paragraph, and how many lie between what is equal at both ends."""
+    a, b = before.split("\n"), after.split("\n")
+    if a == b:
+        return None, None, None
+    p = 0
+    while p < min(len(a), len(b)) and a[p] == b[p]:
+        p += 1
+    s = 0
+    while s < min(len(a), len(b)) - p and a[-1 - s] == b[-1 - s]:
+        s += 1
+    return p, len(a) - p - s, len(b) - p - s
+
+
 def expected(docs):
-    """docs: (doc_id, text) by falling id, equal ids by text."""
+    """docs: (doc_id, text) by falling id, equal ids by their texts' digests."""
     out = []
     for i, (doc_id, text) in enumerate(docs):
         text, after = text or "", docs[(i + 1) % len(docs)][1] or ""
         n = len(text)
         edited = text[: n - n // 2] + after[: n // 2]
         one, two = plain(text), plain(edited)
-        out.append((doc_id, n, hashlib.sha256(edited.encode()).hexdigest(), one, two, pytest.approx(alike(one, two)), pytest.approx(alike(one, plain(after)))))
+        out.append((doc_id, n, hashlib.sha256(edited.encode()).hexdigest(), one, two, pytest.approx(alike(one, two)), pytest.approx(alike(one, plain(after))), *located(text, edited)))
     return out
 
 
 def ordered(rows):
-    return sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    return sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashlib.md5((r[1] or "").encode()).hexdigest() if not isinstance(r[1], int) else r[3]))
 
 
 def test_op9_rows(spark, sf_dir):
@@ -53,32 +68,61 @@ def test_op9_rows(spark, sf_dir):
     assert ordered(got) == expected(ordered(docs))
 
 
-@pytest.mark.parametrize("rows", [3, 40, 1000])
-def test_next_over_many_chunks(spark, monkeypatch, rows):
-    monkeypatch.setattr(order, "CHUNK_ROWS", rows)
-    ids = [7 * i % 500 for i in range(300)] + [None, None, 3, 3, 499, 499, -5, 10**15]
-    docs = [(i, f"text {k}. of {i}") for k, i in enumerate(ids)]
+@pytest.mark.parametrize("chunks", [2, 100, 1000])
+def test_next_over_many_chunks(spark, chunks):
+    ids = [7 * i % 500 for i in range(300)] + [None] * 60 + [3] * 90 + [499, 499, -5, 10**15]
+    docs = [(i, f"text {k}. of {i}") for k, i in enumerate(ids)] + [(3, "again")] * 5
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    got = [tuple(r) for r in fingerprints.report(df).collect()]
-    by_sha = lambda x: (x[0] is None, -(x[0] or 0), x[3])
+    got = [tuple(r) for r in fingerprints.report(df, chunks).collect()]
+    by_sha = lambda x: (x[0] is None, -(x[0] or 0), x[3], x[2])
     assert sorted(got, key=by_sha) == sorted(expected(ordered(docs)), key=by_sha)
 
 
+def test_hot_ids_are_parted(spark):
+    """Rows of one id, or of none, that are most of the table go to many chunks."""
+    df = spark.range(6000).select(F.when(F.col("id") < 2000, 7).when(F.col("id") < 5000, F.col("id")).alias("doc_id"), F.md5(F.col("id").cast("string")).alias("tie"))
+    found = order.chunked(df, "doc_id", "tie", "chunk", 200)
+    largest = lambda rows: rows.groupBy("chunk").count().agg(F.max("count")).first()[0]
+    assert largest(found.filter("doc_id = 7")) < 100 and largest(found.filter("doc_id is null")) < 100 and largest(found) < 100
+    rows = sorted(found.collect(), key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.tie))
+    assert [r.chunk for r in rows] == sorted(r.chunk for r in rows)
+
+
+def test_driver_work_does_not_grow_with_rows(spark):
+    """Bounds are as many as partitions are, for a thousand rows as for millions."""
+    seen = []
+    for n in (1_000, 2_000_000):
+        df = spark.range(n).select(F.col("id").alias("doc_id"), F.md5(F.col("id").cast("string")).alias("tie"))
+        found = order.chunked(df, "doc_id", "tie", "chunk", 256)
+        seen.append(found.select("chunk").distinct().count())
+        assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 40_000
+    assert seen[0] <= 256 and seen[1] <= 256
+    begin = time.perf_counter()
+    order.chunked(df, "doc_id", "tie", "chunk", 4096).limit(1).collect()
+    assert time.perf_counter() - begin < 60
+
+
 def test_odd_rows(spark):
     docs = [(5, None), (4, ""), (4, ""), (3, "é🙂" * 30_000), (2, "a\n\nb."), (1, "\n")]
-    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"next_text": F.lit("x"), "chunk": F.lit(1)})
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"next_text": F.lit("x"), "chunk": F.lit(1), "of": F.lit(1), "tie": F.lit("t")})
     got = [tuple(r) for r in fingerprints.report(df).collect()]
     assert ordered(got) == ordered(expected(docs))
     assert fingerprints.report(df.limit(0)).count() == 0
     assert fingerprints.report(df.limit(1)).count() == 1
     nobody = spark.createDataFrame([(None, "a"), (None, "b")], "doc_id long, text string")
-    assert fingerprints.report(nobody).count() == 2
+    assert ordered([tuple(r) for r in fingerprints.report(nobody).collect()]) == ordered(expected(ordered([(None, "a"), (None, "b")])))
 
 
 def test_edits_are_located(spark):
-    df = spark.createDataFrame([("a\nb\nc\nd", "a\nB\nc\nd\ne"), ("x", "x")], "one string, two string")
-    found = df.select(fingerprints.edited_paragraphs(fingerprints.fingerprint(F.col("one")), fingerprints.fingerprint(F.col("two"))).alias("p")).collect()
-    assert sorted(r.p for r in found) == [[], [1, 4]]
+    long = [f"paragraph {i}" for i in range(200)]
+    pairs = [
+        ("a\nb\nc\nd", "a\nB\nc\nd\ne"), ("x", "x"), ("a\na\nb", "a\nb"), ("a\nb\nc\nd", "a\nc\nb\nd"), ("", "a"), ("a\nb", ""), ("a\n\n\nb", "a\n\nb"),
+        ("\n".join(long), "\n".join(long[:50] + long[51:])), ("\n".join(long), "\n".join(long[:50] + ["new", "more"] + long[50:])),
+        ("\n".join(long), "\n".join(long[:20] + long[30:60] + long[20:30] + long[60:])), ("\n".join(long * 2), "\n".join(long * 3)), ("\n".join(long), "\n".join(["0", *long, "9"])),
+    ]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, one string, two string")
+    found = df.select("i", fingerprints.edit(fingerprints.fingerprint(F.col("one")), fingerprints.fingerprint(F.col("two"))).alias("e")).collect()
+    assert [tuple(r.e) if r.e else (None, None, None) for r in sorted(found)] == [located(*p) for p in pairs]
 
 
 @pytest.mark.parametrize("levels", [1, 2])
