@@ -3,30 +3,33 @@
 Observations are partitioned by tenant and day and sorted by link and falling
 time inside each file, so that a tenant and a time range prune folders and a
 link prunes row groups.  ``rebalance`` lets adaptive execution split a tenant
-or day that holds a third of the rows and merge the small ones.
+or day that holds a third of the rows and merge the small ones.  All tables are
+``versions``: a write takes effect as a whole.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fadeline.functions.times import as_datetime
-from fadeline.session import staged
+from fadeline.operators import versions
 
 OBSERVATION_PARTITIONS = ["user_id", "date"]
 COMPACT_CODEC = "zstd"
 
 
-def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A table, or an empty frame before its first write."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+def days_between(start=None, end=None):
+    """Whether a folder's day lies in a time range, for ``versions.read``."""
+    first, last = (None if t is None else as_datetime(t).date().isoformat() for t in (start, end))
+
+    def only(values: dict[str, str]) -> bool:
+        day = values.get("date", "")
+        return not day[:1].isdigit() or (first is None or day >= first) and (last is None or day <= last)
+
+    return only
 
 
 def of_days(stored: DataFrame, rows: DataFrame) -> DataFrame:
@@ -67,56 +70,48 @@ def bulk_clustered(observations: DataFrame) -> DataFrame:
 
 
 def write_observations(observations: DataFrame, path: str, mode: str = "append", codec: str = "snappy", bulk: bool = False) -> None:
-    (
-        (bulk_clustered if bulk else clustered)(observations)
-        .write.mode(mode)
-        .option("partitionOverwriteMode", "static")
-        .option("compression", codec)
-        .partitionBy(*OBSERVATION_PARTITIONS)
-        .parquet(path)
-    )
-
-
-def _overwrite(rows: DataFrame, path: str, partitions: list[str], codec: str) -> None:
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", codec).partitionBy(
-        *partitions
-    ).parquet(path)
+    versions.write((bulk_clustered if bulk else clustered)(observations), path, OBSERVATION_PARTITIONS, mode, codec)
 
 
-def replace_partitions(df: DataFrame, path: str, partitions: list[str], codec: str = "snappy") -> None:
-    """Overwrite only the partitions that ``df`` has rows for.  If ``df`` reads
-    from ``path``, pass it through ``staged``."""
-    _overwrite(df.hint("rebalance", *partitions), path, partitions, codec)
+def replace_partitions(df: DataFrame, path: str, partitions: list[str], codec: str = "snappy", notes: dict[str, str] | None = None) -> None:
+    """Put ``df`` in the place of the partitions that it has rows for.  ``df`` may
+    read from ``path``."""
+    versions.write(df.hint("rebalance", *partitions), path, partitions, "replace", codec, notes)
 
 
-def replace_observations(df: DataFrame, path: str, codec: str = "snappy", bulk: bool = False) -> None:
+def replace_observations(df: DataFrame, path: str, codec: str = "snappy", bulk: bool = False, same_rows: bool = False) -> None:
     """``replace_partitions`` that keeps the order inside the files."""
-    _overwrite((bulk_clustered if bulk else clustered)(df), path, OBSERVATION_PARTITIONS, codec)
+    versions.write((bulk_clustered if bulk else clustered)(df), path, OBSERVATION_PARTITIONS, "replace", codec, same_rows=same_rows)
 
 
-def uncompacted(spark: SparkSession, path: str, before) -> DataFrame:
-    """(user_id, date) folders older than ``before`` that still hold a file which
-    is not in the compact codec.  The codec is part of Spark's file names, so
-    only names are listed."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
-    loose = ~F.col("_metadata.file_name").endswith(f".{COMPACT_CODEC}.parquet")
-    return files.where(F.col("date") < before).where(loose).select(*OBSERVATION_PARTITIONS).distinct()
+def uncompacted(spark: SparkSession, path: str, before: str) -> list[versions.Folder]:
+    """Folders of the days before ``before`` in whose partition a file is not in the
+    compact codec.  The codec is part of Spark's file names, so only names are listed."""
+    old = [f for f in versions.current(spark, path).folders if f.values()["date"] < before]
+    if not old:
+        return []
+    files = spark.read.format("binaryFile").option("basePath", f"{path}/parts").option("pathGlobFilter", "*.parquet")
+    columns = "path string, modificationTime timestamp, length bigint, content binary, user_id string, date string"
+    names = files.schema(columns).load([f"{path}/parts/{f.path}" for f in old])
+    loose = names.where(~F.col("_metadata.file_name").endswith(f".{COMPACT_CODEC}.parquet")).select(*OBSERVATION_PARTITIONS).distinct()
+    pending = {tuple("__HIVE_DEFAULT_PARTITION__" if v is None else v for v in r) for r in loose.collect()}  # tenants and days
+    return [f for f in old if tuple(f.values()[c] for c in OBSERVATION_PARTITIONS) in pending]
 
 
 def compact(spark: SparkSession, path: str, as_of, older_than_days: int = 7) -> None:
     """Rewrite days older than a week into few, better compressed files.  Days
     that are compact already are left alone."""
-    limit = F.date_sub(F.lit(as_datetime(as_of).date().isoformat()).cast("date"), older_than_days)
-    pending = staged(uncompacted(spark, path, limit))
-    if pending.isEmpty():
-        return
-    rows = of_days(spark.read.parquet(path), pending).join(pending, OBSERVATION_PARTITIONS, "left_semi")
-    replace_observations(staged(rows), path, codec=COMPACT_CODEC, bulk=True)
+    limit = as_datetime(as_of).date() - timedelta(days=older_than_days)
+    pending = uncompacted(spark, path, limit.isoformat())
+    if pending:
+        rows = versions.read_folders(spark, path, pending)
+        replace_observations(rows, path, codec=COMPACT_CODEC, bulk=True, same_rows=True)
 
 
 def read_range(spark: SparkSession, path: str, start=None, end=None, column: str = "time", schema=None) -> DataFrame:
-    """``within`` of a table; with its schema also of one that is not written yet."""
-    return within(spark.read.parquet(path) if schema is None else read_or_empty(spark, path, schema), start, end, column)
+    """``within`` of a table; with its schema also of one that is not written yet.
+    Only the folders of the range are listed."""
+    return within(versions.read(spark, path, schema, days_between(start, end)), start, end, column)
 
 
 def within(rows: DataFrame, start=None, end=None, column: str = "time") -> DataFrame:

@@ -15,11 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fadeline.functions.numbers import half_up, percent
-from fadeline.functions.times import as_datetime, moment
+from fadeline.functions.times import as_datetime, moment, time_bucket
 from fadeline.schemas import LIFETIME_COLUMNS, STATS_KEY, WINDOW_COLUMNS
 
 LINK_KEYS = ["user_id", "cml_id"]
 SUBLINK_KEYS = ["user_id", "cml_id", "sublink_id"]
+#: Windows are made of stretches of this length.
+PANE = "1 minute"
 
 
 def _moments(x: Column, suffix: str = "") -> list[Column]:
@@ -71,6 +73,26 @@ def daily_partials(observations: DataFrame) -> DataFrame:
     return partials(observations.withColumn("date", F.to_date("time")), ["date"])
 
 
+def folded(parts: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Partials of the same sublink, and of the same ``by``, made one.
+
+    Squared deviations are those inside the parts and those of the parts' means
+    about the common one.
+    """
+    n, s = F.col("n_valid"), F.col("sum_rsl")
+    between = F.sum(F.when(n > 0, s * s / n)) - F.sum(s) * F.sum(s) / F.when(F.sum(n) > 0, F.sum(n))
+    return parts.groupBy(*SUBLINK_KEYS, *(by or [])).agg(
+        F.sum("n").alias("n"),
+        F.sum(n).alias("n_valid"),
+        F.sum(s).alias("sum_rsl"),
+        F.greatest(F.sum(F.coalesce("m2", F.lit(0.0))) + F.coalesce(between, F.lit(0.0)), F.lit(0.0)).alias("m2"),
+        F.min("min_rsl").alias("min_rsl"),
+        F.max("max_rsl").alias("max_rsl"),
+        F.max("last_time").alias("last_time"),
+        F.max_by("last_rsl", "last_time").alias("last_rsl"),
+    )
+
+
 def merge_partials(parts: DataFrame) -> DataFrame:
     """Lifetime statistics per link from partials of any cut."""
     n, valid = F.sum("n"), F.sum("n_valid")
@@ -132,10 +154,39 @@ def windowed_stats(observations: DataFrame, links: DataFrame, as_of, last: DataF
         F.max("time").alias("last_time"),
         F.max_by("rsl", "time").alias("last_rsl"),
     )
-    windowed = per_sublink.groupBy(*LINK_KEYS).agg(
+    return _windowed(per_sublink, links, last)
+
+
+def panes(observations: DataFrame) -> DataFrame:
+    """Partials of every minute: what the windows are made of."""
+    return partials(observations.withColumn("minute", time_bucket("time", PANE)), ["minute"])
+
+
+def windowed_from_panes(parts: DataFrame, links: DataFrame, as_of, last: DataFrame | None = None) -> DataFrame:
+    """``windowed_stats`` from ``panes`` of the last six hours, 360 to a sublink at most.
+
+    ``as_of`` is a whole minute: the lower bound of a window is then the begin of a
+    pane.  Without ``last``, ``parts`` holds the panes of all history.
+    """
+    now = as_datetime(as_of)
+    if now.second or now.microsecond:
+        raise ValueError(f"panes begin at whole minutes, not at {now}")
+    six = moment(parts, "minute", now - timedelta(hours=6))
+    one = moment(parts, "minute", now - timedelta(hours=1))
+    source = parts.where(F.col("minute") >= six) if last is not None else parts
+    columns = [
+        F.when(F.col("minute") >= since, F.col(c)).alias(f"{c}{suffix}")
+        for suffix, since in (("_6h", six), ("_1h", one))
+        for c in ("n", "n_valid", "sum_rsl", "m2")
+    ]
+    return _windowed(source.select(*SUBLINK_KEYS, *columns, "last_time", "last_rsl"), links, last)
+
+
+def _windowed(parts: DataFrame, links: DataFrame, last: DataFrame | None) -> DataFrame:
+    windowed = parts.groupBy(*LINK_KEYS).agg(
         percent(F.sum("n_valid_6h"), F.sum("n_6h")).alias("completeness_percent_6h"),
-        F.sum("n_6h").alias("total_records_6h"),
-        F.sum("n_valid_6h").alias("valid_records_6h"),
+        F.coalesce(F.sum("n_6h"), F.lit(0)).alias("total_records_6h"),
+        F.coalesce(F.sum("n_valid_6h"), F.lit(0)).alias("valid_records_6h"),
         half_up(_merged_mean("_6h")).alias("mean_rsl_6h"),
         half_up(_merged_stddev("_6h")).alias("stddev_rsl_6h"),
         percent(F.sum("n_valid_1h"), F.sum("n_1h")).alias("completeness_percent_1h"),

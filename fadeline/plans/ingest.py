@@ -146,8 +146,11 @@ def _write_raw(job: Job, rows: DataFrame, verdicts: DataFrame, as_of, merge_leve
         return
     usable = rows.where(F.col("line_no").isNotNull() & validate.row_reason().isNull())
     kept = usable.join(good, "file_path", "left_semi").withColumns({"seq": _arrival(), "user_id": F.lit(job.user_id)})
-    pairs = job.store.fill_nulls(kept) if merge_levels else job.store.append_first_wins(kept)
-    job.store.refresh_daily_stats(pairs)
+    if merge_levels:
+        job.store.fill_nulls(kept)
+    else:
+        job.store.append_first_wins(kept)
+    job.store.refresh_daily_stats()
     job.store.refresh_lifetime_stats(as_of, kept.select("user_id", "cml_id"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fadeline.functions.numbers import finite, half_up
 from fadeline.functions.times import to_utc
-from fadeline.operators import increments, layout
+from fadeline.operators import increments, layout, versions
 from fadeline.operators.upsert import first_wins
 from fadeline.plans import ingest
 from fadeline.plans.catalog import half_up_sql as R
@@ -21,7 +21,7 @@ from fadeline.plans.queries_stats import LAST, LIFETIME, rollup_sql, rounded
 from fadeline.plans.store import Store
 from fadeline.plans.views import OBSERVATIONS_AS_OF, arrivals, file_log, links, observations, table
 from fadeline.schemas import COORDINATES
-from fadeline.session import new_path, staged
+from fadeline.session import new_path
 from fadeline.sources import cube, delimited, json_records
 from fadeline.sources.formats import load_format
 from fadeline.sources.names import file_kind, longest_prefix, stem, unique_name, upload_refusal
@@ -316,9 +316,8 @@ def dedup_rewrite(spark, sf_dir):
     path = new_path(spark, "table")
     arrivals_dated = layout.with_date(arrivals(spark, sf_dir))
     layout.write_observations(arrivals_dated, path)
-    stored = spark.read.parquet(path)
-    layout.replace_observations(staged(first_wins(stored).drop("seq")), path)
-    return _as_stored(spark.read.parquet(path))
+    layout.replace_observations(first_wins(versions.read(spark, path)).drop("seq"), path)
+    return _as_stored(versions.read(spark, path))
 
 
 @query(with_views("observations") + _STORED + "observations")
@@ -327,7 +326,7 @@ def compacted_table(spark, sf_dir):
     path = new_path(spark, "table")
     layout.write_observations(observations(spark, sf_dir).drop("seq"), path)
     layout.compact(spark, path, OBSERVATIONS_AS_OF)
-    return _as_stored(spark.read.parquet(path)).withColumns({c: F.col(c).cast("float").cast("double") for c in ("rsl", "tsl")})
+    return _as_stored(versions.read(spark, path)).withColumns({c: F.col(c).cast("float").cast("double") for c in ("rsl", "tsl")})
 
 
 @query(
@@ -431,7 +430,7 @@ def stream_dedup(spark, sf_dir):
     """Replayed rows are dropped in the stream."""
     root = new_path(spark, "stream")
     stream_rollups.start_first_wins(_event_stream(spark, sf_dir), f"{root}/table", f"{root}/checkpoint", order="copy").awaitTermination()
-    kept = spark.read.parquet(f"{root}/table")
+    kept = versions.read(spark, f"{root}/table")
     return kept.select(F.col("time").cast("timestamp_ntz").alias("time"), "cml_id", "sublink_id", "user_id")
 
 

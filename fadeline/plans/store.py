@@ -1,4 +1,9 @@
-"""The tables on disk and the writes that keep their keys."""
+"""The tables on disk and the writes that keep their keys.
+
+Every table is a ``versions`` table: a write takes effect as a whole.  What is derived
+from observations notes the version of ``observations`` that it has taken in, in the
+same moment as its rows; the next refresh reads only folders that came later.
+"""
 
 from __future__ import annotations
 
@@ -8,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fadeline.functions.times import as_datetime, in_range
-from fadeline.operators import layout, rollup, stats, upsert
+from fadeline.functions.times import as_datetime, in_range, time_bucket
+from fadeline.operators import layout, rollup, stats, upsert, versions
 from fadeline.operators.rollup import ROLLUP_KEYS
 from fadeline.session import staged
 from fadeline.schemas import (
@@ -28,6 +33,7 @@ _PARTIALS = (
     "cml_id string, sublink_id string, n bigint, n_valid bigint, sum_rsl double, m2 double, min_rsl float, "
     "max_rsl float, last_time timestamp, last_rsl float, user_id string, date date"
 )
+_PANES = _PARTIALS.replace("n bigint, ", "minute timestamp, n bigint, ", 1)
 _ROLLUP = (
     "bucket timestamp, user_id string, cml_id string, sublink_id string, rsl_min float, rsl_max float, rsl_avg double, "
     "tsl_min float, tsl_max float, tsl_avg double, date date"
@@ -39,10 +45,6 @@ def _stats_schema(columns: list[str]) -> str:
     return ", ".join(["cml_id string", *kinds, "last_rsl double", "last_update timestamp", "user_id string"])
 
 
-#: The rollup is complete up to here.
-_HORIZON = "horizon timestamp"
-
-
 _LIFETIME = _stats_schema(LIFETIME_COLUMNS)
 _WINDOWED = _stats_schema(WINDOW_COLUMNS)
 
@@ -57,11 +59,11 @@ class Store:
     ========================  ==========================================
     ``observations``          by user_id, date; sorted by link and time
     ``links``                 by user_id
-    ``daily_stats``           mergeable partials, by user_id, date
+    ``daily_stats``           mergeable partials of days, by user_id, date
+    ``panes``                 mergeable partials of minutes, by user_id, date
     ``lifetime_stats``        by user_id
     ``windowed_stats``        by user_id
-    ``rollup_1h``             by date
-    ``rollup_horizon``        one row: the time up to which the rollup is complete
+    ``rollup_1h``             by date; notes the time up to which it is complete
     ``file_log``              by date of the file's modification
     ``archive``               lines of good files, by user_id, date, file
     ``quarantine``            by user_id, date, file
@@ -74,12 +76,13 @@ class Store:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def _read(self, name: str, schema) -> DataFrame:
-        return layout.read_or_empty(self.spark, self.path(name), schema)
+    def _read(self, name: str, schema, only=None) -> DataFrame:
+        return versions.read(self.spark, self.path(name), schema, only)
 
     def observations(self, start=None, end=None) -> DataFrame:
         """All observations, or those of a time range, both ends inclusive."""
-        return layout.within(self._read("observations", T.StructType([*OBSERVATION.fields, _DATE])), start, end)
+        only = layout.days_between(start, end)
+        return layout.within(self._read("observations", T.StructType([*OBSERVATION.fields, _DATE]), only), start, end)
 
     def links(self) -> DataFrame:
         return self._read("links", LINK)
@@ -114,17 +117,15 @@ class Store:
         typed = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in OBSERVATION.fields], "seq")
         return layout.with_date(typed)
 
-    def append_first_wins(self, rows: DataFrame) -> DataFrame:
+    def append_first_wins(self, rows: DataFrame) -> None:
         """Append the rows whose key is not stored yet.  Loading a batch twice
-        changes nothing.  ``rows`` carries its arrival order in ``seq``.
-        Returns the (user_id, date) pairs written to."""
+        changes nothing.  ``rows`` carries its arrival order in ``seq``."""
         typed = self._typed(rows)
         stored = layout.of_days(self.observations(), typed)
         fresh = upsert.new_rows(stored, typed, OBSERVATION_KEY, "seq").drop("seq")
         layout.write_observations(fresh, self.path("observations"))
-        return staged(typed.select("user_id", "date").distinct())
 
-    def fill_nulls(self, rows: DataFrame) -> DataFrame:
+    def fill_nulls(self, rows: DataFrame) -> None:
         """Merge rows so that they fill null levels of stored ones, and rewrite
         the days they touch."""
         typed = self._typed(rows)
@@ -135,20 +136,21 @@ class Store:
         old = stored.withColumn("seq", F.struct(F.lit(0).alias("batch"), F.lit(None).cast(place).alias("place")).cast(rank))
         new = typed.withColumn("seq", F.struct(F.lit(1).alias("batch"), F.col("seq").alias("place")).cast(rank))
         merged = upsert.fill_nulls(old.unionByName(new)).drop("seq")
-        layout.replace_observations(staged(merged), self.path("observations"))
-        return pairs
+        layout.replace_observations(merged, self.path("observations"))
 
     def load_unique(self, rows: DataFrame, mode: str = "append") -> None:
-        """Bulk load; a repeated key is an error, found before the table is touched.
-        The source is parsed once: check and load read the staged copy."""
+        """Bulk load; a repeated key is an error.  The rows are written once, their
+        keys are checked in the files written, and only then do these count."""
+        path = self.path("observations")
         typed = layout.with_date(rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in OBSERVATION.fields]))
-        typed = staged(typed)
-        checked = typed.select(*OBSERVATION_KEY, "date")
+        part = versions.prepare(layout.bulk_clustered(staged(typed)), path, layout.OBSERVATION_PARTITIONS)
+        written = self.spark.read.schema(self.observations().schema).parquet(f"{path}/parts/{part}")
+        checked = written.select(*OBSERVATION_KEY, "date")
         if mode == "append":
-            checked = checked.unionByName(layout.of_days(self.observations(), typed).select(*OBSERVATION_KEY, "date"))
+            checked = checked.unionByName(layout.of_days(self.observations(), written).select(*OBSERVATION_KEY, "date"))
         if upsert.has_repeated_keys(checked):
             raise ValueError("duplicate key in bulk load")
-        layout.write_observations(typed, self.path("observations"), mode, bulk=True)
+        versions.publish(self.spark, path, part, len(layout.OBSERVATION_PARTITIONS), mode)
 
     def _typed_links(self, rows: DataFrame) -> DataFrame:
         order = [c for c in rows.columns if c == "seq"]
@@ -156,7 +158,7 @@ class Store:
 
     def _rewrite_links(self, merged: DataFrame, users: DataFrame) -> None:
         kept = merged.join(users, "user_id", "left_semi").select(*[f.name for f in LINK.fields])
-        layout.replace_partitions(staged(kept), self.path("links"), ["user_id"])
+        layout.replace_partitions(kept, self.path("links"), ["user_id"])
 
     def upsert_links(self, rows: DataFrame) -> None:
         """Last row of a link wins, all values replaced."""
@@ -173,21 +175,55 @@ class Store:
     def replace_links(self, rows: DataFrame) -> None:
         """Only the given links, for all tenants."""
         typed = self._typed_links(rows)
-        typed.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("user_id").parquet(self.path("links"))
+        versions.write(typed, self.path("links"), ["user_id"], "overwrite")
 
     def refresh_all_stats(self, as_of) -> None:
         """Partials of every day and the lifetime columns of every link."""
-        parts = stats.partials(self.observations(), ["date"]).select(_names(_PARTIALS))
-        parts.hint("rebalance", "user_id", "date").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
-            "user_id", "date"
-        ).parquet(self.path("daily_stats"))
+        self._fold("daily_stats", _PARTIALS, ["date"], anew=True)
         self.refresh_lifetime_stats(as_of)
 
-    def refresh_daily_stats(self, pairs: DataFrame) -> None:
-        """Recompute the partials of the days given, read from their folders only."""
-        rows = layout.of_days(self.observations(), pairs).join(pairs, ["user_id", "date"], "left_semi")
-        parts = stats.partials(rows, ["date"])
-        layout.replace_partitions(parts.select(_names(_PARTIALS)), self.path("daily_stats"), ["user_id", "date"])
+    def refresh_daily_stats(self) -> None:
+        """Fold what came to the observations since the last refresh into the partials
+        of its days.  Rows that were counted before are not read again."""
+        self._fold("daily_stats", _PARTIALS, ["date"])
+
+    def refresh_panes(self) -> None:
+        """The same for the partials of minutes."""
+        self._fold("panes", _PANES, ["minute", "date"])
+
+    def _fold(self, name: str, schema: str, by: list[str], anew: bool = False) -> None:
+        """Take the newer folders of ``observations`` into a table of partials.
+
+        Folders that were added are folded into the stored partials of their days;
+        those that took the place of others (null levels filled, rows corrected) give
+        their days' partials anew.  The version that is taken in is noted with the rows,
+        so a refresh that died is simply run again, and nothing is counted twice.
+        """
+        path, source = self.path(name), self.path("observations")
+        observed, stored = versions.current(self.spark, source), versions.current(self.spark, path)
+        through = int(stored.notes.get("observations", 0))
+        anew = anew or through < observed.whole_since
+        newer = [f for f in observed.folders if anew or f.version > through]
+        notes = {"observations": str(observed.number)}
+        if not newer and not anew:
+            return
+        schema_of_rows = T.StructType([*OBSERVATION.fields, _DATE])
+        of = lambda folders: self._partials_of(versions.read_folders(self.spark, source, folders, schema_of_rows), by)
+        columns = _names(schema)
+        if anew:
+            versions.write(of(newer).select(columns).hint("rebalance", "user_id", "date"), path, ["user_id", "date"], "overwrite", notes=notes)
+            return
+        rewritten = {f.partition for f in newer if f.rewritten}
+        touched = {f.partition for f in newer}
+        added = of([f for f in newer if f.partition not in rewritten])
+        again = of([f for f in observed.folders if f.partition in rewritten])
+        known = versions.read_folders(self.spark, path, [f for f in stored.folders if f.partition in touched - rewritten], schema)
+        merged = stats.folded(known.select(columns).unionByName(added.select(columns)), by).select(columns)
+        layout.replace_partitions(merged.unionByName(again.select(columns)), path, ["user_id", "date"], notes=notes)
+
+    @staticmethod
+    def _partials_of(rows: DataFrame, by: list[str]) -> DataFrame:
+        return stats.partials(rows.withColumn("minute", time_bucket("time", stats.PANE)) if "minute" in by else rows, by)
 
     def refresh_lifetime_stats(self, as_of, ids: DataFrame | None = None) -> None:
         """Lifetime columns from the partials, for all links or those of ``ids``."""
@@ -200,14 +236,20 @@ class Store:
         users = fresh.select("user_id").distinct()
         others = stored.join(users, "user_id", "left_semi").join(fresh.select(*STATS_KEY), STATS_KEY, "left_anti")
         merged = others.select(_names(_LIFETIME)).unionByName(fresh)
-        layout.replace_partitions(staged(merged), self.path("lifetime_stats"), ["user_id"])
+        layout.replace_partitions(merged, self.path("lifetime_stats"), ["user_id"])
 
     def refresh_windowed_stats(self, as_of) -> None:
-        """Windowed columns of every known link.  The newest rows come from the
-        folders of the last six hours, older last values from the partials."""
-        recent = self.observations(as_datetime(as_of) - timedelta(hours=6))
-        last = stats.last_of_partials(self.daily_stats())
-        windowed = stats.windowed_stats(recent, self.links(), as_of, last)
+        """Windowed columns of every known link.  For a whole minute they come from the
+        panes of the last six hours, else from the raw rows of the folders that hold
+        them; older last values come from the partials of days."""
+        now = as_datetime(as_of)
+        since, last = now - timedelta(hours=6), stats.last_of_partials(self.daily_stats())
+        if now.second or now.microsecond:
+            windowed = stats.windowed_stats(self.observations(since), self.links(), as_of, last)
+        else:
+            self.refresh_panes()
+            recent = layout.within(self._read("panes", _PANES, layout.days_between(since)), since, column="minute")
+            windowed = stats.windowed_from_panes(recent, self.links(), as_of, last)
         self._write_stats(windowed, "windowed_stats", _WINDOWED, as_of)
 
     def _stamped_stats(self, rows: DataFrame, schema: str, as_of) -> DataFrame:
@@ -217,44 +259,34 @@ class Store:
 
     def _write_stats(self, rows: DataFrame, name: str, schema: str, as_of) -> None:
         """The whole table: tenants without rows leave it."""
-        stamped = staged(self._stamped_stats(rows, schema, as_of))
-        stamped.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("user_id").parquet(self.path(name))
+        versions.write(self._stamped_stats(rows, schema, as_of), self.path(name), ["user_id"], "overwrite")
 
     def refresh_rollup(self, as_of) -> None:
-        """Recompute the buckets of the refresh window and leave all others."""
+        """Recompute the buckets of the refresh window and leave all others.  The
+        horizon moves in the same moment, if the window goes on from it."""
         start, end = rollup.refresh_window(as_of)
-        self._write_buckets(rollup.refreshed_buckets(self.observations(start, end), as_of), start, end)
         known = self.rollup_horizon()
-        if known is not None and start <= known < end:
-            self._publish(end)
+        notes = {"horizon": str(end)} if known is not None and start <= known < end else None
+        fresh = layout.with_date(rollup.refreshed_buckets(self.observations(start, end), as_of), "bucket")
+        published = self._read("rollup_1h", _ROLLUP, layout.days_between(start, end))
+        days = F.col("date").between(F.lit(start.date().isoformat()).cast("date"), F.lit(end.date().isoformat()).cast("date"))
+        kept = published.where(days & ~in_range(published, "bucket", start, end, end_inclusive=False))
+        layout.replace_partitions(kept.unionByName(fresh.select(kept.columns)), self.path("rollup_1h"), ["date"], notes=notes)
 
     def rollup_horizon(self) -> datetime | None:
         """The time up to which every hour is in the rollup, None before a full one."""
-        row = self._read("rollup_horizon", _HORIZON).select(F.date_format("horizon", "yyyy-MM-dd HH:mm:ss").alias("t")).first()
-        return as_datetime(row["t"]) if row else None
-
-    def _publish(self, horizon: datetime) -> None:
-        row = self.spark.range(1).select(F.lit(str(horizon)).cast("timestamp").alias("horizon"))
-        row.write.mode("overwrite").parquet(self.path("rollup_horizon"))
+        noted = versions.current(self.spark, self.path("rollup_1h")).notes.get("horizon")
+        return as_datetime(noted) if noted else None
 
     def refresh_full_rollup(self) -> None:
         """Every bucket from scratch.  The hour of the newest observation is left
         for a later refresh to call complete."""
-        rolled = layout.with_date(rollup.hourly_rollup(self.observations()), "bucket")
-        rolled.hint("rebalance", "date").sortWithinPartitions("user_id", "cml_id", "bucket").write.mode("overwrite").option(
-            "partitionOverwriteMode", "static"
-        ).partitionBy("date").parquet(self.path("rollup_1h"))
-        newest = self.rollup().select(F.date_format(F.max("bucket"), "yyyy-MM-dd HH:mm:ss").alias("t")).first()["t"]
-        if newest:
-            self._publish(as_datetime(newest))
-
-    def _write_buckets(self, fresh: DataFrame, start, end) -> None:
-        published = self.rollup()
-        dated = layout.with_date(fresh, "bucket")
-        days = F.col("date").between(F.lit(start.date().isoformat()).cast("date"), F.lit(end.date().isoformat()).cast("date"))
-        kept = published.where(days & ~in_range(published, "bucket", start, end, end_inclusive=False))
-        both = kept.unionByName(dated.select(kept.columns))
-        layout.replace_partitions(staged(both), self.path("rollup_1h"), ["date"])
+        path = self.path("rollup_1h")
+        rolled = layout.with_date(rollup.hourly_rollup(self.observations()), "bucket").select(_names(_ROLLUP))
+        part = versions.prepare(rolled.hint("rebalance", "date").sortWithinPartitions("user_id", "cml_id", "bucket"), path, ["date"])
+        written = self.spark.read.schema(_ROLLUP).parquet(f"{path}/parts/{part}")
+        newest = written.select(F.date_format(F.max("bucket"), "yyyy-MM-dd HH:mm:ss").alias("t")).first()["t"]
+        versions.publish(self.spark, path, part, 1, "overwrite", {"horizon": newest or ""})
 
     def append_log(self, rows: DataFrame) -> None:
         """One row per file and modification time, however often a batch is run."""
@@ -263,7 +295,7 @@ class Store:
         known = layout.of_days(self.file_log(), dated).select("file_path", "file_modified")
         fresh = dated.join(known, ["file_path", "file_modified"], "left_anti")
         names = ["id", *[f.name for f in FILE_LOG.fields], "date"]
-        fresh.select(*names).write.mode("append").partitionBy("date").parquet(self.path("file_log"))
+        versions.write(fresh.select(*names), self.path("file_log"), ["date"])
 
     def series(self, start, end) -> DataFrame:
         """Hourly values of a long range from the rollup, with the hours that it
@@ -273,9 +305,15 @@ class Store:
             return self.observations(start, end)
         horizon = max(as_datetime(start), self.rollup_horizon() or as_datetime(start))
         last = as_datetime(end).replace(minute=0, second=0, microsecond=0) + timedelta(hours=1, microseconds=-1)
-        published = layout.within(self.rollup(), start, end, "bucket").drop("date")
+        rolled = self._read("rollup_1h", _ROLLUP, layout.days_between(start, end))
+        published = layout.within(rolled, start, end, "bucket").drop("date")
         return rollup.rollup_with_tail(published, self.observations(horizon, last), horizon, start, end)
 
+    def expire(self, keep: int = versions.KEPT_VERSIONS, hours: float = 24) -> None:
+        """Remove what only older versions of the tables need."""
+        for name in ("observations", "links", "daily_stats", "panes", "lifetime_stats", "windowed_stats", "rollup_1h", "file_log"):
+            versions.expire(self.spark, self.path(name), keep, hours)
+
     def key_problems(self) -> dict[str, DataFrame]:
         """Repeated keys per table; all frames are empty when the keys hold."""
         return {

@@ -4,7 +4,7 @@ import pytest
 from conftest import SF_DIR
 from pyspark.sql import functions as F
 
-from fadeline.operators import layout, stats
+from fadeline.operators import layout, stats, versions
 from fadeline.plans.registry import QUERIES
 from fadeline.plans.views import OBSERVATIONS_AS_OF, links, observations
 from fadeline.session import new_path
@@ -70,7 +70,7 @@ def test_raw_rows_are_hash_aggregated(spark):
 def test_rows_inside_files_are_sorted(spark):
     path = new_path(spark, "table")
     layout.write_observations(observations(spark, SF_DIR).drop("seq"), path)
-    sample = spark.read.parquet(path).inputFiles()[0]
+    sample = versions.read(spark, path).inputFiles()[0]
     pdf = spark.read.parquet(sample).toPandas()
     ordered = pdf.sort_values(["cml_id", "time"], ascending=[True, False], kind="stable").reset_index(drop=True)
     assert pdf[["cml_id", "time"]].equals(ordered[["cml_id", "time"]])

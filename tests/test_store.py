@@ -8,7 +8,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from fadeline.operators import layout, rollup, stats, upsert
+from fadeline.operators import layout, rollup, stats, upsert, versions
 from fadeline.plans import ingest
 from fadeline.plans.store import Store
 from fadeline.plans.views import arrivals, links, observations
@@ -314,25 +314,28 @@ def test_stream_rollup_replays_batches_once(spark, sf_dir):
     assert rows(got, *columns) == rows(want, *columns)
 
 
-def test_stream_rollup_batch_run_again(spark, sf_dir, monkeypatch):
-    """A batch that fails after some days were written adds nothing twice."""
+@pytest.mark.parametrize("when", ["before", "after"])
+def test_stream_rollup_batch_run_again(spark, sf_dir, monkeypatch, when):
+    """A batch that fails before its rows count, or after, adds nothing twice."""
     root = new_path(spark, "stream")
     obs = stamped(observations(spark, sf_dir)).drop("seq")
     obs.write.parquet(f"{root}/in")
-    real = layout.replace_partitions
+    real = versions.publish
 
-    def half(df, path, partitions, codec="snappy"):
-        real(df.where("day(date) % 2 = 0"), path, partitions, codec)
+    def lost(*args, **kwargs):
+        if when == "after":
+            real(*args, **kwargs)
         raise RuntimeError("lost")
 
     def start():
         stream = spark.readStream.schema(obs.schema).parquet(f"{root}/in")
         stream_rollups.start_rollup(stream, f"{root}/rollup", f"{root}/checkpoint").awaitTermination()
 
-    monkeypatch.setattr(layout, "replace_partitions", half)
+    monkeypatch.setattr(versions, "publish", lost)
     with pytest.raises(Exception, match="lost"):
         start()
-    monkeypatch.setattr(layout, "replace_partitions", real)
+    assert stream_rollups.read_rollup(spark, f"{root}/rollup").isEmpty() == (when == "before")
+    monkeypatch.setattr(versions, "publish", real)
     start()
     got = stream_rollups.read_rollup(spark, f"{root}/rollup").withColumn("rsl_avg", F.round("rsl_avg", 6))
     want = rollup.hourly_rollup(obs).withColumn("rsl_avg", F.round("rsl_avg", 6))
@@ -340,6 +343,24 @@ def test_stream_rollup_batch_run_again(spark, sf_dir, monkeypatch):
     assert rows(got, *columns) == rows(want, *columns)
 
 
+def test_stream_batch_opens_the_days_it_touches(spark, monkeypatch):
+    root = new_path(spark, "stream")
+    make = lambda *days: spark.createDataFrame([(f"2026-01-{d:02d} 10:00:00", "a", "s", "t", -1.0, 2.0) for d in days], "time string, cml_id string, sublink_id string, user_id string, rsl double, tsl double").withColumn("time", F.col("time").cast("timestamp"))
+    opened, real = [], versions.read_folders
+    monkeypatch.setattr(versions, "read_folders", lambda spark, path, folders, schema=None: opened.append([f.partition for f in folders]) or real(spark, path, folders, schema))
+    make(*range(1, 21)).write.parquet(f"{root}/in/part=1")
+    schema = spark.read.parquet(f"{root}/in/part=1").schema
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(f"{root}/in/*")
+        stream_rollups.start_rollup(stream, f"{root}/rollup", f"{root}/checkpoint").awaitTermination()
+
+    run()
+    make(3).write.parquet(f"{root}/in/part=2")
+    run()
+    assert opened == [[], ["date=2026-01-03"]]
+
+
 def test_series_from_rollup_or_raw(spark, store, sf_dir):
     """The published hours end at as_of - 1 h; the rest is computed on the way."""
     store.load_unique(stamped(observations(spark, sf_dir)), mode="overwrite")
@@ -377,14 +398,14 @@ def test_compaction_keeps_rows(spark, sf_dir):
     obs = observations(spark, sf_dir).drop("seq")
     for part in range(3):
         layout.write_observations(obs.where(F.col("tsl") % 3 == part), path)
-    before = rows(spark.read.parquet(path))
-    files = len(spark.read.parquet(path).inputFiles())
+    before = rows(versions.read(spark, path))
+    files = len(versions.read(spark, path).inputFiles())
     layout.compact(spark, path, "2024-01-31")
-    assert rows(spark.read.parquet(path)) == before
-    assert len(spark.read.parquet(path).inputFiles()) < files
+    assert rows(versions.read(spark, path)) == before
+    assert len(versions.read(spark, path).inputFiles()) < files
 
     def listing():
-        return set(spark.read.parquet(path).inputFiles())
+        return set(versions.read(spark, path).inputFiles())
 
     first = listing()
     layout.compact(spark, path, "2024-01-31")
@@ -500,7 +521,7 @@ def test_stream_keeps_rows_however_late(spark):
     make(("2020-01-01 00:00:00", "a", "s", "t", -3.0, 1), ("2026-01-31 10:00:00", "a", "s", "t", -4.0, 0)).write.parquet(f"{root}/in/part=2")
     run()
     run()
-    assert rows(spark.read.parquet(f"{root}/table"), "rsl") == [(-2.0,), (-3.0,)]
+    assert rows(versions.read(spark, f"{root}/table"), "rsl") == [(-2.0,), (-3.0,)]
 
 
 def test_statistics_after_replace_all_are_of_present_tenants(spark, store, sf_dir):
