@@ -6,6 +6,8 @@ work folder, so their size grows with the tables.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from fadeline.plans import ingest
 from fadeline.plans.catalog import half_up_sql as R
 from fadeline.plans.catalog import query, with_views
 from fadeline.plans.queries_rows import FIRST
-from fadeline.plans.queries_stats import LAST, LIFETIME, rollup_sql, rounded
+from fadeline.plans.queries_stats import AS_OF, LAST, LIFETIME, WINDOW_COLUMNS, WINDOWED, rollup_sql, rounded
 from fadeline.plans.store import Store
 from fadeline.plans.views import OBSERVATIONS_AS_OF, arrivals, file_log, links, observations, table
 from fadeline.schemas import COORDINATES
@@ -434,6 +436,45 @@ def stream_dedup(spark, sf_dir):
     return kept.select(F.col("time").cast("timestamp_ntz").alias("time"), "cml_id", "sublink_id", "user_id")
 
 
+PANE_TIMES = ("2024-01-30 23:17:00", "2024-01-20 06:00:00", "2024-01-03 00:01:00")
+
+
+@query(
+    with_views("observations", "links")
+    + f", {LAST} "
+    + " UNION ALL ".join(
+        f"(WITH {WINDOWED.replace(AS_OF, f"TIMESTAMP '{t}'")} SELECT TIMESTAMP '{t}' AS as_of, user_id, cml_id, {WINDOW_COLUMNS}, last_rsl FROM windowed LEFT JOIN last USING (user_id, cml_id))"
+        for t in PANE_TIMES
+    )
+)
+def stream_windowed_stats(spark, sf_dir):
+    """Windowed statistics at several times from the minutes that a stream has kept."""
+    root = new_path(spark, "stream")
+    rows = _event_stream(spark, sf_dir).where("copy = 0").drop("copy")
+    stream_rollups.start_panes(rows, f"{root}/panes", f"{root}/checkpoint").awaitTermination()
+    known = links(spark, sf_dir)
+    found = [stream_rollups.windowed_stats(spark, f"{root}/panes", known, t).withColumn("as_of", F.lit(t).cast("timestamp_ntz")) for t in PANE_TIMES]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query(
+    with_views("observations", extra={"loaded": _FLOAT_OBS.replace("'archive'", "user_id")})
+    + f", {LAST.replace('observations', 'loaded')}, {LIFETIME.replace('observations', 'loaded').replace('avg(rsl)', 'avg(CAST(rsl AS DOUBLE))').replace('stddev_samp(rsl)', 'stddev_samp(CAST(rsl AS DOUBLE))')} "
+    "SELECT lifetime.* REPLACE (CAST(min_rsl AS DOUBLE) AS min_rsl, CAST(max_rsl AS DOUBLE) AS max_rsl), CAST(last_rsl AS DOUBLE) AS last_rsl FROM lifetime JOIN last USING (user_id, cml_id)"
+)
+def store_daily_stats(spark, sf_dir):
+    """Lifetime statistics after three batches, each folded into the stored partials;
+    the second one comes twice."""
+    store = Store(spark, new_path(spark, "store"))
+    rows = _stamped(observations(spark, sf_dir))
+    for third in (0, 1, 1, 2):
+        store.append_first_wins(rows.where(F.pmod("tsl", F.lit(3)) == third))
+        store.refresh_daily_stats()
+    store.refresh_lifetime_stats(OBSERVATIONS_AS_OF)
+    kept = store.link_stats().withColumns({c: F.col(c).cast("double") for c in ("min_rsl", "max_rsl", "last_rsl")})
+    return kept.select("user_id", "cml_id", "total_records", "valid_records", "null_records", "completeness_percent", "min_rsl", "max_rsl", "mean_rsl", "stddev_rsl", "last_rsl")
+
+
 def _write_incoming(spark, sf_dir) -> str:
     path = new_path(spark, "incoming")
     _with_time_text(observations(spark, sf_dir)).repartition(8, "sublink_id").write.option("header", True).csv(path)
