@@ -168,13 +168,10 @@ def delimited_metadata(spark, sf_dir):
     return found.select("cml_id", "sublink_id", *COORDINATES, "frequency", "polarization", "length")
 
 
-PAGE = 100
-
-
-def _pages(spark, sf_dir) -> DataFrame:
+def _pages(spark, sf_dir, size: int = 100) -> DataFrame:
     """Events as result pages of a hundred records at most; pages of even number
     carry the received level, the others the sent one."""
-    page = F.floor(F.col("seq") / PAGE)
+    page = F.floor(F.col("seq") / size)
     value = F.when(page % 2 == 0, F.col("rsl")).otherwise(F.col("tsl"))
     record = F.struct(
         F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"),
@@ -196,12 +193,18 @@ def _pages(spark, sf_dir) -> DataFrame:
 @query(
     with_views("observations")
     + """SELECT CASE WHEN p % 2 = 0 THEN 'source_rsl_' ELSE 'source_tsl_' END || p || '.json' AS filename, time, cml_id, sublink_id,
-    CASE WHEN p % 2 = 1 THEN tsl END AS tsl, CASE WHEN p % 2 = 0 THEN rsl END AS rsl FROM (SELECT *, seq // 100 AS p FROM observations)"""
+    CASE WHEN p % 2 = 1 THEN tsl END AS tsl, CASE WHEN p % 2 = 0 THEN rsl END AS rsl FROM (SELECT *, seq // 2000 AS p FROM observations)"""
 )
 def json_rows(spark, sf_dir):
-    """Paged JSON records through the field map."""
-    records = increments.page_records(json_records.route(_pages(spark, sf_dir), FIELD_MAP))
-    rows = json_records.map_records(records).where("absent IS NULL")
+    """JSON files of records, read through the field map."""
+    path = new_path(spark, "json")
+    records = increments.page_records(_pages(spark, sf_dir, 2000)).groupBy("filename").agg(F.to_json(F.collect_list("record"), {"ignoreNullFields": "false"}).alias("value"))
+    records.select("value", F.regexp_replace("filename", r"\.json$", "").alias("name")).write.partitionBy("name").option("lineSep", "\n").text(path)
+    files = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(path)
+    listed = json_records.with_file(files).withColumn("filename", F.concat(F.regexp_extract("file_path", "name=([^/]*)/", 1), F.lit(".json")))
+    found = json_records.raw_rows(listed, FIELD_MAP)
+    wrong = json_records.absent_fields(found).select("file_path")
+    rows = found.where("header_error IS NULL AND line_no IS NOT NULL").join(wrong, "file_path", "left_anti")
     return rows.select("filename", F.col("time").cast("timestamp_ntz").alias("time"), "cml_id", "sublink_id", "tsl", "rsl")
 
 

@@ -35,9 +35,10 @@ def route(files: DataFrame, field_map: FieldMap, name: str = "filename") -> Data
 
 def map_records(records: DataFrame) -> DataFrame:
     """Routed rows with a ``record`` map to canonical columns.  The column
-    ``absent`` names a mapped field that the record lacks."""
+    ``absent`` has, in the order of the field map, the name of each mapped field that
+    the record lacks, and null for those it has."""
     got = {c: F.element_at("record", F.element_at("fields", c)) for c in RAW_COLUMNS}
-    absent = F.get(F.array_except(F.map_values("fields"), F.map_keys("record")), F.lit(0))
+    absent = F.transform(F.map_values("fields"), lambda f: F.when(~F.map_contains_key("record", f), f))
     keep = [c for c in records.columns if c not in ("record", "fields")]
     return records.select(
         *keep,
@@ -90,10 +91,11 @@ def raw_rows(files: DataFrame, field_map: FieldMap) -> DataFrame:
 
 
 def absent_fields(rows: DataFrame) -> DataFrame:
-    """Files in which a mapped field occurs in no record at all."""
-    per_file = rows.where("line_no IS NOT NULL").groupBy("file_path").agg(
-        F.min("absent").alias("field"), F.bool_and(F.col("absent").isNotNull()).alias("everywhere")
-    )
-    return per_file.where("everywhere").select(
+    """Files in which a mapped field occurs in no record at all; the first one by the
+    order of the field map.  A field that only some records lack is null in these."""
+    lacking = [F.get("absent", F.lit(i)) for i in range(len(RAW_COLUMNS))]
+    everywhere = [F.when(F.bool_and(f.isNotNull()), F.min(f)) for f in lacking]
+    per_file = rows.where("line_no IS NOT NULL").groupBy("file_path").agg(F.coalesce(*everywhere).alias("field"))
+    return per_file.where("field IS NOT NULL").select(
         "file_path", F.concat(F.lit("Field '"), "field", F.lit("' not found")).alias("header_error")
     )

@@ -207,6 +207,8 @@ def test_json_errors(spark, tmp_path):
         valley_rsl_broken__json="{not json",
         valley_rsl_absent__json=json.dumps([{"at": "2025-11-05T18:40:00Z", "pair": "ridge", "way": "b"}]),
         valley_rsl_partly__json=json.dumps([record(), {"at": "2025-11-05T19:00:00Z", "pair": "ridge", "way": "b"}]),
+        valley_rsl_each__json=json.dumps([{"at": "2025-11-05T18:40:00Z", "pair": "ridge", "level": 1}, {"at": "2025-11-05T19:00:00Z", "pair": "ridge", "way": "b"}]),
+        valley_rsl_two__json=json.dumps([{"pair": "ridge", "way": "b"}, {"pair": "ridge", "way": "b", "other": 1}]),
         unknown__json=json.dumps([record()]),
     )
     found = json_rows(spark, tmp_path)
@@ -215,7 +217,9 @@ def test_json_errors(spark, tmp_path):
     assert errors["valley_rsl_broken.json"] == "Invalid JSON"
     assert errors["unknown.json"].startswith("No field-map entry matches filename stem 'unknown'. Available prefixes: valley, ")
     absent = json_records.absent_fields(found)
-    assert [(p.rsplit("/", 1)[1], e) for p, e in rows(absent)] == [("valley_rsl_absent.json", "Field 'level' not found")]
+    assert [(p.rsplit("/", 1)[1], e) for p, e in rows(absent)] == [
+        ("valley_rsl_absent.json", "Field 'level' not found"), ("valley_rsl_two.json", "Field 'at' not found")
+    ]
 
 
 def test_longest_prefix(spark):
