@@ -2,11 +2,19 @@
 
 Equal texts are folded first, so all that follows is about distinct texts.  Texts
 whose samples agree in a band meet in that band's bucket.  Every pair of a bucket
-is compared, but no pair is ever a row: a bucket is dealt into blocks of about
-``BLOCK`` texts, and each two blocks (a block with itself, too) are a group in
-which a task holds the texts and tells which are similar.  It reports a forest of
-links, not all of them.  Buckets that hold the same texts in several bands are one.
-The classes are the connected components of the links.
+is compared unless it cannot change the classes, but no pair is ever a row: a bucket
+is dealt into blocks of ``BLOCK`` texts and ``BLOCK_BYTES`` bytes or so, and two blocks
+(or one with itself) are a group in which a task holds the texts and tells which are
+similar.  It reports a forest of links, not all of them.  Buckets that hold the same
+texts in several bands are one.  The classes are the connected components of the links.
+
+A bucket of several blocks is first held against one of its texts, the leader, which
+goes to each block while all others are sent once.  Texts similar to the leader are
+linked by that, so no two of them need be compared.  One minus the similarity is a
+metric: a text at a distance d from the leader can only be similar to texts between
+d - 0.2 and d + 0.2.  So what is left to compare are the texts that are not similar to
+the leader, with one another and with those at its edge; in a bucket of copies of one
+text there are none.
 """
 
 from __future__ import annotations
@@ -16,13 +24,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fadeline.llm import weighted_sampling as sampling
 from fadeline.llm.text import map_texts, slices, text_of, unused
 from fadeline.session import staged
 
-SIMILARITY, BLOCK = 0.8, 200
+SIMILARITY = 0.8
+#: Texts and bytes of a block, about.
+BLOCK, BLOCK_BYTES = 200, 4 << 20
 
 
 def bucket_idf(texts: DataFrame) -> np.ndarray:
@@ -46,11 +56,11 @@ def bucket_idf(texts: DataFrame) -> np.ndarray:
 
 def keyed(documents: DataFrame) -> DataFrame:
     """doc_id, text and the text's key; a null text counts as empty."""
-    return documents.select("doc_id", text_of("text").alias("text")).withColumn("key", F.md5("text"))
+    return documents.select("doc_id", text_of("text").alias("text")).withColumns({"key": F.md5("text"), "bytes": F.octet_length("text").cast("long")})
 
 
 def sampled(documents: DataFrame, idf: np.ndarray) -> DataFrame:
-    """doc_id, key and the hash of each band."""
+    """doc_id, key, bytes and the hash of each band."""
     sent = documents.sparkSession.sparkContext.broadcast(idf)
 
     def make():
@@ -60,15 +70,20 @@ def sampled(documents: DataFrame, idf: np.ndarray) -> DataFrame:
 
 
 def crowded(texts: DataFrame) -> DataFrame:
-    """bucket, key and n of the buckets with two texts or more; of buckets that hold
-    the same texts one."""
-    entries = texts.select("key", F.explode("bands").alias("bucket"))
+    """bucket, key, leader and number of blocks of the buckets with two texts or more;
+    of buckets that hold the same texts one."""
+    entries = texts.select("key", "bytes", F.explode("bands").alias("bucket"))
     mark = F.xxhash64("key")
     buckets = entries.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(mark.cast("decimal(20,0)")).alias("total"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("mixed"), F.min("key").alias("first")
-    )
-    chosen = buckets.filter("n > 1").groupBy("n", "total", "mixed", "first").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
-    return entries.join(chosen, "bucket")
+        F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.sum(mark.cast("decimal(20,0)")).alias("total"),
+        F.bit_xor(F.xxhash64("key", F.lit(1))).alias("mixed"), F.min("key").alias("leader"),
+    )
+    chosen = buckets.filter("n > 1").groupBy("n", "bytes", "total", "mixed", "leader").agg(F.min("bucket").alias("bucket"))
+    return entries.select("bucket", "key").join(chosen.select("bucket", "leader", blocks_of("n", "bytes").alias("blocks")), "bucket")
+
+
+def blocks_of(n: str, n_bytes: str) -> Column:
+    return F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(n_bytes) / BLOCK_BYTES), F.lit(1)).cast("int")
 
 
 def text_of_keys(documents: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -126,13 +141,54 @@ def linked(profiles: list[tuple[np.ndarray, np.ndarray]], side: np.ndarray) -> l
     return out
 
 
+def own_block(blocks: str) -> Column:
+    return F.pmod(F.xxhash64("key", "bucket"), F.col(blocks)).cast("int")
+
+
+def distances(members: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """bucket, key, leader, bytes and the distance from the leader of the texts of all
+    buckets with several blocks.  Each text is sent once, the leader to every block."""
+    sent = members.sparkSession.sparkContext.broadcast(idf)
+    block = F.when(F.col("key") == F.col("leader"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own_block("blocks")))
+    dealt = members.filter("blocks > 1").select("bucket", "key", "leader", F.explode(block).alias("block"))
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        first = group["key"] == group["leader"]
+        leader = sampling.profile(group.loc[first, "text"].iloc[0], sent.value)
+        group = group[~first]
+        away = [1 - sampling.similarity(leader, sampling.profile(t, sent.value)) for t in group["text"]]
+        sizes = [len(t.encode("utf-8", "surrogatepass")) for t in group["text"]]
+        return pd.DataFrame({"bucket": group["bucket"], "key": group["key"], "leader": group["leader"], "bytes": np.array(sizes, np.int64), "away": np.array(away, float)})
+
+    return dealt.join(texts, "key").groupBy("bucket", "block").applyInPandas(compare, "bucket long, key string, leader string, bytes long, away double")
+
+
+def block_pairs(members: DataFrame, away: DataFrame) -> DataFrame:
+    """bucket, key, i, j and side: the two blocks of each group that a text goes to.
+
+    Buckets of one block are a group.  In the others the texts that are not similar to
+    the leader are in the blocks 0, 1, ..., and each of these meets itself, those after
+    it, and the blocks -1, -2, ... of the texts similar to the leader that may be
+    similar to one of them.  A text has ``side`` 1 in a group if its block is the second.
+    """
+    alone = members.filter("blocks = 1").select("bucket", "key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"))
+    far = F.col("away") > 1 - SIMILARITY
+    nearest = away.filter(far).groupBy("bucket").agg(F.min("away").alias("nearest"), F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("n_bytes"))
+    edge = away.filter(~far).join(nearest.select("bucket", "nearest"), "bucket").filter(F.col("away") >= F.col("nearest") - (1 - SIMILARITY) - 1e-9)
+    at_edge = edge.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("n_bytes"))
+    inner = nearest.select("bucket", blocks_of("n", "n_bytes").alias("blocks"))
+    outer = at_edge.select("bucket", blocks_of("n", "n_bytes").alias("edge_blocks"))
+    others = F.sequence(-F.coalesce("edge_blocks", F.lit(0)), F.col("blocks") - 1)  # with every block, its own included
+    apart = away.filter(far).join(inner.join(outer, "bucket", "left"), "bucket").select("bucket", "key", own_block("blocks").alias("block"), F.explode(others).alias("other"))
+    close = edge.select("bucket", "key").join(inner.join(outer, "bucket"), "bucket").select("bucket", "key", (-1 - own_block("edge_blocks")).alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = apart.unionByName(close).select("bucket", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    return alone.unionByName(met)
+
+
 def links(members: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """a, b: keys of similar texts."""
+    """a, b: keys of similar texts, enough of them to join all that are."""
     sent = members.sparkSession.sparkContext.broadcast(idf)
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("key", "bucket"), blocks).cast("int")
-    dealt = members.select("bucket", "key", own.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    dealt = dealt.select("bucket", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    away = staged(distances(members, texts, idf))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("key", ignore_index=True)
@@ -140,7 +196,9 @@ def links(members: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
         keys = group["key"].to_numpy()
         return pd.DataFrame({"a": [keys[x] for x, _ in pairs], "b": [keys[y] for _, y in pairs]}, dtype=object)
 
-    return dealt.join(texts, "key").groupBy("bucket", "i", "j").applyInPandas(compare, "a string, b string")
+    to_leader = away.filter(F.col("away") <= 1 - SIMILARITY).select(F.col("leader").alias("a"), F.col("key").alias("b"))
+    between = block_pairs(members, away).join(texts, "key").groupBy("bucket", "i", "j").applyInPandas(compare, "a string, b string")
+    return to_leader.unionByName(between)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -172,10 +230,10 @@ def classes(documents: DataFrame) -> DataFrame:
     docs = documents.select("doc_id", text_of("text").alias("text"))
     idf = bucket_idf(docs)
     rows = staged(sampled(docs, idf))
-    texts = rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
-    members = staged(crowded(texts.select("key", "bands")))
+    texts = rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bytes").alias("bytes"), F.first("bands").alias("bands"))
+    members = staged(crowded(texts.select("key", "bytes", "bands")))
     wanted = members.select("key").distinct().join(texts.select("key", "rep"), "key")
-    found = components(links(members, text_of_keys(docs, wanted), idf))
+    found = components(links(members, staged(text_of_keys(docs, wanted)), idf))
     own = texts.select("key", "rep", "copies").join(found, "key", "left").withColumn("label", F.coalesce("label", "key"))
     first = F.min(F.struct(F.col("rep").isNull(), F.col("rep"), F.col("key"))).alias("first")
     of_class = own.groupBy("label").agg(first, F.sum("copies").alias("class_rows"))
@@ -185,6 +243,9 @@ def classes(documents: DataFrame) -> DataFrame:
 
 
 def report(documents: DataFrame) -> DataFrame:
+    """Class of every row, see ``classes``: null and empty texts are one class, rows
+    without an id are in classes like others, equal rows are rows of their own; other
+    columns are left out."""
     return classes(documents).select("doc_id", "class_id", "class_rows", "kept")
 
 

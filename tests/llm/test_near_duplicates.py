@@ -1,9 +1,11 @@
 """Samples, links and classes against plain comparison of all pairs."""
 
+import hashlib
 import itertools
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from fadeline.llm import near_duplicates as near, weighted_sampling as sampling
@@ -85,6 +87,62 @@ def test_links_are_a_forest_of_all_similar_pairs():
         assert [all_of.top(i) for i in range(36)] == [of_got.top(i) for i in range(36)]
 
 
+def test_samples_of_very_long_texts():
+    """Texts with more shingles than the tables have draws agree as often as they are similar."""
+    chance, sums = random.Random(12), np.zeros(2)
+    for part in (0.05, 0.02, 0.01):
+        base = [f"w{chance.randrange(10**7)}" for _ in range(100_000)]
+        other = [w if chance.random() > part else f"v{chance.randrange(10**7)}" for w in base]
+        a, b = (sampling.profile(" ".join(t), IDF) for t in (base, other))
+        (s, t), (u, v) = sampling.samples(*a), sampling.samples(*b)
+        sums += [np.mean((s == u) & (t == v)), sampling.similarity(a, b)]
+    assert abs(sums[0] - sums[1]) / 3 < 0.1  # 144 samples in all
+
+
+def test_a_bucket_of_copies_sends_each_text_once(spark):
+    """5,000 texts of one bucket that are similar to its leader: no two blocks meet."""
+    chance = random.Random(10)
+    texts = [f"{t} {i}" for i, t in enumerate(variants(chance, 60, 300, 2) * 84)][:5000]
+    df = spark.createDataFrame([(hash_of(t), t) for t in texts], "key string, text string")
+    idf = sampling.idf(100, np.full(1 << 16, 50))
+    members = df.select(F.lit(1).cast("long").alias("bucket"), "key", F.lit(min(hash_of(t) for t in texts)).alias("leader"), F.lit(25).alias("blocks"))
+    away = near.staged(near.distances(members, df, idf))
+    assert away.count() == 4999 and away.filter("away > 0.2").count() == 0
+    assert near.block_pairs(members, away).count() == 0
+    links = near.links(members, df, idf).collect()
+    assert len(links) == 4999 and {r.a for r in links} == {min(hash_of(t) for t in texts)}
+
+
+def hash_of(text):
+    return hashlib.md5(text.encode()).hexdigest()
+
+
+@pytest.mark.parametrize("most, by_bytes", [(3, False), (9, False), (20, False), (40, False), (20, True)])
+def test_leaders_lose_no_class(spark, monkeypatch, most, by_bytes):
+    """Buckets in which few, some or most texts are similar to the leader, against all pairs."""
+    monkeypatch.setattr(near, "BLOCK", 10**6 if by_bytes else 9)
+    monkeypatch.setattr(near, "BLOCK_BYTES", 9_000 if by_bytes else 1 << 20)
+    chance = random.Random(most)
+    texts = list(dict.fromkeys(variants(chance, 90, 150, most) + variants(chance, 30, 150, 4)))
+    df = spark.createDataFrame([(hash_of(t), t) for t in texts], "key string, text string")
+    idf = sampling.idf(100, np.full(1 << 16, 50))
+    profiles = {hash_of(t): sampling.profile(t, idf) for t in texts}
+    keys = sorted(profiles)
+    members = df.select(F.lit(1).cast("long").alias("bucket"), "key", F.lit(keys[0]).alias("leader"), F.octet_length("text").alias("bytes"))
+    sizes = members.agg(F.count("key").alias("n"), F.sum("bytes").alias("bytes")).select(near.blocks_of("n", "bytes").alias("b")).first()["b"]
+    assert sizes > 5
+    found = near.links(members.select("bucket", "key", "leader", F.lit(sizes).alias("blocks")), df, idf).collect()
+    place = {k: i for i, k in enumerate(keys)}
+    want, got = near.Forest(len(keys)), near.Forest(len(keys))
+    for x, y in itertools.combinations(keys, 2):
+        if sampling.similarity(profiles[x], profiles[y]) >= 0.8:
+            want.join(place[x], place[y])
+    for r in found:
+        assert sampling.similarity(profiles[r.a], profiles[r.b]) >= 0.8 - 1e-9
+        got.join(place[r.a], place[r.b])
+    assert [want.top(i) for i in range(len(keys))] == [got.top(i) for i in range(len(keys))]
+
+
 def test_classes_over_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(near, "BLOCK", 10)
     chance = random.Random(9)
