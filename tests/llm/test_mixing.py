@@ -1,10 +1,15 @@
 """Targets and copies against SQL, and shards against their laws."""
 
+import hashlib
+import math
+import random
+import struct
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from compare import connect, difference
@@ -88,6 +93,71 @@ def test_op6_rows(spark):
     assert all(len(s) == 1 for s in groups.values())
 
 
+def plain_placed(vectors, shards):
+    """The packing rule in plain Python: shard of each (size, tokens, rows)."""
+    capacity = [max(sum(v[m] for v in vectors) / shards, 0) or 1 for m in range(3)]
+    share = [[v[m] / capacity[m] for m in range(3)] for v in vectors]
+    free, out = [[1.0] * 3 for _ in range(shards)], [0] * len(vectors)
+    for i in sorted(range(len(vectors)), key=lambda i: (-max(share[i]), -sum(share[i]), i)):
+        left = [[f[m] - share[i][m] for m in range(3)] for f in free]
+        fitting = [s for s in range(shards) if min(left[s]) >= -1e-9]
+        worth = {s: round(sum(f * x for f, x in zip(free[s], share[i])), 12) for s in fitting} if fitting else {s: round(left[s][0], 12) for s in range(shards)}
+        out[i] = max(sorted(worth), key=worth.get)
+        free[out[i]] = left[out[i]]
+    return out
+
+
+def plain_shards(docs, shards, yards, yard_groups):
+    """Shard of each (doc_id, text): groups in yards, bins of yards in bundles, bundles in shards."""
+    hashed = lambda key: xxhash.xxh64_intdigest(key.encode(), 42)
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    vector = lambda text: (len(text.encode()) + 1, len(text.split()), 1)
+    groups = {}
+    for _, text in docs:
+        key = hashlib.md5(text.encode()).hexdigest()
+        groups[key] = tuple(a + b for a, b in zip(groups.get(key, (0, 0, 0)), vector(text)))
+    total = [sum(g[m] for g in groups.values()) for m in range(3)]
+    share = {k: max(g[m] / (max(1, total[m]) / shards) for m in range(3)) for k, g in groups.items()}
+    light = {k: g for k, g in groups.items() if share[k] * sharding.HEAVY <= 1}
+    n_yards, bundle = max(yards, math.ceil(len(light) / yard_groups)), {}
+    for yard in range(n_yards):
+        own = sorted(k for k in light if signed(hashed(k)) % n_yards == yard)
+        for k, b in zip(own, plain_placed([light[k] for k in own], shards)):
+            bundle[k] = str(yard % yards * shards + (b + yard // yards) % shards)
+    items, item_of = {}, []
+    for doc_id, text in docs:
+        key = hashlib.md5(text.encode()).hexdigest()
+        parts = math.ceil(share[key] * sharding.PARTS) if share[key] > 1 else 1
+        item = bundle.get(key) or f"{key}/{signed(xxhash.xxh64_intdigest(struct.pack('<q', doc_id), 42)) % parts}"
+        items[item] = tuple(a + b for a, b in zip(items.get(item, (0, 0, 0)), vector(text)))
+        item_of.append(item)
+    names = sorted(items)
+    shard = dict(zip(names, plain_placed([items[n] for n in names], shards)))
+    return {doc_id: shard[item] for (doc_id, _), item in zip(docs, item_of)}
+
+
+@pytest.mark.parametrize("yards, yard_groups", [(512, 50_000), (4, 50_000), (4, 60)])
+def test_shards_against_a_plain_packing(spark, monkeypatch, yards, yard_groups):
+    monkeypatch.setattr(sharding, "YARDS", yards)
+    monkeypatch.setattr(sharding, "YARD_GROUPS", yard_groups)
+    chance = random.Random(3)
+    docs = [(i, "the same text") for i in range(300)] + [(300 + i, " ".join(f"w{chance.randrange(10**6)}" for _ in range(int(chance.paretovariate(0.9)) % 900))) for i in range(700)]
+    got = sharding.report(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: r.shard for r in got} == plain_shards(docs, 16, yards, yard_groups)
+
+
+def test_many_groups_are_even_in_all_measures(spark):
+    """Short texts of many words and long ones of few: rows, tokens and bytes pull apart."""
+    rows = spark.range(200_000).select(
+        F.col("id").alias("doc_id"),
+        F.when(F.col("id") % 3 == 0, F.repeat(F.lit("a "), (F.col("id") % 40).cast("int"))).when(F.col("id") % 3 == 1, F.repeat(F.lit("longword"), (F.col("id") % 50).cast("int"))).otherwise("").alias("t"),
+    ).select("doc_id", F.concat("t", F.col("doc_id").cast("string")).alias("text"))
+    sums = sharding.report(rows).groupBy("shard").agg(F.sum("size"), F.sum("tokens"), F.count("doc_id")).collect()
+    for measure in range(1, 4):
+        own = [r[measure] for r in sums]
+        assert len(own) == 16 and max(own) <= 1.05 * min(own)
+
+
 def test_a_group_of_a_third_of_all_rows(spark):
     rows = [(i, "the same text") for i in range(1000)] + [(1000 + i, f"text number {i} " * (i % 9)) for i in range(2000)]
     got = sharding.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
