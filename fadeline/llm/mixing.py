@@ -77,6 +77,11 @@ def with_copies(documents: DataFrame, size: str, seed: str = "mix", ties: list[C
 
 
 def report(documents: DataFrame) -> DataFrame:
+    """Size, target and copies of every document.
+
+    Null and empty texts have size 0 and are taken like others of their source; a null
+    source is a source; equal rows are rows of their own; other columns are left out.
+    """
     sized = documents.select("doc_id", "source", word_count(F.col("text").cast("string")).alias("size"))
     return with_copies(sized, "size").select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 #: Characters that part words: space, tab, line feed, vertical tab, form feed, return.
 SPACES = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of the longest word that is remembered.
+LONGEST_KNOWN = 64
 
 #: Rows whose texts are looked at together inside a task, at most; and their bytes.
 SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
@@ -42,13 +44,16 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 class Bounded(dict):
-    """A dictionary that makes missing values and starts anew when it is full."""
+    """A dictionary that makes missing values and starts anew when it is full.  Values of
+    words longer than ``longest`` are made and not kept, so that bytes are bounded too."""
 
-    def __init__(self, make: Callable, most: int):
+    def __init__(self, make: Callable, most: int, longest: int | None = None):
         super().__init__()
-        self._make, self._most = make, most
+        self._make, self._most, self._longest = make, most, longest
 
     def __missing__(self, key):
+        if self._longest is not None and len(key) > self._longest:
+            return self._make(key)
         if len(self) >= self._most:
             self.clear()
         value = self[key] = self._make(key)

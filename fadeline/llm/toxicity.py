@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fadeline.llm.text import Bounded, map_texts, slices, unused, words
+from fadeline.llm.text import LONGEST_KNOWN, Bounded, map_texts, slices, unused, words
 from fadeline.session import staged
 
 MAX_EXAMPLES = 20_000
@@ -77,7 +77,7 @@ def chosen_features(examples: DataFrame) -> list[str]:
     """Terms that go with label 1 or with label 0, the strongest first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Bounded(terms, 50_000).__getitem__
+        known = Bounded(terms, 50_000, LONGEST_KNOWN).__getitem__
         n, p = Counter(), Counter()
 
         def counted() -> pa.RecordBatch:
@@ -113,7 +113,7 @@ class Vectors:
 
     def __init__(self, features: list[str]):
         self._number = {f: i for i, f in enumerate(features)}
-        self._known = Bounded(self._of, 150_000)
+        self._known = Bounded(self._of, 150_000, LONGEST_KNOWN)
 
     def _of(self, word: bytes) -> tuple[int, ...]:
         return tuple(self._number[t] for t in terms(word) if t in self._number)
@@ -309,6 +309,8 @@ def score(documents: DataFrame, model: Model, column: str = "text") -> DataFrame
 
 
 def report(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """Score of every text.  Null and empty texts get the score of a text without any
+    known term; rows of equal texts get equal scores; other columns are left out."""
     docs = documents.select("doc_id", "text")
     scored = score(docs, fit(docs, labels))
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted", "neighbours")

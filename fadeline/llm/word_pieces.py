@@ -19,7 +19,7 @@ from collections.abc import Iterable
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from fadeline.llm.text import Bounded, map_texts, words
+from fadeline.llm.text import LONGEST_KNOWN, Bounded, map_texts, words
 
 #: Distinct words whose count a task remembers.
 REMEMBERED = 500_000
@@ -113,7 +113,7 @@ def token_counts(df: DataFrame, opening: list[str], going_on: list[str], column:
     def make():
         if _made.get("key") != sent.value:
             automaton = Automaton(*sent.value)
-            _made.update(key=sent.value, counts=Bounded(lambda w: automaton.count(w.decode("utf-8", "surrogatepass")), REMEMBERED))
+            _made.update(key=sent.value, counts=Bounded(lambda w: automaton.count(w.decode("utf-8", "surrogatepass")), REMEMBERED, LONGEST_KNOWN))
         known = _made["counts"].__getitem__
 
         def rows(texts):

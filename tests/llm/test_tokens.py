@@ -140,3 +140,15 @@ def test_counts_of_odd_rows(spark):
     rows = sorted((r.doc_id, r.n_words, r.n_tokens, r.n_unknown) for r in word_pieces.token_counts(df, *VOCABULARY).collect())
     assert rows == [(1, 0, 0, 0), (2, 0, 0, 0), (2, 0, 0, 0), (3, 0, 0, 0), (4, 30_000, 30_000, 0)]
     assert word_pieces.token_counts(df.limit(0), *VOCABULARY).count() == 0
+
+
+def test_long_words_are_not_remembered():
+    """Many different words of 10 kB take no memory once they are counted."""
+    from fadeline.llm.text import LONGEST_KNOWN, Bounded
+
+    known = Bounded(len, 1000, LONGEST_KNOWN)
+    for i in range(2000):
+        word = b"x" * 10_000 + str(i).encode()
+        assert known[word] == len(word)
+    assert len(known) == 0
+    assert [known[b"w" * n] for n in (1, 64, 65)] == [1, 64, 65] and sorted(map(len, known)) == [1, 64]
