@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fadeline.functions.numbers import finite, half_up
@@ -217,57 +217,65 @@ def page_completeness(spark, sf_dir):
     return increments.page_completeness(_pages(spark, sf_dir), ["filename"])
 
 
+def _stretch(first, length) -> Column:
+    """Values of an embedding from ``first`` on, null beyond its end."""
+    return F.transform(F.sequence(F.lit(0), length - 1), lambda i: F.get(F.col("embedding"), (first + i).cast("int")))
+
+
 def _blocks(spark, sf_dir) -> DataFrame:
-    """Each embedding as a block of one link, four sublinks and the steps of
-    10 s that its length gives; the last sublink is padding."""
-    e, steps = F.col("embedding"), F.col("steps")
-    cut = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda s: F.slice(e, (s * steps + 1).cast("int"), steps))
-    padded = F.transform(cut, lambda a, s: F.when(s < 3, a).otherwise(F.transform(a, lambda _: F.lit(float("nan")).cast("float"))))
+    """Each embedding as a block of one link and the steps of 10 s that its length gives:
+    four sublinks with a quarter of the values each, and one of padding."""
+    steps, nothing = F.col("steps"), F.lit(float("nan")).cast("float")
+    quarters = F.array(*[_stretch(k * steps, steps) for k in range(4)], F.transform(F.sequence(F.lit(1), steps), lambda _: nothing))
     start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     return (
         table(spark, sf_dir, "embeddings")
-        .withColumn("steps", F.floor(F.size("embedding") / 4).cast("int"))
+        .withColumn("steps", F.ceil(F.size("embedding") / 4).cast("int"))
         .select(
             F.array(F.col("vec_id")).alias("cml_ids"),
-            F.array(*[F.lit(s) for s in ("a", "b", "c", "pad")]).alias("sublink_ids"),
+            F.array(*[F.lit(s) for s in ("a", "b", "c", "d", "pad")]).alias("sublink_ids"),
             F.transform(F.sequence(F.lit(0), steps - 1), lambda i: start + F.make_dt_interval(secs=i * 10)).alias("times"),
-            F.array(padded).alias("rsl"),
-            F.array(F.transform(padded, lambda a: F.transform(a, lambda x: -x))).alias("tsl"),
+            F.array(quarters).alias("rsl"),
+            F.array(F.transform(quarters, lambda a: F.transform(a, lambda x: -x))).alias("tsl"),
         )
     )
 
 
-_CELLS = """SELECT CAST(vec_id AS VARCHAR) AS cml_id, ['a', 'b', 'c', 'pad'][s + 1] AS sublink_id,
-    TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 10 SECOND * i AS time, s, embedding[s * steps + i + 1] AS x FROM
-    (SELECT vec_id, embedding, len(embedding) // 4 AS steps, unnest(range(0, 4)) AS s FROM embeddings) b, LATERAL (SELECT unnest(range(0, steps)) AS i)"""
+_CELLS = """SELECT CAST(vec_id AS VARCHAR) AS cml_id, ['a', 'b', 'c', 'd', 'pad'][s + 1] AS sublink_id,
+    TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 10 SECOND * i AS time, s, CASE WHEN s < 4 THEN embedding[s * steps + i + 1] END AS x FROM
+    (SELECT vec_id, embedding, (len(embedding) + 3) // 4 AS steps, unnest(range(0, 5)) AS s FROM embeddings) b, LATERAL (SELECT unnest(range(0, steps)) AS i)"""
 
 
-@query(f"SELECT time, cml_id, sublink_id, CASE WHEN s < 3 THEN -x END AS tsl, CASE WHEN s < 3 THEN x END AS rsl FROM ({_CELLS})")
+@query(f"SELECT time, cml_id, sublink_id, -x AS tsl, x AS rsl FROM ({_CELLS})")
 def cube_to_rows(spark, sf_dir):
     return cube.to_rows(_blocks(spark, sf_dir), cube.LINK_FIRST)
 
 
-@query(f"SELECT time, cml_id, sublink_id, -x AS tsl, x AS rsl FROM ({_CELLS}) WHERE s < 3")
+@query(f"SELECT time, cml_id, sublink_id, -x AS tsl, x AS rsl FROM ({_CELLS}) WHERE s < 4")
 def cube_valid_sublinks(spark, sf_dir):
     return cube.valid_rows(_blocks(spark, sf_dir), cube.LINK_FIRST)
 
 
-_METADATA_SQL = """SELECT CAST(vec_id AS VARCHAR) AS cml_id, ['a', 'b', 'c'][j + 1] AS sublink_id, CAST(embedding[1] AS DOUBLE) AS site_0_lon,
-    CAST(embedding[2] AS DOUBLE) AS site_0_lat, CAST(embedding[3] AS DOUBLE) AS site_1_lon, CAST(embedding[4] AS DOUBLE) AS site_1_lat,
-    CAST(embedding[5 + j] AS DOUBLE) AS frequency, CAST(NULL AS VARCHAR) AS polarization FROM (SELECT *, unnest(range(0, 3)) AS j FROM embeddings)"""
+_METADATA_SQL = """SELECT vec_id || '-' || i AS cml_id, ['a', 'b', 'c', 'd'][j + 1] AS sublink_id,
+    CAST(embedding[i + 1] AS DOUBLE) AS site_0_lon, CAST(embedding[w + i + 1] AS DOUBLE) AS site_0_lat,
+    CAST(embedding[2 * w + i + 1] AS DOUBLE) AS site_1_lon, CAST(embedding[3 * w + i + 1] AS DOUBLE) AS site_1_lat,
+    CAST(embedding[(4 + j) * w + i + 1] AS DOUBLE) AS frequency, CAST(NULL AS VARCHAR) AS polarization
+    FROM (SELECT vec_id, embedding, (len(embedding) + 7) // 8 AS w, unnest(range(0, 4)) AS j FROM embeddings) b, LATERAL (SELECT unnest(range(0, w)) AS i)"""
 _METADATA_LENGTH = """2 * 6371000e0 * asin(sqrt(pow(sin(radians(site_1_lat - site_0_lat) / 2), 2) +
     cos(radians(site_0_lat)) * cos(radians(site_1_lat)) * pow(sin(radians(site_1_lon - site_0_lon) / 2), 2)))"""
 
 
 @query(f"SELECT *, {R(_METADATA_LENGTH, 2)} AS length FROM ({_METADATA_SQL})")
 def cube_metadata(spark, sf_dir):
-    """Site and frequency arrays to rows; the length comes from the sites."""
-    e = F.col("embedding")
-    block = table(spark, sf_dir, "embeddings").select(
-        F.array("vec_id").alias("cml_ids"),
-        F.array(*[F.lit(s) for s in ("a", "b", "c")]).alias("sublink_ids"),
-        *[F.array(e[i]).alias(c) for i, c in enumerate(COORDINATES)],
-        F.transform(F.slice(e, 5, 3), lambda x: F.array(x)).alias("frequency"),
+    """Site and frequency arrays to rows; the length comes from the sites.  An eighth of
+    an embedding's values are one coordinate of as many links, the other half the
+    frequencies of their four sublinks."""
+    w = F.col("w")
+    block = table(spark, sf_dir, "embeddings").withColumn("w", F.ceil(F.size("embedding") / 8).cast("int")).select(
+        F.transform(F.sequence(F.lit(0), w - 1), lambda i: F.concat_ws("-", F.col("vec_id").cast("string"), i.cast("string"))).alias("cml_ids"),
+        F.array(*[F.lit(s) for s in ("a", "b", "c", "d")]).alias("sublink_ids"),
+        *[_stretch(k * w, w).alias(c) for k, c in enumerate(COORDINATES)],
+        F.array(*[_stretch((4 + j) * w, w) for j in range(4)]).alias("frequency"),
     )
     rows = cube.metadata_rows(block, frequency_dims=("sublink_id", "cml_id"))
     return rows.withColumn("length", half_up(F.col("length"), 2))

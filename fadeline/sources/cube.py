@@ -46,8 +46,7 @@ def to_rows(blocks: DataFrame, dims: tuple[str, str, str], rsl: str = "rsl", tsl
 
 
 def valid_rows(blocks: DataFrame, dims: tuple[str, str, str], **names) -> DataFrame:
-    """Unrolled rows without the sublinks that are padding: those with no value
-    at any time, or at no time up to ``until``."""
+    """Unrolled rows without the sublinks that are padding: those with no value at any time."""
     rows = to_rows(blocks, dims, **names)
     return keep_active_sublinks(rows, rows).select(rows.columns)
 
