@@ -69,9 +69,10 @@ def period_file(time: Column | str, width: str) -> Column:
 
 
 def write_periods(series: DataFrame, path: str, width: str) -> None:
-    """One folder of CSV files per period; empty periods do not occur."""
+    """One folder of CSV files per period; empty periods do not occur.  A period that is
+    written again takes the place of what was there, so a rerun changes nothing."""
     micros = "yyyy-MM-dd HH:mm:ss.SSSSSS"
     named = series.withColumn("period_file", period_file("time", width))
-    named.hint("rebalance", "period_file").write.partitionBy("period_file").mode("append").options(
-        header=True, timestampFormat=micros, timestampNTZFormat=micros
+    named.hint("rebalance", "period_file").write.partitionBy("period_file").mode("overwrite").options(
+        partitionOverwriteMode="dynamic", header=True, timestampFormat=micros, timestampNTZFormat=micros
     ).csv(path)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fadeline.functions.identity import id_text, stored_sublink
-from fadeline.operators import increments, upsert, validate
+from fadeline.operators import increments, series, upsert, validate
 from fadeline.operators.tenancy import TenantScope
 from fadeline.plans import ingest
 from fadeline.plans.catalog import query, with_views
@@ -217,3 +217,16 @@ def stored_ids(spark, sf_dir):
     rows = observations(spark, sf_dir)
     link, sub = F.when(F.col("tsl") % 13 != 0, F.col("cml_id")), F.when(F.col("tsl") % 19 == 0, "nan").otherwise(F.col("sublink_id"))
     return rows.select("seq", id_text(link).alias("cml_id"), stored_sublink(sub).alias("sublink_id"))
+
+
+@query(
+    with_views("observations")
+    + "SELECT 'cml_data_' || strftime(time_bucket(INTERVAL 6 HOUR, time, TIMESTAMP '1970-01-01'), '%Y%m%d_%H%M%S') || '.csv' AS period_file, time, cml_id, sublink_id, tsl, rsl FROM observations"
+)
+def period_files(spark, sf_dir):
+    """A file for every six hours, the second half of them written twice, and read back."""
+    path, rows = new_path(spark, "periods"), observations(spark, sf_dir).select(*RAW_COLUMNS)
+    series.write_periods(rows, path, "6 hours")
+    series.write_periods(rows.where("time >= timestamp_ntz'2024-01-16 00:00:00'"), path, "6 hours")
+    kinds = "time timestamp_ntz, cml_id string, sublink_id string, tsl double, rsl double, period_file string"
+    return spark.read.option("header", True).option("timestampNTZFormat", MICROS).schema(kinds).csv(path).select("period_file", *RAW_COLUMNS)

@@ -391,6 +391,9 @@ def test_split_into_period_files(spark, sf_dir, tmp_path):
     assert folders[0] == "period_file=cml_data_20240101_000000.csv" and len(folders) == 30
     back = spark.read.option("header", True).schema("time timestamp_ntz, cml_id string, sublink_id string, tsl double, rsl double").csv(str(tmp_path / "out"))
     assert rows(back, "time", "cml_id", "rsl") == rows(obs, "time", "cml_id", "rsl")
+    write_periods(obs.where("time >= timestamp_ntz'2024-01-20 00:00:00'"), str(tmp_path / "out"), "1 day")  # a rerun
+    again = spark.read.option("header", True).schema(back.schema).csv(str(tmp_path / "out"))
+    assert rows(again, "time", "cml_id", "rsl") == rows(obs, "time", "cml_id", "rsl")
 
 
 def test_compaction_keeps_rows(spark, sf_dir):
