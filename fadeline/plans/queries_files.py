@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fadeline.functions.identity import id_text, stored_sublink
-from fadeline.operators import increments, series, upsert, validate
+from fadeline.operators import increments, series, upsert, validate, versions
+from fadeline.operators import links as L
 from fadeline.operators.tenancy import TenantScope
 from fadeline.plans import ingest
 from fadeline.plans.catalog import query, with_views
@@ -230,3 +231,20 @@ def period_files(spark, sf_dir):
     series.write_periods(rows.where("time >= timestamp_ntz'2024-01-16 00:00:00'"), path, "6 hours")
     kinds = "time timestamp_ntz, cml_id string, sublink_id string, tsl double, rsl double, period_file string"
     return spark.read.option("header", True).option("timestampNTZFormat", MICROS).schema(kinds).csv(path).select("period_file", *RAW_COLUMNS)
+
+
+@query(
+    with_views("observations")
+    + "SELECT user_id, date_trunc('month', time) AS month, count(DISTINCT cml_id) AS links, count(DISTINCT (cml_id, sublink_id)) AS sublinks, true AS links_close, true AS sublinks_close FROM observations GROUP BY 1, 2"
+)
+def distinct_per_month(spark, sf_dir):
+    """Links and sublinks a month: exact numbers, and whether those of stored daily
+    sketches lie within their stated error."""
+    rows, path = observations(spark, sf_dir), new_path(spark, "sketches")
+    month = F.date_trunc("month", "time").cast("timestamp_ntz").alias("month")
+    versions.write(L.distinct_sketches(rows.withColumn("date", F.to_date("time")), ["date"]), path, ["date"])
+    sketched = L.merged_distinct(versions.read(spark, path).withColumn("month", F.date_trunc("month", "date").cast("timestamp_ntz")), ["month"])
+    sublink = F.struct("cml_id", "sublink_id")
+    exact = rows.groupBy("user_id", month).agg(F.count_distinct("cml_id").alias("links"), F.count_distinct(sublink).alias("sublinks"))
+    close = lambda kind: (F.abs(F.col(f"distinct_{kind}") - F.col(kind)) <= F.greatest(F.lit(1), F.col(kind) * L.SKETCH_ERROR)).alias(f"{kind}_close")
+    return exact.join(sketched, ["user_id", "month"]).select("user_id", "month", "links", "sublinks", close("links"), close("sublinks"))
