@@ -14,9 +14,9 @@ from fadeline.functions.identity import id_text, stored_sublink
 from fadeline.operators import increments, series, upsert, validate, versions
 from fadeline.operators import links as L
 from fadeline.operators.tenancy import TenantScope
-from fadeline.plans import ingest
+from fadeline.plans import ingest, sql_functions
 from fadeline.plans.catalog import query, with_views
-from fadeline.plans.queries_stats import WINDOW_COLUMNS, WINDOWED
+from fadeline.plans.queries_stats import LAST, LIFETIME, WINDOW_COLUMNS, WINDOWED
 from fadeline.plans.store import Store
 from fadeline.plans.views import OBSERVATIONS_AS_OF, TENANTS, links, observations
 from fadeline.schemas import COORDINATES, LINK_COLUMNS, RAW_COLUMNS
@@ -248,3 +248,14 @@ def distinct_per_month(spark, sf_dir):
     exact = rows.groupBy("user_id", month).agg(F.count_distinct("cml_id").alias("links"), F.count_distinct(sublink).alias("sublinks"))
     close = lambda kind: (F.abs(F.col(f"distinct_{kind}") - F.col(kind)) <= F.greatest(F.lit(1), F.col(kind) * L.SKETCH_ERROR)).alias(f"{kind}_close")
     return exact.join(sketched, ["user_id", "month"]).select("user_id", "month", "links", "sublinks", close("links"), close("sublinks"))
+
+
+@query(
+    with_views("observations", "links")
+    + f", {LAST}, {LIFETIME}, {WINDOWED} SELECT lifetime.*, last_rsl, {WINDOW_COLUMNS} FROM lifetime JOIN last USING (user_id, cml_id) JOIN windowed USING (user_id, cml_id)"
+)
+def table_functions(spark, sf_dir):
+    """Lifetime statistics of both tenants and windowed ones, called in SQL."""
+    sql_functions.register(spark, observations(spark, sf_dir), links(spark, sf_dir))
+    every = " UNION ALL ".join(f"SELECT * FROM lifetime_statistics('{tenant}')" for tenant in sorted(TENANTS))
+    return spark.sql(f"SELECT * FROM ({every}) JOIN windowed_statistics(TIMESTAMP_NTZ '{OBSERVATIONS_AS_OF}') USING (user_id, cml_id)")
