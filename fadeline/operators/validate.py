@@ -89,9 +89,16 @@ def file_verdicts(rows: DataFrame, files: DataFrame, by: list[str] | None = None
 
 
 def missing_references(observations: DataFrame, links: DataFrame) -> DataFrame:
-    """Sublinks that send data but have no metadata with the same tenant."""
+    """Sublinks that send data but have no metadata with the same tenant.  A key
+    with a null has none.
+
+    Both sides are folded by one aggregate: the links, of which there may be
+    millions in a small file, are never one table in the memory of a task."""
     key = ["user_id", "cml_id", "sublink_id"]
-    return observations.select(*key).distinct().join(links.select(*key), key, "left_anti").orderBy(*key)
+    sent = observations.select(*key, F.lit(False).alias("known"))
+    known = links.select(*key, F.lit(True).alias("known")).dropna(subset=key)
+    folded = sent.unionByName(known).groupBy(*key).agg(F.bool_or("known").alias("known"))
+    return folded.where(~F.col("known")).select(*key).orderBy(*key)
 
 
 def missing_reference_warning(observations: DataFrame, links: DataFrame, sample: int = 10) -> DataFrame:

@@ -83,6 +83,14 @@ def test_missing_references(spark):
     assert rows(validate.orphan_count(data, known.unionByName(other))) == rows(validate.orphan_count_left_join(data, known.unionByName(other))) == [(2,)]
 
 
+def test_missing_references_broadcast_no_links(spark):
+    data = obs(spark, (0, "123", "sublink_1", 1.0), (1, "123", "sublink_1", 1.0), (0, None, "sublink_1", 1.0), (0, "9", "sublink_1", 1.0))
+    known = meta(spark, ("123", "sublink_1"), ("123", "sublink_1"), (None, "sublink_1"))
+    missing = validate.missing_references(data, known)
+    assert [tuple(r) for r in missing.select("cml_id", "sublink_id").collect()] == [(None, "sublink_1"), ("9", "sublink_1")]
+    assert "Join" not in missing._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize(
     "lon, valid", [([13.4, 13.5], True), ([180.0, -180.0], True), ([180.1, 0.0], False), ([13.4, None], False), ([None, None], True)]
 )
