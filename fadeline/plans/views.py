@@ -66,7 +66,11 @@ def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five sublinks for each customer.  Those with a negative balance belong to
     another network, under ids of its own: data of such customers have no
-    metadata, and those links have no data."""
+    metadata, and those links have no data.
+
+    A small file of customers is read by one task and makes many more bytes of
+    links: rows are dealt out anew while they are narrow, so that no task works
+    through all links, and joins know how many there are."""
     site = {
         "site_0_lon": (11.0, 50),
         "site_0_lat": (57.0, 40),
@@ -74,9 +78,9 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
         "site_1_lat": (56.994, 40),
     }
     sublinks = F.explode(F.array(*[F.lit(s) for s in SUBLINKS]))
-    rows = table(spark, sf_dir, "customer")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", sublinks.alias("sublink_id")).hint("rebalance")
     other = F.when(F.col("c_acctbal") < 0, "other-").otherwise("")
-    return rows.withColumn("sublink_id", sublinks).select(
+    return rows.select(
         F.concat(other, F.col("c_custkey").cast("string")).alias("cml_id"),
         "sublink_id",
         *[F.round(start + (F.col("c_custkey") % wrap) * 0.01, 3).alias(name) for name, (start, wrap) in site.items()],

@@ -25,6 +25,14 @@ def test_no_cross_join_and_no_python(spark, name):
         assert node not in text
 
 
+def test_links_of_one_small_file_are_dealt_out(spark, tmp_path):
+    spark.range(300_000).select(F.col("id").alias("c_custkey"), (F.col("id") % 7 - 1).cast("double").alias("c_acctbal")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    found = links(spark, str(tmp_path))
+    tasks, keys = found.withColumn("task", F.spark_partition_id()).agg(F.count_distinct("task"), F.count_distinct("cml_id", "sublink_id")).first()
+    assert tasks > 1 and keys == 1_500_000
+    assert found.count() == 1_500_000
+
+
 # Single-partition nodes are allowed where one row per hour is left, and after a top-n.
 ONE_TASK = {"raw_newest", "last_steps"}
 
