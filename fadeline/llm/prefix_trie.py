@@ -35,11 +35,20 @@ FAMILY, MOST_LENT = 5, 9
 #: Turns of a conversation that are numbered and summed together; ids of one text of ids; parts of a node's children.
 CHUNK, ID_CHUNK, SALTS = 1024, 4096, 16
 
+#: Rows of a task that writes a table between two steps.
+TASK_ROWS = 100_000
+
 LANES = ("lane_0", "lane_1", "lane_2", "lane_3")
 NAME = ("name_1", "name_2")
 PARENT = ("parent_1", "parent_2")
 
 
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of about ``rows`` rows, read by as many tasks as these need, at least two
+    for each core: a small table costs no task for each shuffle partition."""
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)))
+
+
 def digested(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """conv, at (0, 1, ... by turn), digest of role and text, and the text's bytes.
 
@@ -80,7 +89,8 @@ def rebuilt(turns: DataFrame) -> DataFrame:
     kept = own.filter(~is_first & (F.col("at") >= lent(F.col("conv")))).join(counts, "conv", "left")
     kept = kept.withColumn("at", F.col("at") - lent(F.col("conv")) + F.coalesce("got", F.lit(0))).drop("got")
     ends = convs.select("conv", "at", F.lit(None).cast("string").alias("digest"), F.lit(0).cast("long").alias("bytes"))
-    return own.filter(is_first).unionByName(copies).unionByName(kept).unionByName(ends)
+    # about as many rows as before, five times as many at most
+    return sized(own.filter(is_first).unionByName(copies).unionByName(kept).unionByName(ends), own.count())
 
 
 def packed(lanes: list[Column]) -> list[Column]:
@@ -159,7 +169,8 @@ def peeled(nodes: DataFrame) -> DataFrame:
     """
     spark, path = nodes.sparkSession, new_path(nodes.sparkSession, "peeled")
     meeting = F.col("sequences") > 1
-    deepest = nodes.filter(meeting).agg(F.max("depth")).first()[0]
+    met_at = {r["depth"]: r["count"] for r in nodes.filter(meeting).groupBy("depth").count().collect()}  # a row for each depth
+    deepest = max(met_at, default=None)
     figures = ["n_children", "n_leaves", "saved_tokens"]
     own = ["depth", "conv_id", "n_convs", "bytes", *PARENT]
 
@@ -176,12 +187,12 @@ def peeled(nodes: DataFrame) -> DataFrame:
     base = nodes.filter(meeting).withColumns(zeros).select(*NAME, *own, *figures)
     tails = stripped(nodes.filter(~meeting & (F.col("depth") <= deepest + 1) & (F.col("depth") > 0)))
     met = regrouped(base.unionByName(tails, allowMissingColumns=True)).filter(F.col("depth").isNotNull())
-    met.withColumn("entry", F.col("depth")).write.partitionBy("entry").parquet(f"{path}/met")
+    sized(met, sum(met_at.values())).withColumn("entry", F.col("depth")).write.partitionBy("entry").parquet(f"{path}/met")
     met, survivors = spark.read.parquet(f"{path}/met"), None
     for depth in range(deepest, -1, -1):
         rows = met.filter(F.col("entry") == depth).drop("entry")
         if survivors is not None:
-            rows = regrouped(rows.unionByName(stripped(survivors), allowMissingColumns=True))
+            rows = sized(regrouped(rows.unionByName(stripped(survivors), allowMissingColumns=True)), met_at[depth])
         found = rows.withColumn("saved_tokens", F.col("saved_tokens") + (F.col("n_convs") - 1) * F.col("bytes"))
         found.write.parquet(f"{path}/found/round={depth}")
         survivors = spark.read.schema(found.schema).parquet(f"{path}/found/round={depth}")
@@ -191,30 +202,30 @@ def peeled(nodes: DataFrame) -> DataFrame:
 def trie(turns: DataFrame) -> DataFrame:
     """The nodes of all beginnings of the conversations in ``turns``, as ``digested``
     or ``rebuilt`` make them (conv, at, digest, bytes; a row with a null digest at
-    place -1 makes a conversation known that has no turns).
+    place -1 makes a conversation known that has no turns, and changes no other).
 
     conv_id (smallest member), depth, parent_conv_id (null for the root), n_convs,
     n_children, n_leaves, saved_tokens and ends_sha256.  Without conversations
     there are no nodes, not even the root.  A member without an id comes after all
     others.
     """
-    known = turns.filter("digest is null").select("conv").distinct()
-    roots = turns.select("conv").distinct().join(known.withColumnRenamed("conv", "known"), F.col("conv").eqNullSafe(F.col("known")), "left_anti")
-    roots = roots.select("conv", F.lit(-1).cast("long").alias("at"), F.lit(None).cast("string").alias("digest"), F.lit(0).cast("long").alias("bytes"))
-    rows = staged(hashed(turns.unionByName(roots)))
+    rows = staged(hashed(turns))
+    n_rows = rows.count()
     ended = rows.groupBy("conv").agg(F.max("depth").alias("n"), F.sum("bytes").alias("total"), *(F.sum(c).alias(c) for c in LANES))
-    ended = staged(ended.select("conv", "n", "total", *(c.alias(a) for c, a in zip(packed([F.col(c) for c in LANES]), NAME))))
+    ended = staged(sized(ended.select("conv", "n", "total", *(c.alias(a) for c, a in zip(packed([F.col(c) for c in LANES]), NAME))), n_rows))
     sequences = ended.groupBy(*NAME).agg(F.min("conv").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.max("total").alias("total")).drop(*NAME)
-    members = beginnings(rows).join(sequences, F.col("conv").eqNullSafe(F.col("rep")))
-    nodes = staged(
-        members.groupBy(*NAME).agg(
+    members = beginnings(rows.filter("depth > 0")).join(sequences, F.col("conv").eqNullSafe(F.col("rep")))
+    zero = F.lit(0).cast("long")
+    roots = sequences.select(F.col("rep").alias("conv"), *(zero.alias(c) for c in ("depth", *NAME, *PARENT, "bytes", "bytes_before")), "*")
+    nodes = staged(sized(
+        members.unionByName(roots).groupBy(*NAME).agg(
             F.min("conv").alias("conv_id"), F.max("depth").alias("depth"), F.sum("copies").alias("n_convs"), F.count(F.lit(1)).alias("sequences"),
             *(F.max(c).alias(c) for c in (*PARENT, "bytes", "bytes_before", "n", "total")),
         ).select(
             "*", (F.col("depth") < F.col("n")).cast("long").alias("n_children"), F.lit(1).cast("long").alias("n_leaves"),
             ((F.col("n_convs") - 1) * (F.col("total") - F.col("bytes_before"))).alias("saved_tokens"),
-        )
-    )
+        ), n_rows
+    ))
     kept = [*NAME, *PARENT, "conv_id", "depth", "n_convs", "n_children", "n_leaves", "saved_tokens"]
     shared = peeled(nodes).select(*kept)
     every = nodes.filter("sequences = 1").select(*kept).unionByName(shared)

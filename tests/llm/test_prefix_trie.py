@@ -113,3 +113,20 @@ def test_odd_rows(spark):
 def test_op12_rows(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     assert nodes(QUERIES["op12_prefix_trie"](spark, sf_dir)) == plain(rows)
+
+
+def test_small_tables_cost_few_tasks(spark):
+    """Shuffles of 97 partitions, not coalesced, are read by two tasks for each core."""
+    settings = {"spark.sql.shuffle.partitions": "97", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    rows = conversations(4, 12, 2, 3)
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        turns = prefix_trie.rebuilt(prefix_trie.digested(spark.createDataFrame(rows, SCHEMA)))
+        assert turns.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+        known = turns.filter("digest is null")
+        assert nodes(prefix_trie.trie(turns.unionByName(known))) == plain(rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
