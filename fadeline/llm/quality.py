@@ -14,6 +14,7 @@ once per row however the plan is put together.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -37,7 +38,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def count_of(text: Column, characters: str) -> Column:
     """How many characters of a set a text has."""
-    return F.length(text) - F.length(F.translate(text, characters, ""))
+    return F.regexp_count(text, F.lit("[" + re.escape(characters) + "]"))
 
 
 def words_of(text: Column) -> Column:
@@ -160,11 +161,10 @@ def report(df: DataFrame) -> DataFrame:
     counted = with_words.select(
         "doc_id",
         own,
-        F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
         count_of(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        let(words_of(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).cast("long").alias("n_repeat_words"))).alias("counts"),
-    ).select("doc_id", own, "word_chars", "n_symbols", "n_dup_lines", "counts.n_words", "counts.n_repeat_words")
+        let(words_of(F.col("text")), lambda w: F.struct(F.length(F.array_join(w, "")).cast("long").alias("word_chars"), F.size(w).cast("long").alias("n_words"), repeated_words(w).cast("long").alias("n_repeat_words"))).alias("counts"),
+    ).select("doc_id", own, "counts.word_chars", "n_symbols", "n_dup_lines", "counts.n_words", "counts.n_repeat_words")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return counted.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

@@ -124,3 +124,14 @@ def test_odd_rows(spark):
 def test_no_python_and_no_shuffle(spark, sf_dir):
     plan = QUERIES["op7_quality"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def test_characters_are_counted_without_a_look_up_for_each(spark):
+    """translate() looks every character up; marks that mean something in a class of characters are marks."""
+    text = "a^b [c] d-e \\ #*$%&&|<>~{} é·»› 𝒳\n\t x"
+    df = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    found = df.select(*(quality.count_of(F.col("text"), s).alias(str(i)) for i, s in enumerate((quality.SYMBOLS, "^-]\\", "»›•·")))).first()
+    assert tuple(found) == (9, 4, 3)
+    counted = quality.report(df)
+    assert [r["word_chars"] for r in counted.orderBy("doc_id").collect()] == [len("".join(text.split())), 0]
+    assert "translate(" not in counted._jdf.queryExecution().toString()
